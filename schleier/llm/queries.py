@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, media, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media_columns": media.query,
         "op3_byte_bpe": bpe.query,
+        "op8_secret_scan": secrets.query,
     }
 
 
