@@ -117,9 +117,12 @@ class Automaton:
 def code_point_classes() -> np.ndarray:
     """For each code point: 0 letter, 1 number, 2 other, 3 white space."""
     out = np.full(0x110000, 2, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for k, pattern in ((0, r"\p{L}"), (1, r"\p{N}"), (3, r"\s")):
-        out[[ord(c) for c in regex.findall(pattern, every)]] = k
+    for low in (*range(0, 0xD800, 0x800), *range(0xE000, 0x110000, 0x1000)):
+        high = min(low + (0x800 if low < 0xD800 else 0x1000), 0x110000)
+        every = "".join(map(chr, range(low, high)))
+        for k, pattern in ((0, r"\p{L}+"), (1, r"\p{N}+"), (3, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                out[low + m.start() : low + m.end()] = k
     return out
 
 
@@ -142,7 +145,7 @@ class Encoder:
         self.pool = np.frombuffer(b"".join(words), np.uint8)
         self.token_hashes = np.sort(self.hash(self.pool, self.begins, self.begins + self.lengths))
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.pairs = {(a, b): r for a, b, r in pairs}
+        self.words = words
         keys = np.array([a << 32 | b for a, b, _ in pairs], np.uint64)
         self._hash_pairs(keys, np.array([r for *_, r in pairs], np.int32))
         self._clear()
@@ -209,8 +212,9 @@ class Encoder:
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         version = [0] * n
-        get = self.pairs.get
-        heap = [(r, i, 0, 0) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]))) is not None]
+        words, ranks = self.words, self.ranks
+        get = lambda a, b: ranks.get(words[a] + words[b])
+        heap = [(r, i, 0, 0) for i in range(n - 1) if (r := get(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, mine, its = heapq.heappop(heap)
@@ -222,9 +226,9 @@ class Encoder:
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (r := get((ids[i], ids[k]))) is not None:
+                if (r := get(ids[i], ids[k])) is not None:
                     heapq.heappush(heap, (r, i, version[i], version[k]))
-            if (h := before[i]) >= 0 and (r := get((ids[h], ids[i]))) is not None:
+            if (h := before[i]) >= 0 and (r := get(ids[h], ids[i])) is not None:
                 heapq.heappush(heap, (r, h, version[h], version[i]))
         return [i for i in ids if i >= 0]
 
@@ -337,10 +341,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids", ends: str | None = "token_ends") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids", ends: str | None = "token_ends", decoded: str | None = None) -> DataFrame:
     """``df`` with the ids of each text and the byte offset in the text at which each token ends.
 
     Both are packed as little-endian unsigned 32-bit integers in a binary column; ``ends=None`` leaves the offsets out.
+    ``decoded`` names a column for the bytes decoded from the ids in the same pass, as ``decode`` would.
     """
 
     def start():
@@ -348,7 +353,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "token
 
         def step(columns: list[pa.Array]) -> list[pa.Array]:
             data, offsets = utf8(columns[0])
-            flat, counts, places = [], [], []
+            flat, counts, places, made, edges = [], [], [], [], [np.zeros(1, np.int64)]
             for a, b in steps(offsets):
                 part = offsets[a : b + 1] - offsets[a]
                 x, n = enc.encode(data[offsets[a] : offsets[b]], part)
@@ -356,13 +361,18 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "token
                 counts.append(n)
                 if ends:
                     places.append((np.cumsum(enc.lengths[x]) - np.repeat(part[:-1], n)).astype("<u4"))
+                if decoded:
+                    bytes_, stops = enc.decode(x)
+                    made.append(bytes_)
+                    edges.append(np.append(0, stops)[np.cumsum(n)] + edges[-1][-1])
             until = np.cumsum(np.concatenate(counts)) * 4
             out = [binary_column(np.concatenate(flat).view(np.uint8), until)]
-            return out + ([binary_column(np.concatenate(places).view(np.uint8), until)] if ends else [])
+            out += [binary_column(np.concatenate(places).view(np.uint8), until)] if ends else []
+            return out + ([binary_column(np.concatenate(made), np.concatenate(edges[1:]))] if decoded else [])
 
         return step
 
-    return map_batches(df, [text], [T.StructField(c, T.BinaryType()) for c in (ids, ends) if c], start)
+    return map_batches(df, [text], [T.StructField(c, T.BinaryType()) for c in (ids, ends, decoded) if c], start)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", ends: str | None = None, decoded: str = "decoded") -> DataFrame:
@@ -404,7 +414,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     vocabulary = default_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, vocabulary).drop("text"), vocabulary, ends="token_ends")
+    out = encode(docs, vocabulary, ends=None, decoded="decoded")
     return out.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),

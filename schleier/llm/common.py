@@ -173,6 +173,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tupl
     return starts, ends, counts
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and few bytes, so that a worker's memory doesn't depend on the texts' lengths."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = str(spark.conf.get(key, "0") or 0)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_batches(df: DataFrame, columns: list[str], fields: list[T.StructField], fn: Callable[[], Callable[[list[pa.Array]], list[pa.Array]]]) -> DataFrame:
     """``df`` with ``fields`` computed from ``columns``, a batch at a time, without moving rows.
 
@@ -181,6 +189,7 @@ def map_batches(df: DataFrame, columns: list[str], fields: list[T.StructField],
     """
     keep = without(df, [f.name for f in fields])
     schema = T.StructType([df.schema[c] for c in keep] + fields)
+    bound_batches(df.sparkSession)
     names, places = schema.names, [df.columns.index(c) for c in keep]
     inputs = [df.columns.index(c) for c in columns]
 
