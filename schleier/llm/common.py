@@ -176,7 +176,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tupl
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows and few bytes, so that a worker's memory doesn't depend on the texts' lengths."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
-        now = str(spark.conf.get(key, "0") or 0)
+        now = (spark.conf.get(key) or "").removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
