@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, secrets
+from . import bpe, decontaminate, media, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": media.query,
         "op3_byte_bpe": bpe.query,
+        "op4_decontaminate": decontaminate.query,
         "op8_secret_scan": secrets.query,
     }
 
