@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, media, secrets
+from . import bpe, decontaminate, media, neardup, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": bpe.query,
         "op4_decontaminate": decontaminate.query,
         "op8_secret_scan": secrets.query,
+        "op9_near_dedup": neardup.query,
     }
 
 
