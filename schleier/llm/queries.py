@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, media, neardup, secrets
+from . import bpe, decontaminate, media, neardup, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": decontaminate.query,
         "op8_secret_scan": secrets.query,
         "op9_near_dedup": neardup.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
