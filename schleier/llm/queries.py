@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, media, neardup, secrets, toxicity
+from . import bpe, decontaminate, media, neardup, ngram, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": media.query,
+        "op2_ngram_lm": ngram.query,
         "op3_byte_bpe": bpe.query,
         "op4_decontaminate": decontaminate.query,
         "op8_secret_scan": secrets.query,
