@@ -13,11 +13,13 @@ batch.
 
 *Bands.* 160 registers make 32 bands of 5; a pair at 0.8 misses all bands with a probability of 3e-6.
 
-*Links.* Equal word sequences are one node. In each bucket of a band every node is verified against the bucket's
-least node; then, in buckets that still hold several components, nodes outside the bucket's largest component
-against all nodes of other components, until nothing is left to test. So a bucket of copies costs one test a node,
-and no link between different components is passed over. Components are found in Spark; their class id is the
-least doc_id.
+*Links.* Equal word sequences are one node; nodes with more copies have lower numbers. In each bucket of a band
+every node is verified against the bucket's least node. Then, in buckets that still hold several components:
+buckets of at most SMALL nodes have all pairs of different components verified; nodes of larger ones are hashed
+again into 64 finer buckets of 10 registers each (a pair at 0.8 misses all with a probability of 7e-4), which are
+small, or else again verified against their least node. This repeats until there is nothing new to verify. So
+the tests grow with the nodes, not with the squares of groups. Components are found in Spark; their class id is
+the least doc_id.
 
 Texts without words are linked to equal texts only; null counts as empty. Repeated rows each get their class. A
 null id is the greatest.
@@ -42,6 +44,9 @@ BANDS = REGISTERS // ROWS
 TICKS = float(1 << 32)
 NEVER = np.iinfo(np.int64).max
 KEY_BITS = 52
+#: Nodes of a bucket whose pairs are all verified.
+SMALL = 32
+FINE_BUCKETS, FINE_ROWS = 64, 10
 U = np.uint64
 
 
@@ -128,6 +133,29 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def fine_hashes(registers: np.ndarray) -> np.ndarray:
+    """Hashes of fixed random choices of registers, from n x REGISTERS 16-bit fingerprints."""
+    choice = np.random.default_rng(20).permuted(np.tile(np.arange(REGISTERS), (FINE_BUCKETS, 1)), axis=1)[:, :FINE_ROWS]
+    h = np.broadcast_to(mix(np.arange(1001, FINE_BUCKETS + 1001, dtype=np.uint64)), (len(registers), FINE_BUCKETS)).copy()
+    with np.errstate(over="ignore"):
+        for j in range(FINE_ROWS):
+            h = mix(h * U(0x9E3779B97F4A7C15) + registers[:, choice[:, j]].astype(np.uint64))
+    return h.view(np.int64)
+
+
+def refine(df: DataFrame, registers: str = "registers", buckets: str = "buckets") -> DataFrame:
+    """``df`` with the hashes of its finer buckets."""
+
+    def start():
+        def step(columns: list[pa.Array]) -> list[pa.Array]:
+            data, _ = utf8(columns[0])
+            return [pa.array(list(fine_hashes(np.frombuffer(data.tobytes(), "<u2").reshape(-1, REGISTERS))), pa.list_(pa.int64()))]
+
+        return step
+
+    return map_batches(df, [registers], [T.StructField(buckets, T.ArrayType(T.LongType()))], start)
+
+
 def _words_key(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, raw: bytes, offsets: np.ndarray) -> list[bytes]:
     """A digest of each row's words; of its bytes where it has none."""
     lengths = ends - starts + 1
@@ -139,26 +167,28 @@ def _words_key(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np
     return [digest(whole[a:b], b"words") if b > a else digest(raw[offsets[i] : offsets[i + 1]], b"bytes") for i, (a, b) in enumerate(zip(stop, stop[1:]))]
 
 
-def sign(df: DataFrame, text: str, key: str = "text_key", bands: str | None = "bands") -> DataFrame:
-    """``df`` with a digest of each text's words, and its band hashes (none for a text without words)."""
-    fields = [T.StructField(key, T.BinaryType())] + ([T.StructField(bands, T.ArrayType(T.LongType()))] if bands else [])
+def sign(df: DataFrame, text: str, key: str = "text_key", bands: str | None = "bands", registers: str = "registers") -> DataFrame:
+    """``df`` with a digest of each text's words, its band hashes (none for a text without words), and 16-bit fingerprints of its registers."""
+    fields = [T.StructField(key, T.BinaryType())] + ([T.StructField(bands, T.ArrayType(T.LongType())), T.StructField(registers, T.BinaryType())] if bands else [])
 
     def start():
         hasher = SliceHash()
 
         def step(columns: list[pa.Array]) -> list[pa.Array]:
             data, offsets = utf8(columns[0])
-            keys, hashes = [], []
+            keys, hashes, prints = [], [], []
             for a, b in steps(offsets):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 if bands:
                     rows, found, times, (starts, ends), counts = shingles(part, at, hasher)
-                    made = band_hashes(signatures(rows, found, times, b - a))
+                    signature = signatures(rows, found, times, b - a)
+                    made = band_hashes(signature)
+                    prints += [r.tobytes() for r in (mix(signature.view(np.uint64)) >> U(48)).astype("<u2")]
                     hashes += [made[i] if counts[i] else made[i][:0] for i in range(b - a)]
                 else:
                     starts, ends, counts = words_of(LOWER[part], at, IS_WORD)
                 keys += _words_key(LOWER[part], starts, ends, counts, part.tobytes(), at)
-            return [pa.array(keys, pa.binary())] + ([pa.array(hashes, pa.list_(pa.int64()))] if bands else [])
+            return [pa.array(keys, pa.binary())] + ([pa.array(hashes, pa.list_(pa.int64())), pa.array(prints, pa.binary())] if bands else [])
 
         return step
 
@@ -211,12 +241,17 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """A row for each row of ``df``: its id, its ``text_key``, and ``class_id``, the least id of its class."""
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))
     signed = stored(sign(docs, "body").drop("body"), "signed")
-    nodes = signed.groupBy("text_key").agg(F.min("id").alias("least"), F.first("bands").alias("bands"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # buckets of one node are most; the rest is read again
-    members = stored(banded.join(pivots, "bucket").select("bucket", "pivot", "node"), "members")
+    nodes = signed.groupBy("text_key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+    # in a node's number its copies come first, so that the least of a bucket is its most copied text
+    number = F.monotonically_increasing_id() + F.shiftleft((1023 - F.least("copies", F.lit(1023))).cast("long"), 53)
+    nodes = stored(nodes.withColumn("node", number), "nodes")
+
+    def shared(banded: DataFrame) -> DataFrame:
+        """(bucket, n, pivot, node) of the buckets of more than one node, from (bucket, node)."""
+        pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+        return stored(banded.join(pivots, "bucket"), "members")
+
+    members = shared(nodes.select("node", F.explode("bands").alias("bucket")))
     pairs = stored(members.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     wanted = members.select("node").distinct().join(nodes.select("node", "text_key", "least"), "node")
     texts = docs.join(wanted.select("node", F.col("text_key").alias("key"), F.col("least").alias("id")), "id")
@@ -228,17 +263,30 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         return overlap(both, "bag_a", "bag_b").where("5 * shared >= 4 * joint").select("a", "b")
 
     links = stored(verified(pairs), "links")
+    fine = None
     while True:
         labels = components(links)
-        placed = members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("k")).where("k > 1")
-        mixed = placed.join(main.select("bucket", F.col("main.label").alias("main")), "bucket")
-        mixed = stored(mixed, "mixed")
-        rest = mixed.where("label <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("of_x"))
-        cross = rest.join(mixed.select("bucket", F.col("node").alias("y"), F.col("label").alias("of_y")), "bucket").where("of_x <> of_y")
-        cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = stored(cross.join(pairs, ["a", "b"], "left_anti"), "pairs")
+
+        def mixed(members: DataFrame) -> DataFrame:
+            """Members of buckets that hold several components, with their labels."""
+            placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            several = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+            return placed.join(several, "bucket")
+
+        def crossing(mixed: DataFrame) -> DataFrame:
+            """Pairs of different components in small buckets."""
+            small = mixed.where(F.col("n") <= SMALL)
+            x, y = (small.select("bucket", F.col("node").alias(a), F.col("label").alias(f"of_{a}")) for a in "ab")
+            return x.join(y, "bucket").where("a < b and of_a <> of_b").select("a", "b")
+
+        coarse = stored(mixed(members), "mixed")
+        if fine is None:
+            large = coarse.where(F.col("n") > SMALL).select("node").distinct()
+            fine = shared(refine(nodes.select("node", "registers").join(large, "node")).select("node", F.explode("buckets").alias("bucket")))
+        finer = stored(mixed(fine), "mixed")
+        ends = finer.where((F.col("n") > SMALL) & (F.col("pivot") != F.col("node"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        new = crossing(coarse).union(crossing(finer)).union(ends).distinct()
+        new = stored(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             break
         found = stored(verified(new), "links")
