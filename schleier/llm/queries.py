@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, media, neardup, ngram, secrets, toxicity
+from . import bpe, content, decontaminate, media, neardup, ngram, secrets, toxicity, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_lm": ngram.query,
         "op3_byte_bpe": bpe.query,
         "op4_decontaminate": decontaminate.query,
+        "op5_url_filter": urlfilter.query,
+        "op6_html_content": content.query,
+        "op7_warc_archive": warc.query,
         "op8_secret_scan": secrets.query,
         "op9_near_dedup": neardup.query,
         "op10_toxicity": toxicity.query,
@@ -22,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": urlfilter.SQL, "op7_warc_archive": warc.SQL}
