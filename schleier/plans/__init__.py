@@ -1 +1 @@
-"""TODO."""
+"""Whole pipelines put together from operators."""

@@ -1 +1 @@
-"""TODO."""
+"""Readers of documents and annotations, and writers of results."""

@@ -1 +1 @@
-"""TODO."""
+"""Streams of documents, and results that expire."""
