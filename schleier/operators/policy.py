@@ -20,7 +20,7 @@ def last_of_each_place(overrides: Column) -> Column:
     """Of several overrides of one place the last counts, at the place of the first."""
     o = F.coalesce(overrides, F.array().cast(f"array<{OVERRIDE_DDL}>"))
     places = F.array_distinct(F.transform(o, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    return F.transform(places, lambda p: F.element_at(F.filter(o, lambda x: (x["start"] == p["start"]) & (x["end"] == p["end"])), -1))
+    return F.transform(places, lambda p: F.try_element_at(F.filter(o, lambda x: (x["start"] == p["start"]) & (x["end"] == p["end"])), F.lit(-1)))
 
 
 def manual(df: DataFrame, text: str = "text", spans: str = "spans", overrides: str = "overrides", notices: str = "notices") -> DataFrame:
@@ -64,7 +64,7 @@ def apply_policy(df: DataFrame, policy: dict[str, str] | None = None, lang: str
     stem = of_language({k: F.lit(p[2]) for k, p in PLACEHOLDERS.items()})
 
     def decided(s: Column) -> Column:
-        own = F.element_at(F.filter(o, lambda x: (x["start"] == s["start"]) & (x["end"] == s["end"]) & (x["text"] == s["text"])), 1) if overrides else F.lit(None).cast(OVERRIDE_DDL)
+        own = F.try_element_at(F.filter(o, lambda x: (x["start"] == s["start"]) & (x["end"] == s["end"]) & (x["text"] == s["text"])), F.lit(1)) if overrides else F.lit(None).cast(OVERRIDE_DDL)
         over = own.isNotNull()
         kind = F.coalesce(own["entity_type"], s["entity_type"])
         term = ~over & F.array_contains(kept, normalized(s["text"]))

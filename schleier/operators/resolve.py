@@ -28,7 +28,7 @@ def resolution(spans: Column) -> Column:
     start = F.struct(F.array().cast(f"array<{SPAN_DDL}>").alias("selected"), F.array().cast(f"array<{DECISION_DDL}>").alias("decisions"))
 
     def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc["selected"], -1)
+        last = F.try_element_at(acc["selected"], F.lit(-1))
         free = (F.size(acc["selected"]) == 0) | (s["start"] >= last["end"])
         same = (s["start"] == last["start"]) & (s["end"] == last["end"])
         twin = same & (s["entity_type"] == last["entity_type"])

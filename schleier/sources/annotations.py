@@ -16,7 +16,7 @@ from ..types import ENTITY_TYPES, LABELS
 GOLD_DDL = "array<struct<start:int,end:int,label:string,entity_type:string>>"
 ROW = "document_id string, text string, entities array<struct<start:int,end:int,entity_type:string,label:string,text:string>>"
 CAS = "`%FEATURE_STRUCTURES` array<struct<`%ID`:int,`%TYPE`:string,sofaString:string,`begin`:int,`end`:int,label:string>>"
-LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
+LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
 def label_map(custom: dict[str, str] | None = None) -> dict[str, str]:

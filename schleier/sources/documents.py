@@ -28,7 +28,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 def decoded(content: Column) -> Column:
     """Strict UTF-8 without its byte-order mark; null where bytes are 0 or not UTF-8."""
     text = F.try_validate_utf8(content.cast("string"))
-    return F.when(F.instr(F.hex(content), "00") % 2 == 1, F.lit(None)).otherwise(F.regexp_replace(text, "^﻿", ""))
+    return F.when(~has_nul(content), F.regexp_replace(text, "^\ufeff", ""))
 
 
 def has_nul(content: Column) -> Column:
