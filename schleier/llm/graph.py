@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
+def spread(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """The join on ``key`` with rows of a key dealt to ``salts`` tasks; ``right`` has few rows a key, and is repeated."""
+    salted = left.withColumn("salt_", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    return salted.join(right.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt_"], how).drop("salt_")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b: bigint); label is the least node of its component."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -15,10 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     labels = checkpoint(labels.select("node", F.least("node", "label").alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = spread(both, labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = checkpoint(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        new = checkpoint(spread(lower, jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
         changed = new.where("old <> label").limit(1).count()
         labels = new.select("node", "label")
         if not changed:

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import SliceHash, map_batches, mix, ragged, steps, stored, table, utf8, words_of
 from .decontaminate import IS_WORD, LOWER
-from .graph import components
+from .graph import components, spread
 
 SHINGLE, REGISTERS, ROWS = 5, 160, 5
 BANDS = REGISTERS // ROWS
@@ -293,9 +293,11 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         if found.isEmpty():
             break
         pairs, links = pairs.union(new), links.union(found)
-    classed = nodes.join(labels, "node", "left").select("text_key", "least", F.coalesce("label", "node").alias("label"))
-    named = classed.groupBy("label").agg(F.min("least").alias("class_id"))
-    of_key = classed.join(named, "label").select("text_key", "class_id")
+    # texts without a link are their own class; of the others, one class may have a third of all
+    linked = nodes.select("node", "text_key", "least").join(labels, "node")
+    named = linked.groupBy("label").agg(F.min("least").alias("class_id"))
+    of_key = spread(linked.select("text_key", "label"), named, "label").select("text_key", "class_id")
+    of_key = of_key.union(nodes.join(labels, "node", "left_anti").select("text_key", F.col("least").alias("class_id")))
     return signed.select("id", "text_key").join(of_key, "text_key").select(F.col("id").alias(doc_id), "text_key", "class_id")
 
 
