@@ -279,11 +279,14 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             x, y = (small.select("bucket", F.col("node").alias(a), F.col("label").alias(f"of_{a}")) for a in "ab")
             return x.join(y, "bucket").where("a < b and of_a <> of_b").select("a", "b")
 
+        # a bucket of one component stays one, so each round reads what the last one left
         coarse = stored(mixed(members), "mixed")
+        members = coarse.drop("label")
         if fine is None:
             large = coarse.where(F.col("n") > SMALL).select("node").distinct()
             fine = shared(refine(nodes.select("node", "registers").join(large, "node")).select("node", F.explode("buckets").alias("bucket")))
         finer = stored(mixed(fine), "mixed")
+        fine = finer.drop("label")
         ends = finer.where((F.col("n") > SMALL) & (F.col("pivot") != F.col("node"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         new = crossing(coarse).union(crossing(finer)).union(ends).distinct()
         new = stored(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
