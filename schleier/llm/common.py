@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 #: Bytes of text that one vectorised step holds; a longer document is a step of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -175,6 +177,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tupl
 
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows and few bytes, so that a worker's memory doesn't depend on the texts' lengths."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         now = (spark.conf.get(key) or "").removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
