@@ -243,8 +243,9 @@ g AS (SELECT doc_id, i, length(text) AS n, CAST((doc_id * 13 + i * 37) % greates
 p AS (SELECT doc_id, i, a + shift AS a, a + shift + w AS b FROM g),
 gx AS (SELECT g.*, a + w AS b, exists(SELECT 1 FROM p WHERE p.doc_id = g.doc_id AND p.a = g.a AND p.b = g.a + g.w) AS exact, exists(SELECT 1 FROM p WHERE p.doc_id = g.doc_id AND p.a < g.a + g.w AND g.a < p.b) AS touched FROM g),
 px AS (SELECT p.*, exists(SELECT 1 FROM g WHERE p.doc_id = g.doc_id AND p.a = g.a AND p.b = g.a + g.w) AS exact, exists(SELECT 1 FROM g WHERE p.doc_id = g.doc_id AND p.a < g.a + g.w AND g.a < p.b) AS touched FROM p),
-ch AS (SELECT d.doc_id, k, exists(SELECT 1 FROM g WHERE g.doc_id = d.doc_id AND g.a <= k AND k < g.a + g.w) AS ing, exists(SELECT 1 FROM p WHERE p.doc_id = d.doc_id AND p.a <= k AND k < p.b) AS inp
-  FROM documents d, unnest(range(0, length(d.text))) AS u(k) WHERE position(substring(d.text, CAST(k AS BIGINT) + 1, 1) IN ' ,.!?:;-()"''' || chr(10) || chr(9) || chr(13)) = 0),
+w AS (SELECT doc_id, list([a, a + w]) AS gl, list([a + shift, a + shift + w]) AS pl FROM g GROUP BY doc_id),
+ch AS (SELECT d.doc_id, k, gl[1][1] <= k AND k < gl[1][2] OR gl[2][1] <= k AND k < gl[2][2] OR gl[3][1] <= k AND k < gl[3][2] AS ing, pl[1][1] <= k AND k < pl[1][2] OR pl[2][1] <= k AND k < pl[2][2] OR pl[3][1] <= k AND k < pl[3][2] AS inp
+  FROM (SELECT doc_id, gl, pl, unnest(string_split(text, '')) AS x, unnest(range(0, length(text))) AS k FROM documents JOIN w USING (doc_id)) AS d WHERE position(x IN ' ,.!?:;-()"''' || chr(10) || chr(9) || chr(13)) = 0),
 c AS (SELECT d.doc_id, coalesce(t.tp, 0) AS tp, coalesce(t.fp, 0) AS fp, coalesce(t.tn, 0) AS tn, coalesce(t.fn, 0) AS fn FROM documents d LEFT JOIN
   (SELECT doc_id, count(*) FILTER (ing AND inp) AS tp, count(*) FILTER (NOT ing AND inp) AS fp, count(*) FILTER (NOT ing AND NOT inp) AS tn, count(*) FILTER (ing AND NOT inp) AS fn FROM ch GROUP BY doc_id) t USING (doc_id)),
 m AS (SELECT c.*, gs.*, ps.* EXCLUDE (id2) FROM c JOIN (SELECT doc_id AS id1, count(*) AS gold_total, count(*) FILTER (exact) AS gold_exact, count(*) FILTER (touched) AS gold_overlap FROM gx GROUP BY 1) gs ON gs.id1 = c.doc_id
