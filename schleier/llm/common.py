@@ -87,12 +87,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def steps(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes, or of one row."""
+def steps(offsets: np.ndarray, limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes, or of one row, and of at most ``rows`` rows."""
     at, n = 0, len(offsets) - 1
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield at, min(end, n)
+        end = min(end, n, at + rows)
+        yield at, end
         at = end
 
 

@@ -44,6 +44,8 @@ BANDS = REGISTERS // ROWS
 TICKS = float(1 << 32)
 NEVER = np.iinfo(np.int64).max
 KEY_BITS = 52
+#: Texts that are signed at once: each has over a thousand points, however short it is.
+STEP_BYTES, STEP_ROWS = 1 << 19, 200
 #: Nodes of a bucket whose pairs are all verified.
 SMALL = 32
 FINE_BUCKETS, FINE_ROWS = 64, 10
@@ -177,7 +179,7 @@ def sign(df: DataFrame, text: str, key: str = "text_key", bands: str | None = "b
         def step(columns: list[pa.Array]) -> list[pa.Array]:
             data, offsets = utf8(columns[0])
             keys, hashes, prints = [], [], []
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, STEP_BYTES, STEP_ROWS):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 if bands:
                     rows, found, times, (starts, ends), counts = shingles(part, at, hasher)
@@ -238,7 +240,8 @@ def overlap(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``df``: its id, its ``text_key``, and ``class_id``, the least id of its class."""
+    """A row for each row of ``df``: its id, its ``text_key``, ``class_id`` (the least id of its class), and ``class_number``, which tells
+    classes apart whose least ids are the same, or null."""
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))
     signed = stored(sign(docs, "body").drop("body"), "signed")
     nodes = signed.groupBy("text_key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
@@ -254,7 +257,8 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     members = shared(nodes.select("node", F.explode("bands").alias("bucket")))
     pairs = stored(members.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     wanted = members.select("node").distinct().join(nodes.select("node", "text_key", "least"), "node")
-    texts = docs.join(wanted.select("node", F.col("text_key").alias("key"), F.col("least").alias("id")), "id")
+    # ids may be null, and of several texts: the key tells them apart
+    texts = docs.join(wanted.select("node", F.col("text_key").alias("key"), F.col("least").alias("least_id")), F.col("id").eqNullSafe(F.col("least_id")))
     bag = bags(sign(texts, "body", bands=None).where("text_key = key").dropDuplicates(["node"]), "body").select("node", "bag")
     bag = stored(bag, "bags")
 
@@ -299,17 +303,16 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     # texts without a link are their own class; of the others, one class may have a third of all
     linked = nodes.select("node", "text_key", "least").join(labels, "node")
     named = linked.groupBy("label").agg(F.min("least").alias("class_id"))
-    of_key = spread(linked.select("text_key", "label"), named, "label").select("text_key", "class_id")
-    of_key = of_key.union(nodes.join(labels, "node", "left_anti").select("text_key", F.col("least").alias("class_id")))
-    return signed.select("id", "text_key").join(of_key, "text_key").select(F.col("id").alias(doc_id), "text_key", "class_id")
+    of_key = spread(linked.select("text_key", "label"), named, "label").select("text_key", "class_id", F.col("label").alias("class_number"))
+    of_key = of_key.union(nodes.join(labels, "node", "left_anti").select("text_key", F.col("least").alias("class_id"), F.col("node").alias("class_number")))
+    return signed.select("id", "text_key").join(of_key, "text_key").select(F.col("id").alias(doc_id), "text_key", "class_id", "class_number")
 
 
 def dedupe(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class of ``df``, that of the least id, with its columns as they were."""
     found = classes(df, doc_id, text)
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("text_key"))
-    # a class whose ids are all null is told by its least key; others by their id
-    keep = found.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("text_key")).alias("nameless")).agg(F.min(order).alias("kept")).select(F.col("kept.id").alias("kept_id"), F.col("kept.text_key").alias("kept_key"))
+    keep = found.groupBy("class_number").agg(F.min(order).alias("kept")).select(F.col("kept.id").alias("kept_id"), F.col("kept.text_key").alias("kept_key"))
     rows = sign(df.select(F.struct(*df.columns).alias("row_"), F.col(text).alias("body"), F.col(doc_id).alias("id")), "body", bands=None).drop("body")
     kept = rows.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")))
     first = F.row_number().over(Window.partitionBy("id", "text_key").orderBy(F.lit(0)))

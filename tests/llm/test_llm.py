@@ -267,8 +267,8 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(seen) - true) < 4 * math.sqrt(true * (1 - true) / 160 / 60)
 
 
-def brute_classes(rows):
-    """rows: (id, text); the least id of each component of pairs at 0.8, by all pairs."""
+def brute_classes(rows, kept=False):
+    """rows: (id, text); the least id of each row's component of pairs at 0.8, by all pairs; or that of each component."""
 
     def bag(t):
         w = WORD.findall((t or "").translate(LOW))
@@ -296,7 +296,7 @@ def brute_classes(rows):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[top(i)] = min(d, least.get(top(i), d))
-    return [least.get(top(i)) for i in range(len(rows))]
+    return [least.get(top(i)) for i in range(len(rows))] if not kept else [least.get(i) for i in range(len(rows)) if top(i) == i]
 
 
 def test_near_duplicates_equal_all_pairs(spark, docs, edges):
@@ -308,10 +308,17 @@ def test_near_duplicates_equal_all_pairs(spark, docs, edges):
     want = collections.Counter(zip([d for d, _ in rows], brute_classes(rows)))
     assert collections.Counter((r["doc_id"], r["class_id"]) for r in neardup.classes(df).collect()) == want
     kept = neardup.dedupe(df)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(c) for c in {c for _, c in want})
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, brute_classes(rows, kept=True)))
     assert neardup.dedupe(edges).columns == edges.columns and neardup.dedupe(edges.limit(0)).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(words)), (None, " ".join(words[:99])), (None, "something else"), (7, "one more thing here"), (7, "of the same id")]
+    kept = neardup.dedupe(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(len(r["text"].split()) for r in kept.collect()) in ([2, 4, 4, 99], [2, 4, 4, 100])
+
+
 def test_toxicity_grammar():
     grammar = {c: i for i, c in enumerate(("other", "insult", "threat", "target", "negation", "report"))}
     score = lambda text: toxicity.clause_scores([grammar[w] for w in text.split()], [1.0 if w in ("insult", "threat") else 0.0 for w in text.split()], [True] + [False] * (len(text.split()) - 1))
