@@ -15,11 +15,11 @@ batch.
 
 *Links.* Equal word sequences are one node; nodes with more copies have lower numbers. In each bucket of a band
 every node is verified against the bucket's least node. Then, in buckets that still hold several components:
-buckets of at most SMALL nodes have all pairs of different components verified; nodes of larger ones are hashed
-again into 64 finer buckets of 10 registers each (a pair at 0.8 misses all with a probability of 7e-4), which are
-small, or else again verified against their least node. This repeats until there is nothing new to verify. So
-the tests grow with the nodes, not with the squares of groups. Components are found in Spark; their class id is
-the least doc_id.
+buckets of at most SMALL nodes have all pairs of different components verified. Larger ones that share nodes
+make a family, and all pairs of different components of a family are compared in Python, a pair of blocks at once:
+their sizes, then their registers' fingerprints (LEAST of 160 must agree), then their bags. Only links
+that join components leave it, so its rows grow with the nodes, but its time with the square of a family.
+Components are found in Spark; their class id is the least doc_id.
 
 Texts without words are linked to equal texts only; null counts as empty. Repeated rows each get their class. A
 null id is the greatest.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SliceHash, map_batches, mix, ragged, steps, stored, table, utf8, words_of
+from .common import SliceHash, bound_batches, map_batches, mix, ragged, steps, stored, table, utf8, words_of
 from .decontaminate import IS_WORD, LOWER
 from .graph import components, spread
 
@@ -48,7 +48,10 @@ KEY_BITS = 52
 STEP_BYTES, STEP_ROWS = 1 << 19, 200
 #: Nodes of a bucket whose pairs are all verified.
 SMALL = 32
-FINE_BUCKETS, FINE_ROWS = 64, 10
+#: Registers, of 160, in which two nodes of a family agree at least if their bags are compared.
+LEAST = 96
+#: A family's nodes are compared in blocks of this many bytes, each node counted with NODE_BYTES more.
+BLOCK_BYTES, NODE_BYTES = 8 << 20, 2048
 U = np.uint64
 
 
@@ -135,29 +138,6 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def fine_hashes(registers: np.ndarray) -> np.ndarray:
-    """Hashes of fixed random choices of registers, from n x REGISTERS 16-bit fingerprints."""
-    choice = np.random.default_rng(20).permuted(np.tile(np.arange(REGISTERS), (FINE_BUCKETS, 1)), axis=1)[:, :FINE_ROWS]
-    h = np.broadcast_to(mix(np.arange(1001, FINE_BUCKETS + 1001, dtype=np.uint64)), (len(registers), FINE_BUCKETS)).copy()
-    with np.errstate(over="ignore"):
-        for j in range(FINE_ROWS):
-            h = mix(h * U(0x9E3779B97F4A7C15) + registers[:, choice[:, j]].astype(np.uint64))
-    return h.view(np.int64)
-
-
-def refine(df: DataFrame, registers: str = "registers", buckets: str = "buckets") -> DataFrame:
-    """``df`` with the hashes of its finer buckets."""
-
-    def start():
-        def step(columns: list[pa.Array]) -> list[pa.Array]:
-            data, _ = utf8(columns[0])
-            return [pa.array(list(fine_hashes(np.frombuffer(data.tobytes(), "<u2").reshape(-1, REGISTERS))), pa.list_(pa.int64()))]
-
-        return step
-
-    return map_batches(df, [registers], [T.StructField(buckets, T.ArrayType(T.LongType()))], start)
-
-
 def _words_key(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, raw: bytes, offsets: np.ndarray) -> list[bytes]:
     """A digest of each row's words; of its bytes where it has none."""
     lengths = ends - starts + 1
@@ -239,6 +219,42 @@ def overlap(df: DataFrame, a: str, b: str) -> DataFrame:
     return map_batches(df, [a, b], [T.StructField("shared", T.LongType()), T.StructField("joint", T.LongType())], start)
 
 
+def joined(df: DataFrame) -> DataFrame:
+    """Links (a, b) between the labels of each family of ``df`` (family, node, label, registers, bag): all pairs of nodes of different
+    labels are compared, a pair of blocks at once; of the links that join the same labels, only some are given."""
+    spark = df.sparkSession
+    bound_batches(spark)
+    sizes = df.groupBy("family").agg(F.ceil(F.sum(F.octet_length("bag") + NODE_BYTES) / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = spread(df, sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, label, block = (table[c].to_numpy() for c in ("node", "label", "block"))
+        prints = np.frombuffer(b"".join(table["registers"].to_pylist()), "<u2").reshape(-1, REGISTERS)
+        held = [np.frombuffer(x, np.uint64) for x in table["bag"].to_pylist()]
+        size = np.array([len(x) for x in held])
+        within, found = bool((block == block[0]).all()), []
+        root = label.copy()
+        for x in range(len(node)):
+            near = np.flatnonzero((root != root[x]) & (5 * np.minimum(size, size[x]) >= 4 * np.maximum(size, size[x])) & (within | (block > block[x])))
+            near = near[near > x] if within else near
+            near = near[np.count_nonzero(prints[near] == prints[x], axis=1) >= LEAST] if len(near) else near
+            if not len(near):
+                continue
+            other = np.concatenate([held[y] for y in near])
+            at = np.minimum(np.searchsorted(held[x], other), size[x] - 1)
+            shared = np.add.reduceat((held[x][at] == other).astype(np.int64), np.cumsum(size[near]) - size[near])
+            for y in near[5 * shared >= 4 * (size[near] + size[x] - shared)]:
+                if root[y] != root[x]:
+                    found.append((min(node[x], node[y]), max(node[x], node[y])))
+                    root[root == root[y]] = root[x]
+        return pa.table({c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate("ab")})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(one, "a long, b long")
+
+
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``df``: its id, its ``text_key``, ``class_id`` (the least id of its class), and ``class_number``, which tells
     classes apart whose least ids are the same, or null."""
@@ -249,12 +265,9 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     number = F.monotonically_increasing_id() + F.shiftleft((1023 - F.least("copies", F.lit(1023))).cast("long"), 53)
     nodes = stored(nodes.withColumn("node", number), "nodes")
 
-    def shared(banded: DataFrame) -> DataFrame:
-        """(bucket, n, pivot, node) of the buckets of more than one node, from (bucket, node)."""
-        pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-        return stored(banded.join(pivots, "bucket"), "members")
-
-    members = shared(nodes.select("node", F.explode("bands").alias("bucket")))
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    members = stored(banded.join(pivots, "bucket"), "members")
     pairs = stored(members.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     wanted = members.select("node").distinct().join(nodes.select("node", "text_key", "least"), "node")
     # ids may be null, and of several texts: the key tells them apart
@@ -267,39 +280,28 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         return overlap(both, "bag_a", "bag_b").where("5 * shared >= 4 * joint").select("a", "b")
 
     links = stored(verified(pairs), "links")
-    fine = None
-    while True:
-        labels = components(links)
 
-        def mixed(members: DataFrame) -> DataFrame:
-            """Members of buckets that hold several components, with their labels."""
-            placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            several = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-            return placed.join(several, "bucket")
-
-        def crossing(mixed: DataFrame) -> DataFrame:
-            """Pairs of different components in small buckets."""
-            small = mixed.where(F.col("n") <= SMALL)
-            x, y = (small.select("bucket", F.col("node").alias(a), F.col("label").alias(f"of_{a}")) for a in "ab")
-            return x.join(y, "bucket").where("a < b and of_a <> of_b").select("a", "b")
-
-        # a bucket of one component stays one, so each round reads what the last one left
-        coarse = stored(mixed(members), "mixed")
-        members = coarse.drop("label")
-        if fine is None:
-            large = coarse.where(F.col("n") > SMALL).select("node").distinct()
-            fine = shared(refine(nodes.select("node", "registers").join(large, "node")).select("node", F.explode("buckets").alias("bucket")))
-        finer = stored(mixed(fine), "mixed")
-        fine = finer.drop("label")
-        ends = finer.where((F.col("n") > SMALL) & (F.col("pivot") != F.col("node"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        new = crossing(coarse).union(crossing(finer)).union(ends).distinct()
-        new = stored(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            break
-        found = stored(verified(new), "links")
-        if found.isEmpty():
-            break
-        pairs, links = pairs.union(new), links.union(found)
+    def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with their labels."""
+        placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+        return placed.join(several, "bucket")
+
+    labels = components(links)
+    left = stored(mixed(members, labels), "mixed")
+    small = left.where(F.col("n") <= SMALL)
+    x, y = (small.select("bucket", F.col("node").alias(a), F.col("label").alias(f"of_{a}")) for a in "ab")
+    crossing = x.join(y, "bucket").where("a < b and of_a <> of_b").select("a", "b").distinct()
+    links = links.union(stored(verified(crossing.join(pairs, ["a", "b"], "left_anti")), "links"))
+    labels = components(links)
+    # a bucket of one component stays one
+    large = stored(mixed(left.where(F.col("n") > SMALL).drop("label"), labels), "mixed")
+    ends = large.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    if not ends.isEmpty():
+        families = components(ends).withColumnRenamed("label", "family")
+        placed = large.select("node", "label").distinct().join(families, "node").join(nodes.select("node", "registers"), "node").join(bag, "node")
+        links = links.union(stored(joined(placed), "links"))
+        labels = components(links)
     # texts without a link are their own class; of the others, one class may have a third of all
     linked = nodes.select("node", "text_key", "least").join(labels, "node")
     named = linked.groupBy("label").agg(F.min("least").alias("class_id"))

@@ -312,6 +312,27 @@ def test_near_duplicates_equal_all_pairs(spark, docs, edges):
     assert neardup.dedupe(edges).columns == edges.columns and neardup.dedupe(edges.limit(0)).count() == 0
 
 
+def test_large_buckets_are_whole(spark, monkeypatch):
+    """300 texts at up to 0.793 of each other, each with one twin at 0.802: nearly every bucket they share holds more than SMALL."""
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 1 << 20, raising=False)
+    rnd, rows, taken = random.Random(3), [], []
+    while len(rows) < 300:
+        own = [set(rnd.sample(range(200), 13)) for _ in "ab"]
+        both = own[0] & own[1]
+        if len(both) != 2 or any(len(o & t) > 3 for o in own for t in taken):
+            continue
+        taken += own
+        for o in own:
+            words = [f"w{i}" for i in range(1004)]
+            for at in o:
+                words[5 * at + 4] = f"n{len(taken)}x{at}" if at in both else f"n{len(rows)}y{at}"
+            rows.append((len(rows), " ".join(words)))
+    assert brute_classes(rows[:40]) == [i - i % 2 for i in range(40)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] != i - i % 2 for i in got) == 0 and len(got) == 300
+
+
 def test_near_duplicates_without_ids(spark):
     words = [f"w{i}" for i in range(100)]
     rows = [(None, " ".join(words)), (None, " ".join(words[:99])), (None, "something else"), (7, "one more thing here"), (7, "of the same id")]
