@@ -267,6 +267,15 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(seen) - true) < 4 * math.sqrt(true * (1 - true) / 160 / 60)
 
 
+def test_large_buckets_miss_less_than_bands():
+    at = lambda m: math.comb(160, m) * 0.8**m * 0.2 ** (160 - m)
+    bands = (1 - 0.8**neardup.ROWS) ** neardup.BANDS
+    assert neardup.REGISTERS == 160 and sum(map(at, range(neardup.LEAST))) < 3e-9 < bands < 3.1e-6
+    # 64 choices of 10 of the same registers, as finer buckets once had, aren't independent
+    finer = sum(at(m) * (1 - math.comb(m, 10) / math.comb(160, 10)) ** 64 for m in range(161))
+    assert 8.1e-3 < finer < 8.2e-3
+
+
 def brute_classes(rows, kept=False):
     """rows: (id, text); the least id of each row's component of pairs at 0.8, by all pairs; or that of each component."""
 
