@@ -35,9 +35,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 IS_HEX = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
 
-LITERAL = r""""(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`"""
-BARE = r"""[^\s"'`,;(){}\[\]<>|&]{1,4096}"""
-PAIR = re.compile(rf"""(?<![\w.$-])(?:"([A-Za-z_][\w.-]{{0,79}})"|'([A-Za-z_][\w.-]{{0,79}})'|([A-Za-z_][\w.-]{{0,79}}))[ \t]{{0,8}}(?::=|=>|==?|:)[ \t]{{0,8}}((?:{LITERAL}|{BARE})(?:[ \t]{{0,4}}[+.][ \t]{{1,4}}(?:{LITERAL}|[A-Za-z_]\w{{0,79}})){{0,16}})""")
+# no length is bounded: possessive repeats never go back, so a scan's time is bounded all the same
+LITERAL = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\n]*+`"""
+BARE = r"""[^\s"'`,;(){}\[\]<>|&]++"""
+NAME = r"[A-Za-z_][\w.-]*+"
+PAIR = re.compile(rf"""(?<![\w.$-])(?:"({NAME})"|'({NAME})'|({NAME}))[ \t]*+(?::=|=>|==?|:)[ \t]*+((?:{LITERAL}|{BARE})(?:[ \t]*+[+.][ \t]++(?:{LITERAL}|[A-Za-z_]\w*+))*+)""")
 TERM = re.compile(rf"{LITERAL}|{BARE}")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Weight of a word, or of two words in a row, in a target's name.
@@ -64,23 +66,37 @@ def literal_weight(text: str) -> float:
     return min(1.0, 0.2 * min(n, 20) / 20 + 0.4 * min(bits, 4) / 4 + 0.15 * classes)
 
 
+def reached(terms: list) -> list[tuple[int, int]]:
+    """The literals of ``terms`` and of the constants in them, in order, each once."""
+    seen, out, todo = set(), {}, terms[::-1]
+    while todo:
+        t = todo.pop()
+        if isinstance(t, tuple):
+            out.setdefault(t)
+        elif id(t) not in seen:
+            seen.add(id(t))
+            todo += t[::-1]
+    return list(out)
+
+
 def lexed(text: str) -> list[tuple[int, int, float]]:
-    """Literals that reach a sensitive name, with their scores."""
-    constants: dict[str, list[tuple[int, int]]] = {}
+    """Literals that reach a sensitive name, with their scores. A literal that reaches it in several ways counts once."""
+    constants: dict[str, list] = {}
     out: dict[tuple[int, int], float] = {}
     for m in PAIR.finditer(text):
         name = m[1] or m[2] or m[3]
-        literals: list[tuple[int, int]] = []
+        terms: list = []
         for t in TERM.finditer(text, m.start(4), m.end(4)):
             a, b = t.span()
             if text[a] in "\"'`":
-                literals.append((a + 1, b - 1))
+                terms.append((a + 1, b - 1))
             elif (known := constants.get(t[0])) is not None:
-                literals += known[: 64 - len(literals)]
+                terms.append(known)
             elif t[0] not in "+.":
-                literals.append((a, b))
-        constants[name] = literals
+                terms.append((a, b))
+        constants[name] = terms
         if weight := name_weight(name):
+            literals = reached(terms)
             whole = "".join(text[a:b] for a, b in literals)
             score = weight * literal_weight(whole)
             if score >= THRESHOLD:

@@ -251,6 +251,22 @@ def test_secrets(spark, docs, edges):
     assert secrets.scan(edges.limit(0)).count() == 0 and secrets.spans("") == []
 
 
+def test_secrets_of_any_length():
+    rnd = random.Random(4)
+    long = "".join(rnd.choice("abcdefghijkLMNOPQRSTUV0123456789+/") for _ in range(6000))
+    lex = lambda text: [text[a:b] for k, a, b, _ in secrets.spans(text) if k == "lex"]
+    assert lex(f"private_key = {long}\n") == [long] == lex(f'private_key = "{long}"\n') == lex(f"pwd{' ' * 50}={' ' * 50}'{long}'")
+    assert lex(f"{'x' * 200}_pwd = '{long[:30]}'") == [long[:30]]
+    parts = [f"{i}-{long[i * 9 : i * 9 + 9]}" for i in range(90)]
+    assert lex("pwd = " + " + ".join(f'"{p}"' for p in parts[:20])) == parts[:20]
+    assert lex("pwd = " + f"{' ' * 20}+{' ' * 20}".join(f'"{p}"' for p in parts[:3])) == parts[:3]
+    assert lex("k = " + " + ".join(f'"{p}"' for p in parts) + "\npwd = k\n") == parts
+    doubled = f'k0 = "{long[:30]}"\n' + "".join(f"k{i} = k{i - 1} + k{i - 1}\n" for i in range(1, 200)) + "pwd = k199\n"
+    assert lex(doubled) == [long[:30]]
+    for odd in ('pwd="' * 50_000, "pwd = " + "a + " * 50_000, "pwd" + " " * 200_000, '"' + "a" * 200_000, "pwd='\\" * 50_000):
+        secrets.spans(odd)
+
+
 def test_signatures_are_unbiased():
     rnd = random.Random(5)
     keys = np.array([rnd.getrandbits(52) for _ in range(300)], np.uint64)
