@@ -10,11 +10,17 @@ Composition of functions is associative, so prefixes are composed block by block
 once (the few hundred functions that can arise are numbered, composition is a table), the blocks'
 totals are scanned in turn, and a table says for state and symbol whether a piece starts there.
 
-Pieces are looked up by a hash of their bytes in a direct-mapped cache; those it lacks are merged
-together, one leftmost lowest-ranked pair in each piece a round. Ranks are those of the vocabulary
-file, pairs merge when the joined bytes are in it, and a piece that is in it stays whole.
+Pieces are looked up by a hash of their bytes in a direct-mapped cache, and compared with the cached
+piece byte by byte; those it lacks are merged together, one leftmost lowest-ranked pair in each piece
+a round. Ranks are those of the vocabulary file, pairs merge when the joined bytes are in it, and a
+piece that is in it stays whole.
 
-Null and empty text give no ids and empty bytes; equal texts give equal ids. Text must be valid UTF-8.
+Each token's end is kept as the byte offset in the text, counted from its piece's place; decoding
+must reach the same offsets, or the task fails.
+
+Null and empty text give no ids and empty bytes; equal texts, repeated rows and ties give equal ids.
+What isn't valid UTF-8 in a text is read as U+FFFD, as Python's and Spark's decoders do. An empty
+table gives an empty one. New columns replace those of the same name; all others stay.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SliceHash, binary_column, map_batches, ragged, steps, utf8
+from .common import SliceHash, binary_column, map_batches, ragged, same_slices, steps, utf8
 
 K, LETTERS, DIGITS, OTHER, APOSTROPHE, MIDDLE, JOINED, SPACES = range(8)
 LETTER, LETTER_1, LETTER_2, NUMBER, SIGN, QUOTE, SPACE_BEFORE, BLANK_BEFORE, BLANK = range(9)
@@ -38,8 +44,8 @@ BLOCK = 64
 NONE = np.iinfo(np.int32).max
 #: Longer pieces are merged one by one with a heap.
 VECTOR_BYTES = 32
-#: Slots of the piece cache; pieces kept before it starts anew.
-SLOTS, KEPT_PIECES = 1 << 19, 1 << 20
+#: Slots of the piece cache; pieces and bytes of pieces kept before it starts anew.
+SLOTS, KEPT_PIECES, KEPT_BYTES = 1 << 19, 1 << 20, 1 << 25
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -152,7 +158,25 @@ class Encoder:
 
     def _clear(self) -> None:
         self.slot_hash, self.slot_piece = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self.piece_at, self.piece_len, self.kept = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        # of each kept piece: its ids' place and number, its bytes' place and number; piece 0 is none
+        self.piece_at, self.piece_len, self.text_at, self.text_len = (np.zeros(1, np.int64) for _ in range(4))
+        self.kept = np.zeros(0, np.int32)
+        self.texts, self.used = SliceHash().load(np.zeros(1 << 16, np.uint8)), 0
+
+    def _keep(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> int:
+        """Keeps pieces with their ids; the number of the first."""
+        base, total = len(self.piece_at), int(lengths.sum())
+        if self.used + total > self.texts.size:
+            more = np.zeros(2 * (self.used + total), np.uint8)
+            more[: self.used] = self.texts.bytes[: self.used]
+            self.texts.load(more)
+        self.texts.bytes[self.used : self.used + total] = data[ragged(starts, lengths)]
+        self.text_at = np.concatenate([self.text_at, self.used + np.cumsum(lengths) - lengths])
+        self.text_len = np.concatenate([self.text_len, lengths])
+        self.piece_at = np.concatenate([self.piece_at, len(self.kept) + np.cumsum(counts) - counts])
+        self.piece_len, self.kept = np.concatenate([self.piece_len, counts]), np.concatenate([self.kept, ids])
+        self.used += total
+        return base
 
     def _hash_pairs(self, keys: np.ndarray, values: np.ndarray) -> None:
         """An open-addressing table of the pairs, at most a quarter full."""
@@ -295,38 +319,43 @@ class Encoder:
                 counts[i] = 1
         return flat[flat >= 0], counts
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the texts, and the number of ids in each."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids of the texts, the number of ids in each, and the offset in ``data`` at which each token's bytes end."""
         n = len(offsets) - 1
         if not len(data):
-            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+            return np.zeros(0, np.int32), np.zeros(n, np.int64), np.zeros(0, np.int64)
         code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         first = np.searchsorted(lead, np.unique(offsets[:-1][np.diff(offsets) > 0]))
         begins = lead[self.automaton.piece_starts(self.symbols(code, first), first)]
         ends = np.append(begins[1:], len(data))
-        h = self.hash(data, begins, ends)
+        sizes = ends - begins
+        h = self.hash.load(data).slices(begins, ends)
         h[h == 0] = 1
+        if len(self.piece_at) > KEPT_PIECES or self.used > KEPT_BYTES:
+            self._clear()
         slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        piece = np.where(self.slot_hash[slot] == h, self.slot_piece[slot], -1)
-        miss = np.flatnonzero(piece < 0)
+        piece = np.where(self.slot_hash[slot] == h, self.slot_piece[slot], 0)
+        miss = np.flatnonzero(piece == 0)
         if len(miss):
-            if len(self.piece_at) > KEPT_PIECES:
-                self._clear()
-                miss = np.arange(len(h))
             new, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            ids, counts = self.merge(data, begins[miss[one]], (ends - begins)[miss[one]], new)
-            base = len(self.piece_at)
-            self.piece_at = np.concatenate([self.piece_at, len(self.kept) + np.cumsum(counts) - counts])
-            self.piece_len, self.kept = np.concatenate([self.piece_len, counts]), np.concatenate([self.kept, ids])
+            which = miss[one]
+            base = self._keep(data, begins[which], sizes[which], *self.merge(data, begins[which], sizes[which], new))
             piece[miss] = base + back
             at = (new & np.uint64(SLOTS - 1)).astype(np.int64)
             self.slot_hash[at], self.slot_piece[at] = new, np.arange(base, base + len(new))
+        # equal hashes don't prove equal bytes
+        same = self.text_len[piece] == sizes
+        same[same] = same_slices(self.hash, begins[same], self.texts, self.text_at[piece[same]], sizes[same])
+        if len(wrong := np.flatnonzero(~same)):
+            piece[wrong] = self._keep(data, begins[wrong], sizes[wrong], *self.merge(data, begins[wrong], sizes[wrong], h[wrong])) + np.arange(len(wrong))
         counts = self.piece_len[piece]
         flat = self.kept[ragged(self.piece_at[piece], counts)]
         total = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=total[1:])
-        return flat, np.diff(total[np.searchsorted(begins, offsets)])
+        reached = np.cumsum(self.lengths[flat])
+        before = np.append(0, reached)[total[:-1]]
+        return flat, np.diff(total[np.searchsorted(begins, offsets)]), reached + np.repeat(begins - before, counts)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the ids, and the byte offset at which each ends."""
@@ -341,30 +370,47 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def valid(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with U+FFFD for what isn't UTF-8; offsets follow."""
+    try:
+        data.tobytes().decode("utf-8")
+        # a character may not reach over a text's end either
+        inner = offsets[(offsets > 0) & (offsets < len(data))]
+        if not ((data[inner] & 0xC0) == 0x80).any():
+            return data, offsets
+    except UnicodeDecodeError:
+        pass
+    fixed = [data[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(offsets, offsets[1:])]
+    return np.frombuffer(b"".join(fixed), np.uint8), np.concatenate([[0], np.cumsum([len(f) for f in fixed])]).astype(np.int64)
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids", ends: str | None = "token_ends", decoded: str | None = None) -> DataFrame:
     """``df`` with the ids of each text and the byte offset in the text at which each token ends.
 
     Both are packed as little-endian unsigned 32-bit integers in a binary column; ``ends=None`` leaves the offsets out.
-    ``decoded`` names a column for the bytes decoded from the ids in the same pass, as ``decode`` would.
+    ``decoded`` names a column for the bytes decoded from the ids in the same pass, as ``decode`` would, whose tokens
+    must end at these offsets.
     """
 
     def start():
         enc = encoder(vocabulary)
 
         def step(columns: list[pa.Array]) -> list[pa.Array]:
-            data, offsets = utf8(columns[0])
+            data, offsets = valid(*utf8(columns[0]))
             flat, counts, places, made, edges = [], [], [], [], [np.zeros(1, np.int64)]
             for a, b in steps(offsets):
                 part = offsets[a : b + 1] - offsets[a]
-                x, n = enc.encode(data[offsets[a] : offsets[b]], part)
+                x, n, stops = enc.encode(data[offsets[a] : offsets[b]], part)
                 flat.append(x.astype("<u4"))
                 counts.append(n)
                 if ends:
-                    places.append((np.cumsum(enc.lengths[x]) - np.repeat(part[:-1], n)).astype("<u4"))
+                    places.append((stops - np.repeat(part[:-1], n)).astype("<u4"))
                 if decoded:
-                    bytes_, stops = enc.decode(x)
+                    bytes_, reached = enc.decode(x)
+                    if not np.array_equal(reached, stops):
+                        raise ValueError("the decoded tokens don't end where the text's do")
                     made.append(bytes_)
-                    edges.append(np.append(0, stops)[np.cumsum(n)] + edges[-1][-1])
+                    edges.append(np.append(0, reached)[np.cumsum(n)] + edges[-1][-1])
             until = np.cumsum(np.concatenate(counts)) * 4
             out = [binary_column(np.concatenate(flat).view(np.uint8), until)]
             out += [binary_column(np.concatenate(places).view(np.uint8), until)] if ends else []
@@ -414,10 +460,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     vocabulary = default_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = encode(docs, vocabulary, ends=None, decoded="decoded")
+    out = encode(docs, vocabulary, decoded="decoded")
     return out.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("token_ends", 256).alias("ends_sha256"),
     )

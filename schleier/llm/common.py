@@ -7,6 +7,7 @@ depend on the worker that made them.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -46,9 +47,12 @@ def without(df: DataFrame, names: Iterable[str]) -> list[str]:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir. Where that is unset, a local one if the
+    master is local (tests), else an error: a folder of the driver's own machine is never used on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark, "_schleier_dir", None)
         if not base:
             base = spark._schleier_dir = tempfile.mkdtemp(prefix="schleier-")
@@ -127,36 +131,82 @@ def mix(x: np.ndarray) -> np.ndarray:
 class SliceHash:
     """64-bit hashes of many byte slices at once.
 
-    Byte b at position p adds code[b] * base**p to a wrapping prefix sum; the difference of two sums,
-    divided by base**start, is a polynomial of the slice alone.
+    A slice is read eight bytes at a time; each step goes through the finaliser, so that no ring's algebra
+    (polynomials modulo 2^64 have colliding words of 1,024 bytes whatever the base) survives it. Its length is in the
+    first step. Slices over LONG bytes are hashed by BLAKE2b. Operators whose results must be exact compare bytes too.
     """
 
-    BASE = 0x9E3779B97F4A7C15 | 1
-
-    def __init__(self) -> None:
-        self.code = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if n > len(self.up):
-            n = max(n, CHUNK_BYTES + 1)
-            inverse = pow(self.BASE, -1, 1 << 64)
-            for name, base in (("up", self.BASE), ("down", inverse)):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+    LONG, ROWS = 128, 1 << 17
+
+    size = 0
+    bytes = np.zeros(8, np.uint8)
+
+    def load(self, data: np.ndarray) -> SliceHash:
+        """Takes the buffer whose slices ``slices`` hashes."""
+        self.size = len(data)
+        self.bytes = np.zeros(len(data) + 8, np.uint8)
+        self.bytes[: len(data)] = data
+        # the eight bytes from each position on
+        self.words = np.ndarray((len(data) + 1,), "<u8", self.bytes, strides=(1,))
+        return self
+
+    def __getstate__(self) -> np.ndarray:
+        return self.bytes[: self.size]
+
+    def __setstate__(self, data: np.ndarray) -> None:
+        self.load(data)
+
+    def block(self, at: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Eight bytes from each position, those from the ``rest``-th on as 0."""
+        out = self.words[at]
+        short = np.flatnonzero(rest < 8)
+        out[short] &= MASKS[rest[short]]
+        return out
+
+    def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), np.uint64)
+        for a in range(0, len(starts), self.ROWS):
+            out[a : a + self.ROWS] = self._some(starts[a : a + self.ROWS], ends[a : a + self.ROWS])
+        return out
+
+    def _some(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        left = ends - starts
+        h = mix(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))
+        long = np.flatnonzero(left > self.LONG)
+        live = np.flatnonzero((left > 0) & (left <= self.LONG)) if len(long) else np.flatnonzero(left > 0)
+        at, left = starts[live], left[live]
+        with np.errstate(over="ignore"):
+            while len(live):
+                h[live] = mix((h[live] ^ self.block(at, left)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xA0761D6478BD642F))
+                on = left > 8
+                live, at, left = live[on], at[on] + 8, left[on] - 8
+        for i in long.tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.bytes[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return h
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        term = self.code[data]
-        term *= self.up[: len(data)]
-        np.cumsum(term, out=sums[1:])
-        h = sums[ends]
-        h -= sums[starts]
-        h *= self.down[starts]
-        h += (ends - starts).astype(np.uint64)
-        return mix(h)
+        return self.load(data).slices(starts, ends)
+
+
+#: The first 0 to 7 bytes of eight.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+
+
+def same_slices(a: SliceHash, a_starts: np.ndarray, b: SliceHash, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the slices of two loaded buffers have the same bytes."""
+    out = np.ones(len(lengths), bool)
+    live, x, y, left = np.arange(len(lengths)), a_starts, b_starts, lengths
+    for _ in range(8):
+        on = left > 0
+        live, x, y, left = live[on], x[on], y[on], left[on]
+        if not len(live):
+            return out
+        out[live] = a.block(x, left) == b.block(y, left)
+        on = out[live]
+        live, x, y, left = live[on], x[on] + 8, y[on] + 8, left[on] - 8
+    for i, s, e, n in zip(live.tolist(), x.tolist(), y.tolist(), left.tolist()):
+        out[i] = n <= 0 or a.bytes[s : s + n].tobytes() == b.bytes[e : e + n].tobytes()
+    return out
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SliceHash, fresh, map_batches, ragged, table, utf8, words_of
+from .common import SliceHash, fresh, map_batches, ragged, same_slices, table, utf8, words_of
 
 WINDOW = 13
 #: Words of the benchmark that one pass holds.
@@ -168,8 +168,9 @@ class Block:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
         starts, ends, counts = words_of(data, offsets, IS_WORD)
-        hashes = SliceHash()(data, starts, ends)
-        self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
+        self.hasher = SliceHash().load(data)
+        self.vocabulary, symbols = np.unique(self.hasher.slices(starts, ends), return_inverse=True)
+        self.word_starts, self.word_sizes = starts, ends - starts
         self.flat = symbols.astype(np.int32) + 1
         first = np.cumsum(counts) - counts
         windows = np.where(counts >= WINDOW, counts - WINDOW + 1, np.minimum(counts, 1))
@@ -179,8 +180,9 @@ class Block:
         self.item_ids = [i for i, _ in items]
         self.shortest = int(self.lengths.min(initial=WINDOW))
 
-    def occurrences(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first word and the window of each occurrence; ``words``: hashes of the shard's words."""
+    def occurrences(self, shard: SliceHash, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first word and the window of each occurrence in the texts that ``shard`` has loaded; their words' bytes are compared."""
+        words = shard.slices(starts, ends)
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(self.starts) or not len(words):
             return none
@@ -208,7 +210,16 @@ class Block:
         low, high = index.search(self.flat, self.starts, self.lengths)
         found = np.flatnonzero(low < high)
         times = (high - low)[found]
-        return place[index.locate(ragged(low[found], times))], np.repeat(found, times)
+        at, window = place[index.locate(ragged(low[found], times))], np.repeat(found, times)
+        # equal hashes don't prove equal words: each word of each occurrence is compared, in parts
+        right = np.ones(len(at), bool)
+        for a in range(0, len(at), 1 << 16):
+            n = self.lengths[window[a : a + (1 << 16)]]
+            mine, its = ragged(at[a : a + (1 << 16)], n), ragged(self.starts[window[a : a + (1 << 16)]], n)
+            same = (ends - starts)[mine] == self.word_sizes[its]
+            same[same] = same_slices(shard, starts[mine[same]], self.hasher, self.word_starts[its[same]], self.word_sizes[its[same]])
+            right[a : a + (1 << 16)] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        return at[right], window[right]
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Block]:
@@ -253,16 +264,9 @@ def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str =
                 data, offsets = utf8(columns[0])
                 low = LOWER[data]
                 starts, ends, counts = words_of(low, offsets, IS_WORD)
-                parts, begin = [], 0
-                # hashes in steps: the powers' tables stay small
-                for a in range(0, len(starts), 1 << 17):
-                    s, e = starts[a : a + (1 << 17)], ends[a : a + (1 << 17)]
-                    begin = s[0]
-                    parts.append(hasher(low[begin : e[-1]], s - begin, e - begin))
-                words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-                at, window = block.occurrences(words, counts)
+                at, window = block.occurrences(hasher.load(low), starts, ends, counts)
                 n = len(counts)
-                edge = np.zeros(len(words) + 1, np.int64)
+                edge = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + block.lengths[window], -1)
                 hit = np.cumsum(edge[:-1]) > 0

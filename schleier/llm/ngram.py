@@ -51,11 +51,7 @@ def tokens(hasher: SliceHash, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     """(hash of each token, of the token before it, number of tokens in each text)."""
     low = LOWER[data]
     starts, ends, counts = words_of(low, offsets, IS_TOKEN)
-    parts = []
-    for a in range(0, len(starts), 1 << 17):
-        s, e = starts[a : a + (1 << 17)], ends[a : a + (1 << 17)]
-        parts.append(hasher(low[s[0] : e[-1]], s - s[0], e - s[0]))
-    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    words = hasher(low, starts, ends)
     words[(words == END) | (words == START)] = U(1)
     counts = counts + 1
     out = np.full(int(counts.sum()), END, np.uint64)

@@ -187,19 +187,6 @@ def features(lexicon: Lexicon, hasher: SliceHash, data: np.ndarray, offsets: np.
     return np.minimum(out, [10.0, 10.0])
 
 
-class ChunkHash(SliceHash):
-    """Hashes of slices of one buffer whose prefix sums are kept."""
-
-    def load(self, data: np.ndarray) -> None:
-        self._powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.code[data] * self.up[: len(data)], out=self.sums[1:])
-
-    def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix(h + (ends - starts).astype(np.uint64))
-
-
 def _candidates(text: str) -> list[str]:
     """Words, marked by a final blank, and word beginnings; those that come twice once more with the mark TWICE."""
     words = Counter(WORD.findall(lowered(text)))
@@ -298,7 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     out = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x1", "x2", "y")])
 
     def score(batches):
-        hasher, lexicons = ChunkHash(), [Lexicon(h) for h in shared.value]
+        hasher, lexicons = SliceHash(), [Lexicon(h) for h in shared.value]
         for b in batches:
             data, offsets = utf8(b.column(1))
             halves_ = np.array(b.column(2).to_pylist())
@@ -317,7 +304,7 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") ->
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most MOST_INSULTS insults
 
     def start():
-        hasher, lexicon, w = ChunkHash(), Lexicon(shared.value.insults), shared.value.curve
+        hasher, lexicon, w = SliceHash(), Lexicon(shared.value.insults), shared.value.curve
 
         def step(columns: list[pa.Array]) -> list[pa.Array]:
             data, offsets = utf8(columns[0])
