@@ -1,20 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar whose insults are learned from labels.
 
-*Grammar.* A clause (words between . ! ? ; : and line breaks) is read by a product of transducers: targets raise
-the weight of what follows them in the clause, negations lower that of the next words, reported speech that of the
-rest of the clause, and threats count where a target is near. A clause's score is the sum of its insults' and
-threats' weights times these factors; words outside such patterns score nothing. A document's features are the
-logarithm of its clauses' total and the density of its hits; a logistic curve makes them a score from 0 to 1.
+*Grammar.* A clause (words between . ! ? ; : and line breaks) is read by the product of five transducers. Four forms
+of clause match: an aimed insult (an insult and a target, in any order), name-calling (an insult without a target, whose
+target is the reader), an aimed threat (a target at most six words before the threat or three after it), and mixtures.
+An insult at most two words after a negation counts for less, and so does all of a clause with reported speech. Targets, negations and
+reports alone, and threats that aim at nobody, match nothing and score nothing. A clause's score is the sum that its path gives
+out, times the weight of the state that it ends in; documents are scored by their matching clauses alone: by the logarithm of
+their total, and by their share of all clauses. A logistic curve makes a score from 0 to 1 of these.
 
 *Learning.* Words, and word beginnings of 3 to 10 code points, that are significantly commoner in toxic documents
 become insults, with their log-odds as weights, beside a short list of fixed seed words. What is telling only where
 it comes twice has half its log-odds for each time. Of candidates that begin one another the most significant stays. Labels are learned from at most ``TRAIN_ROWS`` labelled documents (those whose
-hashed ids come first); equal texts count once. Candidates are counted in Spark in two halves, and the curve is
-fitted to documents scored by the other half's insults, so that it isn't fitted to what the insults were chosen by.
+hashed ids come first); equal texts count once. Candidates are counted and tested in Spark in two halves, all that pass
+the tests are kept (the sample's size bounds them), and the curve is fitted to documents scored by the other half's insults, so that it isn't fitted to what the insults were chosen by.
 
 Scores depend on the text alone. Null and empty texts get the curve's value at zero; without labels, or with one
 label only, the seeds and a fixed curve remain. Repeated ids with differing labels count as toxic if one is; null
-ids and null labels aren't learned from. New columns replace those of the same name.
+ids and null labels aren't learned from. Ties and repeated rows get equal scores, an empty table an empty result. New columns
+replace those of the same name.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ from .common import SliceHash, bound_batches, fresh, map_batches, mix, steps, st
 from .decontaminate import IS_WORD, LOWER
 
 TRAIN_ROWS = 16_000
-MOST_INSULTS = 4_000
 PREFIXES = range(3, 11)
 #: Least support, least G-statistic and least log-odds of an insult.
 LEAST_DOCS, LEAST_G, LEAST_ODDS = 5, 25.0, 2.0
@@ -53,63 +55,81 @@ CLASSES = range(6)
 TWICE = "\x02"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 IS_BREAK = np.isin(np.arange(256), np.frombuffer(b".!?;:\n\r", np.uint8))
-#: Features' weights where nothing can be learned: a constant, log(1 + total), hits in 100 words.
+#: The curve where nothing can be learned: a constant, log(1 + total of the matching clauses), their share of all.
 PRIOR = (-3.5, 1.5, 0.5)
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """steps[state][class] = (next state, factor of the word's weight); it starts in state 0."""
+    """It starts in state 0. steps[state][class] = (next state, factor of an insult's weight, weight given out besides);
+    ends[state] is the factor of what a clause that ends there has given out."""
 
-    steps: tuple[tuple[tuple[int, float], ...], ...]
+    steps: tuple[tuple[tuple[int, float, float], ...], ...]
+    ends: tuple[float, ...]
 
 
-def _machine(*states: dict[int, tuple[int, float]], other: tuple[tuple[int, float], ...]) -> Transducer:
-    return Transducer(tuple(tuple(s.get(c, rest) for c in CLASSES) for s, rest in zip(states, other)))
-
-
-#: After a target, insults count for more.
-TO_TARGET = _machine({TARGET: (1, 1.0)}, {TARGET: (1, 1.0), INSULT: (1, 1.3), THREAT: (1, 1.3)}, other=((0, 1.0), (1, 1.0)))
-#: A threat without a target in the six words before it counts for little.
-TO_THREAT = _machine(*({TARGET: (1, 1.0), THREAT: (s and (s + 1) % 7, 1.0 if s else 0.2)} for s in range(7)), other=tuple(((s + 1) % 7 if s else 0, 1.0) for s in range(7)))
-#: Two words after a negation count for less.
-TO_NEGATION = _machine({NEGATION: (1, 1.0)}, {NEGATION: (1, 1.0), INSULT: (2, 0.6), THREAT: (2, 0.4)}, {NEGATION: (1, 1.0), INSULT: (0, 0.6), THREAT: (0, 0.4)}, other=((0, 1.0), (2, 1.0), (0, 1.0)))
-#: What is reported counts for less to the clause's end.
-TO_REPORT = _machine({REPORT: (1, 1.0)}, {INSULT: (1, 0.7), THREAT: (1, 0.5)}, other=((0, 1.0), (1, 1.0)))
-
-
-def compose(*machines: Transducer) -> Transducer:
-    """The product: states are tuples of states, factors multiply; states that can't be reached are left out."""
-    start = (0,) * len(machines)
+def machine(start, step, end=lambda state: 1.0) -> Transducer:
+    """The transducer of the states that ``step(state, class) -> (state, factor, weight)`` reaches."""
     number, rows, todo = {start: 0}, [], [start]
     for state in todo:  # grows while it is read
         row = []
         for c in CLASSES:
-            moves = [m.steps[s][c] for m, s in zip(machines, state)]
-            to = tuple(m[0] for m in moves)
+            to, factor, weight = step(state, c)
             if to not in number:
                 number[to] = len(number)
                 todo.append(to)
-            row.append((number[to], math.prod(m[1] for m in moves)))
+            row.append((number[to], factor, weight))
         rows.append(tuple(row))
-    return Transducer(tuple(rows))
+    return Transducer(tuple(rows), tuple(end(s) for s in todo))
+
+
+def compose(*machines: Transducer) -> Transducer:
+    """The product: states are tuples of states, factors multiply, weights add up."""
+
+    def step(states, c):
+        moves = [m.steps[s][c] for m, s in zip(machines, states)]
+        return tuple(m[0] for m in moves), math.prod(m[1] for m in moves), sum(m[2] for m in moves)
+
+    return machine((0,) * len(machines), step, lambda states: math.prod(m.ends[s] for m, s in zip(machines, states)))
 
 
-GRAMMAR = compose(TO_TARGET, TO_THREAT, TO_NEGATION, TO_REPORT)
+#: How far before and after a threat its target may be, and how far an insult's negation reaches.
+BEFORE, AFTER, REACH = 6, 3, 2
+AIMED, NEGATED, REPORTED, THREAT_WEIGHT = 1.3, 0.3, 0.5, 3.0
+#: Insults give out their weights.
+OF_INSULTS = machine(0, lambda s, c: (0, 1.0 if c == INSULT else 0.0, 0.0))
+#: A clause with a target counts for more than one that calls names.
+OF_TARGETS = machine(0, lambda s, c: (int(s or c == TARGET), 1.0, 0.0), lambda s: AIMED if s else 1.0)
+
+
+def _threat(state: tuple[int, int], c: int) -> tuple[tuple[int, int], float, float]:
+    """State: words that the last target still reaches on, and words that the last unaimed threat waits for one."""
+    reach, wait = state
+    if c == TARGET:
+        return (BEFORE, 0), 1.0, THREAT_WEIGHT if wait else 0.0
+    aimed = c == THREAT and reach > 0
+    return (max(reach - 1, 0), AFTER if c == THREAT and not aimed else 0 if aimed else max(wait - 1, 0)), 1.0, THREAT_WEIGHT if aimed else 0.0
+
+
+OF_THREATS = machine((0, 0), _threat)
+#: Words that a negation still reaches.
+OF_NEGATIONS = machine(0, lambda s, c: (REACH, 1.0, 0.0) if c == NEGATION else (max(s - 1, 0), NEGATED if s else 1.0, 0.0))
+#: What is reported counts for less, whether the report comes before or after it.
+OF_REPORTS = machine(0, lambda s, c: (int(s or c == REPORT), 1.0, 0.0), lambda s: REPORTED if s else 1.0)
+GRAMMAR = compose(OF_INSULTS, OF_TARGETS, OF_THREATS, OF_NEGATIONS, OF_REPORTS)
 
 
 def clause_scores(classes: list[int], weights: list[float], breaks: list[bool]) -> list[float]:
     """The score of each clause that matches; a clause begins at each word with a break before it."""
-    out, state, score, table_ = [], 0, 0.0, GRAMMAR.steps
+    out, state, score, steps, ends = [], 0, 0.0, GRAMMAR.steps, GRAMMAR.ends
     for c, w, b in zip(classes, weights, breaks):
         if b:
             if score:
-                out.append(score)
+                out.append(score * ends[state])
             state, score = 0, 0.0
-        state, factor = table_[state][c]
-        if w:
-            score += w * factor
-    return out + [score] if score else out
+        state, factor, weight = steps[state][c]
+        score += w * factor + weight
+    return out + [score * ends[state]] if score else out
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -132,7 +152,7 @@ class Lexicon:
         weights = {(w, True): 3.0 for w in INSULTS}
         for text, whole, weight in insults:
             weights[text, whole] = max(weight, weights.get((text, whole), 0.0))
-        fixed = [(w, c, x) for words, c, x in ((THREATS, THREAT, 3.0), (TARGETS, TARGET, 0.0), (NEGATIONS, NEGATION, 0.0), (REPORTS, REPORT, 0.0)) for w in words]
+        fixed = [(w, c, x) for words, c, x in ((THREATS, THREAT, 0.0), (TARGETS, TARGET, 0.0), (NEGATIONS, NEGATION, 0.0), (REPORTS, REPORT, 0.0)) for w in words]
         whole = [(w, INSULT, x) for (w, full), x in weights.items() if full]
         seen = {w for w, *_ in whole}
         self.words = self._table(whole + [f for f in fixed if f[0] not in seen])
@@ -167,14 +187,14 @@ class Lexicon:
 
 
 def features(lexicon: Lexicon, hasher: SliceHash, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log(1 + the clauses' total) and hits in 100 words of each text."""
+    """log(1 + the matching clauses' total) and their share of the clauses, for each text."""
     low = lower(data)
     starts, ends, counts = words_of(low, offsets, IS_WORD)
     hasher.load(low)
     classes, weights = lexicon.classify(hasher, low, starts, ends)
     out = np.zeros((len(counts), 2))
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    hits = np.concatenate([[0], np.cumsum(weights > 0)])
+    hits = np.concatenate([[0], np.cumsum((classes == INSULT) | (classes == THREAT))])
     hits = hits[bounds[1:]] - hits[bounds[:-1]]
     for i in np.flatnonzero(hits).tolist():
         a, b = bounds[i], bounds[i + 1]
@@ -182,9 +202,9 @@ def features(lexicon: Lexicon, hasher: SliceHash, data: np.ndarray, offsets: np.
         breaks = np.concatenate([[0], np.cumsum(IS_BREAK[text])])
         s, e = starts[a:b] - offsets[i], ends[a:b] - offsets[i]
         new = np.append(True, breaks[s[1:]] > breaks[e[:-1]])
-        total = sum(clause_scores(classes[a:b].tolist(), weights[a:b].tolist(), new.tolist()))
-        out[i] = math.log1p(total), 100.0 * hits[i] / (b - a)
-    return np.minimum(out, [10.0, 10.0])
+        found = clause_scores(classes[a:b].tolist(), weights[a:b].tolist(), new.tolist())
+        out[i] = math.log1p(sum(found)), len(found) / new.sum()
+    return out
 
 
 def _candidates(text: str) -> list[str]:
@@ -199,6 +219,14 @@ def _candidates(text: str) -> list[str]:
     return [*out, *(c + TWICE for c, n in out.items() if n > 1)]
 
 
+def _tests(p, n, toxic: int, clean: int, log) -> tuple:
+    """Log-odds and G-statistic of p toxic and n clean documents with a candidate; of numbers or columns. A count of 0 adds nothing to G."""
+    share = toxic / (toxic + clean)
+    odds = log((p + 0.5) / (toxic + 1)) - log((n + 0.5) / (clean + 1))
+    # x log x is 0 at 0, as it is with a vanishing number instead
+    return odds, 2 * (p * log((p + 1e-300) / ((p + n + 1e-300) * share)) + n * log((n + 1e-300) / ((p + n + 1e-300) * (1 - share))))
+
+
 def chosen(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> list[tuple[str, bool, float]]:
     """Insults among (candidate, toxic documents, clean documents): the most significant, none the beginning of another.
 
@@ -206,13 +234,10 @@ def chosen(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> list[tup
     """
     if not toxic or not clean:
         return []
-    share, found = toxic / (toxic + clean), []
+    found = []
     for text, p, n in rows:
-        if p < LEAST_DOCS:
-            continue
-        odds = math.log((p + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
-        g = 2 * (p * math.log(p / ((p + n) * share)) + (n * math.log(n / ((p + n) * (1 - share))) if n else 0))
-        if odds >= LEAST_ODDS and g >= LEAST_G:
+        odds, g = _tests(p, n, toxic, clean, math.log)
+        if p >= LEAST_DOCS and odds >= LEAST_ODDS and g >= LEAST_G:
             twice = text.endswith(TWICE)
             found.append((g, text.removesuffix(TWICE), odds / (1 + twice)))
     out: dict[str, float] = {}
@@ -220,7 +245,7 @@ def chosen(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> list[tup
     for _, text, weight in sorted(found, key=lambda x: (-round(x[0], 6), -len(x[1]), x[1])):
         word = text.rstrip(" ")
         begins = {word[:k] for k in range(1, len(word) + 1)}
-        if len(out) < MOST_INSULTS and word not in inner and not any(b in out or b + " " in out and b == word for b in begins):
+        if word not in inner and not any(b in out or b + " " in out and b == word for b in begins):
             out[text] = round(weight, 4)
             inner |= begins
     return [(t.rstrip(" "), t.endswith(" "), w) for t, w in out.items()]
@@ -274,13 +299,20 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([k[x] for x in every], pa.int64()) for k in tally)], fields.names)
 
     counted = rows.mapInArrow(count, fields).groupBy("candidate").agg(*(F.sum(c).alias(c) for c in fields.names[1:]))
-    counted = counted.where((F.col("p0") + F.col("p1") >= LEAST_DOCS) & ((F.col("p0") + F.col("p1")) * 4 > F.col("n0") + F.col("n1")))
-    found = [tuple(r) for r in counted.orderBy((-(F.col("p0") + F.col("p1")) + F.col("n0") + F.col("n1")), "candidate").limit(50_000).collect()]
     n = lambda h, y: sizes.get((h, y), 0)
-    whole = chosen([(c, p0 + p1, n0 + n1) for c, p0, n0, p1, n1 in found], n(0, 1) + n(1, 1), n(0, 0) + n(1, 0))
-    halves = [chosen([(c, p0, n0) for c, p0, n0, _, _ in found], n(0, 1), n(0, 0)), chosen([(c, p1, n1) for c, _, _, p1, n1 in found], n(1, 1), n(1, 0))]
-    if not (n(0, 1) + n(1, 1)) or not (n(0, 0) + n(1, 0)):
+    toxic, clean = [n(h, 1) for h in (0, 1)], [n(h, 0) for h in (0, 1)]
+    if not sum(toxic) or not sum(clean):
         return Model([], PRIOR)
+
+    def passes(p, m, t: int, c: int):
+        odds, g = _tests(p, m, t, c, F.log) if t and c else (F.lit(0.0), F.lit(0.0))
+        return (p >= LEAST_DOCS) & (odds >= LEAST_ODDS - 1e-6) & (g >= LEAST_G - 1e-6)
+
+    p, m = F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1")
+    any_ = passes(p, m, sum(toxic), sum(clean)) | passes(F.col("p0"), F.col("n0"), toxic[0], clean[0]) | passes(F.col("p1"), F.col("n1"), toxic[1], clean[1])
+    found = [tuple(r) for r in counted.where(any_).collect()]
+    whole = chosen([(c, p0 + p1, n0 + n1) for c, p0, n0, p1, n1 in found], sum(toxic), sum(clean))
+    halves = [chosen([(c, p0, n0) for c, p0, n0, _, _ in found], toxic[0], clean[0]), chosen([(c, p1, n1) for c, _, _, p1, n1 in found], toxic[1], clean[1])]
     shared = docs.sparkSession.sparkContext.broadcast(halves)
     out = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x1", "x2", "y")])
 
@@ -301,7 +333,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
     """``df`` with each text's score."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most MOST_INSULTS insults
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the words of TRAIN_ROWS documents
 
     def start():
         hasher, lexicon, w = SliceHash(), Lexicon(shared.value.insults), shared.value.curve
