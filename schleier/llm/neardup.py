@@ -22,8 +22,8 @@ exact sum a pair at 0.8 fails this with a probability of 2e-9), then their bags.
 that join components leave it, so its rows grow with the nodes, but its time with the square of a family.
 Components are found in Spark; their class id is the least doc_id.
 
-Texts without words are linked to equal texts only; null counts as empty. Repeated rows each get their class. A
-null id is the greatest.
+Texts without words are linked to equal texts only; null counts as empty. Repeated rows each get their class, ties too. A
+null id is the greatest. Empty tables give empty ones. ``dedupe`` keeps all columns, whatever their names; ``classes`` gives its own only.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ STEP_BYTES, STEP_ROWS = 1 << 19, 200
 SMALL = 32
 #: Registers, of 160, in which two nodes of a family agree at least if their bags are compared.
 LEAST = 96
+#: Pairs of one node that a task verifies.
+DEALT = 4096
 #: A family's nodes are compared in blocks of this many bytes, each node counted with NODE_BYTES more.
 BLOCK_BYTES, NODE_BYTES = 8 << 20, 2048
 U = np.uint64
@@ -150,9 +152,9 @@ def _words_key(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np
     return [digest(whole[a:b], b"words") if b > a else digest(raw[offsets[i] : offsets[i + 1]], b"bytes") for i, (a, b) in enumerate(zip(stop, stop[1:]))]
 
 
-def sign(df: DataFrame, text: str, key: str = "text_key", bands: str | None = "bands", registers: str = "registers") -> DataFrame:
+def sign(df: DataFrame, text: str, key: str = "text_key", bands: str = "bands", registers: str = "registers") -> DataFrame:
     """``df`` with a digest of each text's words, its band hashes (none for a text without words), and 16-bit fingerprints of its registers."""
-    fields = [T.StructField(key, T.BinaryType())] + ([T.StructField(bands, T.ArrayType(T.LongType())), T.StructField(registers, T.BinaryType())] if bands else [])
+    fields = [T.StructField(key, T.BinaryType()), T.StructField(bands, T.ArrayType(T.LongType())), T.StructField(registers, T.BinaryType())]
 
     def start():
         hasher = SliceHash()
@@ -162,16 +164,13 @@ def sign(df: DataFrame, text: str, key: str = "text_key", bands: str | None = "b
             keys, hashes, prints = [], [], []
             for a, b in steps(offsets, STEP_BYTES, STEP_ROWS):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                if bands:
-                    rows, found, times, (starts, ends), counts = shingles(part, at, hasher)
-                    signature = signatures(rows, found, times, b - a)
-                    made = band_hashes(signature)
-                    prints += [r.tobytes() for r in (mix(signature.view(np.uint64)) >> U(48)).astype("<u2")]
-                    hashes += [made[i] if counts[i] else made[i][:0] for i in range(b - a)]
-                else:
-                    starts, ends, counts = words_of(LOWER[part], at, IS_WORD)
+                rows, found, times, (starts, ends), counts = shingles(part, at, hasher)
+                signature = signatures(rows, found, times, b - a)
+                made = band_hashes(signature)
+                prints += [r.tobytes() for r in (mix(signature.view(np.uint64)) >> U(48)).astype("<u2")]
+                hashes += [made[i] if counts[i] else made[i][:0] for i in range(b - a)]
                 keys += _words_key(LOWER[part], starts, ends, counts, part.tobytes(), at)
-            return [pa.array(keys, pa.binary())] + ([pa.array(hashes, pa.list_(pa.int64())), pa.array(prints, pa.binary())] if bands else [])
+            return [pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(prints, pa.binary())]
 
         return step
 
@@ -256,28 +255,39 @@ def joined(df: DataFrame) -> DataFrame:
     return dealt.groupBy("family", "i", "j").applyInArrow(one, "a long, b long")
 
 
+def _exact(text):
+    """A digest of the text as it is."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``df``: its id, its ``text_key``, ``class_id`` (the least id of its class), and ``class_number``, which tells
-    classes apart whose least ids are the same, or null."""
-    docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))
+    """A row for each row of ``df``: its id, its ``text_key`` and ``exact`` digest, ``class_id`` (the least id of its class), and
+    ``class_number``, which tells classes apart whose least ids are the same, or null."""
+    docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), _exact(F.col(text)).alias("exact"))
     signed = stored(sign(docs, "body").drop("body"), "signed")
-    nodes = signed.groupBy("text_key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "exact")).alias("first")
+    nodes = signed.groupBy("text_key").agg(first, F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     # in a node's number its copies come first, so that the least of a bucket is its most copied text
     number = F.monotonically_increasing_id() + F.shiftleft((1023 - F.least("copies", F.lit(1023))).cast("long"), 53)
-    nodes = stored(nodes.withColumn("node", number), "nodes")
+    nodes = stored(nodes.select("text_key", F.col("first.id").alias("least"), F.col("first.exact").alias("exact"), "bands", "registers", number.alias("node")), "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = stored(banded.join(pivots, "bucket"), "members")
-    pairs = stored(members.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    wanted = members.select("node").distinct().join(nodes.select("node", "text_key", "least"), "node")
-    # ids may be null, and of several texts: the key tells them apart
-    texts = docs.join(wanted.select("node", F.col("text_key").alias("key"), F.col("least").alias("least_id")), F.col("id").eqNullSafe(F.col("least_id")))
-    bag = bags(sign(texts, "body", bands=None).where("text_key = key").dropDuplicates(["node"]), "body").select("node", "bag")
-    bag = stored(bag, "bags")
+    # a bucket may hold a third of all nodes
+    members = stored(spread(banded, pivots, "bucket").select("node", "bucket", "pivot", "n"), "members")
+    pairs = stored(members.where("pivot <> node").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n")), "pairs")
+    wanted = members.select("node").distinct().join(nodes.select("node", F.col("exact").alias("wanted_exact"), "least"), "node")
+    # the id and the digest name the row; of equal rows one is taken
+    texts = docs.join(wanted, (F.col("exact") == F.col("wanted_exact")) & F.col("id").eqNullSafe(F.col("least")))
+    bag = stored(bags(texts.groupBy("node").agg(F.first("body").alias("body")), "body").select("node", "bag"), "bags")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
+        """The links among pairs (a, b, n); an ``a`` with up to n pairs is dealt to a task for each DEALT of them."""
+        parts = F.ceil(F.col("n") / DEALT).cast("int")
+        dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int"))
+        bag_a = pairs.groupBy("a").agg(F.max("n").alias("n")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+        bag_a = bag_a.join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
+        both = dealt.join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(bag_a, ["a", "part"])
         return overlap(both, "bag_a", "bag_b").where("5 * shared >= 4 * joint").select("a", "b")
 
     links = stored(verified(pairs), "links")
@@ -286,14 +296,14 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         """Members of buckets that hold several components, with their labels."""
         placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        return placed.join(several, "bucket")
+        return spread(placed, several, "bucket").select(*members.columns, "label")
 
     labels = components(links)
     left = stored(mixed(members, labels), "mixed")
     small = left.where(F.col("n") <= SMALL)
     x, y = (small.select("bucket", F.col("node").alias(a), F.col("label").alias(f"of_{a}")) for a in "ab")
     crossing = x.join(y, "bucket").where("a < b and of_a <> of_b").select("a", "b").distinct()
-    links = links.union(stored(verified(crossing.join(pairs, ["a", "b"], "left_anti")), "links"))
+    links = links.union(stored(verified(crossing.join(pairs, ["a", "b"], "left_anti").withColumn("n", F.lit(1))), "links"))
     labels = components(links)
     # a bucket of one component stays one
     large = stored(mixed(left.where(F.col("n") > SMALL).drop("label"), labels), "mixed")
@@ -308,17 +318,18 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     named = linked.groupBy("label").agg(F.min("least").alias("class_id"))
     of_key = spread(linked.select("text_key", "label"), named, "label").select("text_key", "class_id", F.col("label").alias("class_number"))
     of_key = of_key.union(nodes.join(labels, "node", "left_anti").select("text_key", F.col("least").alias("class_id"), F.col("node").alias("class_number")))
-    return signed.select("id", "text_key").join(of_key, "text_key").select(F.col("id").alias(doc_id), "text_key", "class_id", "class_number")
+    # a text with very many copies is a skewed key of narrow rows, which adaptive execution splits
+    return signed.select("id", "text_key", "exact").join(of_key, "text_key").select(F.col("id").alias(doc_id), "text_key", "exact", "class_id", "class_number")
 
 
 def dedupe(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class of ``df``, that of the least id, with its columns as they were."""
-    found = classes(df, doc_id, text)
-    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("text_key"))
-    keep = found.groupBy("class_number").agg(F.min(order).alias("kept")).select(F.col("kept.id").alias("kept_id"), F.col("kept.text_key").alias("kept_key"))
-    rows = sign(df.select(F.struct(*df.columns).alias("row_"), F.col(text).alias("body"), F.col(doc_id).alias("id")), "body", bands=None).drop("body")
-    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")))
-    first = F.row_number().over(Window.partitionBy("id", "text_key").orderBy(F.lit(0)))
+    found = classes(df, doc_id, text).withColumnRenamed(doc_id, "id")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "exact")
+    keep = found.groupBy("class_number").agg(F.min(order).alias("kept")).select(F.col("kept.id").alias("kept_id"), F.col("kept.exact").alias("kept_exact"))
+    rows = df.select(F.struct(*df.columns).alias("row_"), F.col(doc_id).alias("id"), _exact(F.col(text)).alias("exact"))
+    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("exact") == F.col("kept_exact")))
+    first = F.row_number().over(Window.partitionBy("id", "exact").orderBy(F.lit(0)))
     return kept.withColumn("number_", first).where("number_ = 1").select(*(F.col("row_").getField(c).alias(c) for c in df.columns))
 
 
