@@ -1,30 +1,36 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and kept as sorted hash arrays.
+"""An interpolated modified Kneser-Ney model of trigrams, counted in Spark and kept as sorted hash arrays.
 
 Tokens are runs of bytes other than blank and U+0009 to U+000D, A-Z lower-cased, and one end token for each text.
-The first token's context is a start mark, which isn't a token.
+Before the first token there are start marks, which aren't tokens.
 
-1. *Bigrams.* Tasks hash, sort and count their bigrams; what goes through the shuffle is blobs of sorted hash
+1. *Highest order.* Tasks hash, sort and count their n-grams; what goes through the shuffle is blobs of sorted hash
    fragments and counts, one for each of the hash's ranges. A range's blobs are merged and written as one file of
    sorted hashes and counts. Ranges are even whatever the words are, so no word is hot.
-2. *Words.* A second pass looks its bigrams' counts up in those files. An occurrence of a bigram that was counted c
-   times is 1/c of a distinct bigram, so its shares add up to the continuation counts of its second word and to the
-   numbers of successors seen once, twice and oftener of its first one. Words are merged like bigrams.
+2. *Lower orders.* Another pass for each looks the counts of the next higher order up in those files. An occurrence of an
+   n-gram that was counted c times is 1/c of a distinct one, so its shares add up to the number of distinct words before the
+   n-gram's last words, and to the numbers of words after its first words that are seen once, twice and oftener. N-grams that
+   begin with a start mark, which nothing comes before, keep their counts. The same blobs, merged the same way.
 3. *Scores.* Workers map the files into memory, and look up each batch's hashes in order.
 
 The files lie in the folder that all executors share and are read there in place; in a store that isn't a file
 system a worker copies them to its own folder, maps them and unlinks them. A file is written under a name of its
-own by each attempt, and only the names that successful tasks return are read, so lost executors do no harm.
+own by each attempt, and only the names that successful tasks return are read, so lost executors do no harm. The names
+are records of a manifest, which the driver writes row by row and workers map; neither it nor a task holds a list of them.
 
-Ranges have about RANGE_BYTES of text each, so a worker's memory doesn't depend on the corpus; the driver gets
-the files' names and totals. Null and empty texts are one end token; without any training text every token has
-the probability of an unknown word in an empty vocabulary, 1.
+Ranges have about RANGE_BYTES of text each, so a worker's memory doesn't depend on the corpus. Within its range a hash has 40
+bits, so that about one n-gram in a million shares its counts with another. Null and empty texts are one end token; without any
+training text every token has the probability of an unknown word in an empty vocabulary, 1. Ties and repeated rows count each
+time; empty tables give empty ones. New columns replace those of the same name.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,148 +43,217 @@ from pyspark.sql import types as T
 from .common import SliceHash, bound_batches, map_batches, mix, shared_dir, stored, table, utf8, words_of
 from .decontaminate import LOWER
 
+ORDER = 3
 RANGE_BYTES = 16 << 20
-#: Tokens that a task holds before it passes its counts on.
-HELD_TOKENS = 3_000_000
-FRAGMENT = 40
+#: Records that a task holds before it passes them on.
+HELD = 2_000_000
+#: Bits of a hash within its range: the lower ones are kept in a file's array, the upper ones tell the array's part.
+LOWER_BITS, PART_BITS = 32, 8
+FRAGMENT = LOWER_BITS + PART_BITS
+PARTS = 1 << PART_BITS
+#: Files that a worker keeps mapped.
+MAPPED = 512
 U = np.uint64
 END, START = U(0), U(2**64 - 1)
 IS_TOKEN = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-STATS = ("count", "follows", "kinds", "one", "two", "more")
+#: Of an n-gram: its occurrences, the distinct words before it (its occurrences, for the highest order and after a start mark), the
+#: sum of these over its continuations, and how many of those have one, two or more.
+COLUMNS = ("count", "kinds", "follows", "one", "two", "more")
 
 
-def tokens(hasher: SliceHash, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token, of the token before it, number of tokens in each text)."""
+# --- positions and n-grams
+
+
+def positions(hasher: SliceHash, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place in its text) of each position, and the number of tokens in each text: a start mark at place 0, the words, the end."""
     low = LOWER[data]
     starts, ends, counts = words_of(low, offsets, IS_TOKEN)
     words = hasher(low, starts, ends)
     words[(words == END) | (words == START)] = U(1)
-    counts = counts + 1
-    out = np.full(int(counts.sum()), END, np.uint64)
-    last = np.cumsum(counts) - 1
+    sizes = counts + 2
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    out = np.zeros(len(place), np.uint64)
     inner = np.ones(len(out), bool)
-    inner[last] = False
-    out[inner] = words
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[np.append(0, last[:-1] + 1)] = START
-    return out, before, counts
+    inner[first] = inner[first + sizes - 1] = False
+    out[inner], out[first] = words, START
+    return out, place, counts + 1
 
 
-def bigrams(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+def grams(words: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n words that end at each position, with start marks before the text."""
+    out = np.full(len(words), n, np.uint64)
     with np.errstate(over="ignore"):
-        return mix(before * U(0x9E3779B97F4A7C15) + mix(words))
+        for back in range(n - 1, -1, -1):
+            word = words
+            if back:
+                word = np.empty_like(words)
+                word[back:], word[:back] = words[:-back], START
+                word[place < back] = START
+            out = mix(out * U(0x9E3779B97F4A7C15) + word)
+    return out
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.diff(np.append(at, len(keys)))
+# --- blobs
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length; ascending hashes first."""
-    keys = np.diff(columns[0], prepend=U(0))
-    body = b"".join([keys.tobytes(), *(c.astype("<f8" if c.dtype.kind == "f" else "<u4").tobytes() for c in columns[1:])])
-    return len(columns[0]).to_bytes(4, "little") + pa.compress(body, "zstd", asbytes=True)
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, which packs better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    sizes = [8 * n, *((8 if k == "f" else 4) * n for k in kinds)]
-    body = pa.decompress(blob[4:], sum(sizes), "zstd", asbytes=True)
-    at = np.cumsum([0, *sizes])
-    return [np.cumsum(np.frombuffer(body, np.uint64, n), dtype=np.uint64), *(np.frombuffer(body, "<f8" if k == "f" else "<u4", n, a) for k, a in zip(kinds, at[1:]))]
+def _from_planes(data: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind)
 
 
-def _pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending fragments as 32-bit steps where these suffice, and counts of a byte with the larger ones apart."""
+def pack(keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    """Ascending fragments as 32-bit steps where these suffice, and columns: of one, counts of a byte with the larger ones apart; of
+    several, their bytes by place, compressed."""
     step = np.diff(keys, prepend=U(0))
     narrow = not len(step) or int(step.max()) < 1 << 32
-    small = np.minimum(counts, 255).astype(np.uint8)
-    return bytes([narrow]) + len(keys).to_bytes(4, "little") + step.astype("<u4" if narrow else "<u8").tobytes() + small.tobytes() + counts[small == 255].astype("<u4").tobytes()
+    head = bytes([narrow]) + len(keys).to_bytes(4, "little") + step.astype("<u4" if narrow else "<u8").tobytes()
+    if len(columns) == 1:
+        counts = columns[0].astype(np.int64)
+        small = np.minimum(counts, 255).astype(np.uint8)
+        return head + small.tobytes() + counts[small == 255].astype("<u8").tobytes()
+    return head + pa.compress(b"".join(_planes(c.astype("<f8")) for c in columns), "zstd", asbytes=True)
 
 
-def _unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     n, kind = int.from_bytes(blob[1:5], "little"), "<u4" if blob[0] else "<u8"
     at = 5 + n * np.dtype(kind).itemsize
     keys = np.cumsum(np.frombuffer(blob, kind, n, 5), dtype=np.uint64)
-    counts = np.frombuffer(blob, np.uint8, n, at).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(blob, "<u4", offset=at + n)
-    return keys, counts
+    if columns == 1:
+        counts = np.frombuffer(blob, np.uint8, n, at).astype(np.float64)
+        counts[counts == 255] = np.frombuffer(blob, "<u8", offset=at + n)
+        return [keys, counts]
+    body = pa.decompress(blob[at:], 8 * n * columns, "zstd", asbytes=True)
+    return [keys, *(_from_planes(body, "<f8", n, 8 * n * i) for i in range(columns))]
 
 
-def _ranges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(range, from, to) of ascending keys; ranges without keys are left out."""
-    of = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Ascending keys, then the sums of their columns."""
+    keys = np.concatenate([p[0] for p in parts])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return [keys[at], *(np.add.reduceat(np.concatenate([p[i] for p in parts])[order], at) if len(at) else np.zeros(0) for i in range(1, len(parts[0])))]
+
+
+def cuts(keys: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of ascending keys by their bits above ``shift``; ranges without keys are left out."""
+    of = (keys >> U(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
     at = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
     return list(zip(of[at].tolist(), at.tolist(), np.append(at[1:], len(of)).tolist()))
 
 
-def _write(folder: str, name: str, *columns: np.ndarray) -> str:
-    """A file of columns, each from a multiple of 8 bytes on; its URI."""
-    uri = f"{folder}/{name}-{uuid.uuid4().hex}"
-    store, path = fs.FileSystem.from_uri(uri)
+# --- files
+
+
+def _write(folder: str, *arrays: np.ndarray) -> bytes:
+    """A file of arrays, each from a multiple of 8 bytes on; its name."""
+    name = uuid.uuid4()
+    store, path = fs.FileSystem.from_uri(f"{folder}/{name.hex}")
     store.create_dir(os.path.dirname(path), recursive=True)
     with store.open_output_stream(path) as f:
-        for c in columns:
-            f.write(c.tobytes() + bytes(-c.nbytes % 8))
-    return uri
+        for a in arrays:
+            f.write(a.tobytes() + bytes(-a.nbytes % 8))
+    return name.bytes
 
 
-def _mapped(uri: str) -> np.ndarray:
+def _mapped(uri: str) -> mmap.mmap:
     store, path = fs.FileSystem.from_uri(uri)
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, np.uint8, "r")
+        with open(path, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
     with tempfile.NamedTemporaryFile() as f:  # the mapping outlives the name
         with store.open_input_stream(path) as source:
             while part := source.read(1 << 22):
                 f.write(part)
         f.flush()
-        return np.memmap(f.name, np.uint8, "r")
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
-class Arrays:
-    """Sorted hashes in files of hash ranges, with columns beside them."""
+#: Of a range: its file's name, its n-grams, and those of them whose numbers don't all fit into a byte.
+RECORD = np.dtype([("name", "S16"), ("pad", "u1"), ("n", "<u8"), ("large", "<u8")])
 
-    def __init__(self, files: list[tuple[int, str, int]], bits: int, kinds: list[str]) -> None:
-        self.files, self.bits, self.kinds, self.open = {r: (uri, n) for r, uri, n in files if n}, bits, kinds, {}
 
-    def _range(self, r: int) -> list[np.ndarray]:
-        if r not in self.open:
-            uri, n = self.files[r]
-            data, at, out = _mapped(uri), 0, []
-            for kind in ["<u8", *self.kinds]:
-                size = np.dtype(kind).itemsize * n
-                out.append(data[at : at + size].view(kind))
-                at += size + -size % 8
-            self.open[r] = out
-        return self.open[r]
+@dataclass(frozen=True)
+class Table:
+    """N-grams of one order: where their files are, and what sums over them give."""
 
-    def find(self, keys: np.ndarray) -> list[np.ndarray]:
-        """The columns at each of the ascending keys; 0 where a key isn't there."""
-        out = [np.zeros(len(keys), k) for k in self.kinds]
-        for r, a, b in _ranges(keys, self.bits):
-            if r in self.files:
-                known, *columns = self._range(r)
-                at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-                hit = known[at] == keys[a:b]
-                for o, c in zip(out, columns):
-                    o[a:b][hit] = c[at[hit]]
-        return out
-
-
-@dataclass
-class Model:
+    folder: str
+    manifest: str
     bits: int
-    bigram_files: list[tuple[int, str, int]]
-    word_files: list[tuple[int, str, int]]
+    columns: int
     tokens: int
+    grams: int
     words: int
+    discounts: tuple[float, float, float]
+    #: Sum of the discounts over all n-grams, and of their kinds.
+    discounted: float
     kinds: int
-    bigram_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
-    left: float
+
+
+class Reader:
+    """Looks n-grams up in the files of a table, which stay mapped."""
+
+    def __init__(self, table: Table) -> None:
+        self.table, self.open = table, OrderedDict()
+        self.records = np.frombuffer(_mapped(f"{table.folder}/{table.manifest}"), RECORD)
+
+    def _range(self, r: int) -> tuple | None:
+        if r in self.open:
+            self.open.move_to_end(r)
+            return self.open[r]
+        record = self.records[r]
+        n, large, k = int(record["n"]), int(record["large"]), self.table.columns
+        if not n:
+            return None
+        data = _mapped(f"{self.table.folder}/{uuid.UUID(bytes=bytes(record['name']).ljust(16, b'\0')).hex}")
+        at, out = 0, []
+        for kind, size in (("<u4", n), *(("u1", n),) * k, ("<u8", PARTS + 1), ("<u8", large), *(("<i8", large),) * k):
+            out.append(np.frombuffer(data, kind, size, at))
+            at += out[-1].nbytes + -out[-1].nbytes % 8
+        self.open[r] = (data, out[0], out[1 : 1 + k], out[1 + k].astype(np.int64), out[2 + k], out[3 + k :])
+        if len(self.open) > MAPPED:
+            self.open.popitem(last=False)
+        return self.open[r]
+
+    def find(self, keys: np.ndarray) -> list[np.ndarray]:
+        """The columns at each key, as integers; 0 where there is none."""
+        bits = self.table.bits
+        keys, back = np.unique(keys >> U(64 - bits - FRAGMENT), return_inverse=True)
+        out = [np.zeros(len(keys), np.int64) for _ in range(self.table.columns)]
+        for r, a, b in cuts(keys, FRAGMENT):
+            if (held := self._range(r)) is None:
+                continue
+            data, low, small, edges, large_keys, large = held
+            fragment = keys[a:b] & U((1 << FRAGMENT) - 1)
+            sought = fragment.astype(np.uint32)
+            at = np.empty(b - a, np.int64)
+            for part, c, d in cuts(fragment, LOWER_BITS):
+                x, y = edges[part], edges[part + 1]
+                at[c:d] = x + np.searchsorted(low[x:y], sought[c:d]) if y > x else -1
+                at[c:d][at[c:d] == y] = -1
+            hit = np.flatnonzero(at >= 0)
+            hit = hit[low[at[hit]] == sought[hit]]
+            for o, c in zip(out, small):
+                o[a + hit] = c[at[hit]]
+            if len(large_keys):
+                big = hit[small[0][at[hit]] == 255]
+                place = np.searchsorted(large_keys, fragment[big])
+                for o, c in zip(out, large):
+                    o[a + big] = c[place]
+            if hasattr(mmap, "MADV_DONTNEED"):
+                data.madvise(mmap.MADV_DONTNEED)  # the pages stay in the machine's cache, not in the worker
+        return [o[back] for o in out]
+
+
+BLOB = T.StructType([T.StructField("range", T.LongType()), T.StructField("blob", T.BinaryType())])
+SUMS = ("n", "large", "tokens", "words", "kinds", "n1", "n2", "n3", "n4", "more")
+FILE = T.StructType([T.StructField("range", T.LongType()), T.StructField("name", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in SUMS)])
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -189,26 +264,84 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), k) for d, k in zip(raw, (1.0, 2.0, 3.0)))
 
 
-BLOB = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("blob", T.BinaryType())])
-FILE = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("uri", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("n", "tokens", "words", "kinds", "n1", "n2", "n3", "n4", "n_more")])
+def _table(docs: DataFrame, folder: str, bits: int, columns: int, records) -> Table:
+    """The table of what ``records()`` gives of each batch of texts: hashes and columns that add up."""
+    shift = 64 - bits - FRAGMENT
+
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, held, n = records(), [], 0
 
+        def passed() -> pa.RecordBatch:
+            keys, *sums = merged(held) if len(held) > 1 else held[0]
+            parts = cuts(keys, FRAGMENT)
+            rest = keys & U((1 << FRAGMENT) - 1)
+            return pa.RecordBatch.from_arrays([pa.array([r for r, *_ in parts], pa.int64()), pa.array([pack(rest[a:b], [c[a:b] for c in sums]) for _, a, b in parts], pa.binary())], BLOB.names)
 
-def _files(blobs: DataFrame, merge) -> list:
-    """Each range's blobs merged to a file; written once, as the list of files is stored."""
-    names = FILE.names
+        for b in batches:
+            keys, *values = step(*utf8(b.column(0)))
+            # what a fragment can't tell is one n-gram
+            held.append(merged([[keys >> U(shift), *values]]))
+            n += len(held[-1][0])
+            if n >= HELD:
+                yield passed()
+                held, n = [], 0
+        if held:
+            yield passed()
 
     def one(key: tuple, group: pa.Table) -> pa.Table:
-        row = merge(key[0].as_py(), [b for c in group.column("blob").chunks for b in c.to_pylist()])
-        return pa.Table.from_arrays([pa.array([row.get(c, 0)], pa.int32() if c == "range" else pa.string() if c == "uri" else pa.int64()) for c in names], names)
+        keys, *sums = merged([unpack(b, columns) for c in group.column("blob").chunks for b in c.to_pylist()])
+        sums = [np.rint(c).astype(np.int64) for c in sums]
+        counts, kinds = sums[0], sums[min(1, columns - 1)]
+        large = np.logical_or.reduce([c >= 255 for c in sums])
+        small = [np.where(large, 255, c).astype(np.uint8) for c in sums]
+        edges = np.searchsorted(keys >> U(LOWER_BITS), np.arange(PARTS + 1, dtype=np.uint64)).astype("<u8")
+        name = _write(folder, keys.astype("<u4"), *small, edges, keys[large], *(c[large] for c in sums))
+        row = {"range": key[0].as_py(), "name": name, "n": len(keys), "large": int(large.sum()), "tokens": int(counts.sum()), "words": int((counts > 0).sum()), "kinds": int(kinds.sum()), "more": int((kinds >= 3).sum())}
+        row |= {f"n{k}": int((kinds == k).sum()) for k in (1, 2, 3, 4)}
+        return pa.Table.from_pylist([row], pa.schema([("range", pa.int64()), ("name", pa.binary()), *((c, pa.int64()) for c in SUMS)]))
+
+    made = stored(docs.mapInArrow(blobs, BLOB).groupBy("range").applyInArrow(one, FILE), "files")
+    total = made.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS)).first()
+    d = discounts([total[f"n{k}"] for k in (1, 2, 3, 4)])
+    discounted = d[0] * total["n1"] + d[1] * total["n2"] + d[2] * total["more"]
+    return Table(folder, _manifest(made, folder, bits), bits, columns, total["tokens"], total["n"], total["words"], d, discounted, total["kinds"])
+
+
+def _manifest(made: DataFrame, folder: str, bits: int) -> str:
+    """A file with a record for each range, written as the rows come; ranges without n-grams are empty records."""
+    name = f"manifest-{uuid.uuid4().hex}"
+    store, path = fs.FileSystem.from_uri(f"{folder}/{name}")
+    store.create_dir(os.path.dirname(path), recursive=True)
+    with store.open_output_stream(path) as f:
+        at = 0
+        for row in made.select("range", "name", "n", "large").orderBy("range").toLocalIterator():
+            f.write(bytes(RECORD.itemsize * (row["range"] - at)))
+            f.write(np.array([(bytes(row["name"]), 0, row["n"], row["large"])], RECORD).tobytes())
+            at = row["range"] + 1
+        f.write(bytes(RECORD.itemsize * ((1 << bits) - at)))
+    return name
+
+
+# --- the model
+
+
+@dataclass(frozen=True)
+class Model:
+    """Tables of the orders from 1 on."""
 
-    return stored(blobs.groupBy("range").applyInArrow(one, FILE), "files").collect()
+    tables: tuple[Table, ...]
 
+    @property
+    def tokens(self) -> int:
+        return self.tables[0].tokens
 
-def _spectrum(counts: np.ndarray) -> dict[str, int]:
-    return {f"n{k}": int((counts == k).sum()) for k in (1, 2, 3, 4)} | {"n_more": int((counts >= 3).sum())}
+    @property
+    def words(self) -> int:
+        return self.tables[0].words
 
 
-def train(df: DataFrame, text: str = "text") -> Model:
+def train(df: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+    """The model of a table's texts; ``order`` is 2 at least."""
     spark = df.sparkSession
     bound_batches(spark)
     docs = df.select(F.col(text).alias("body"))
@@ -216,115 +349,40 @@ def train(df: DataFrame, text: str = "text") -> Model:
     bits = max(3, (int(size) // RANGE_BYTES).bit_length())
     folder = shared_dir(spark, "ngram")
 
-    def pairs(batches):
-        hasher, held, n = SliceHash(), [], 0
+    def highest():
+        hasher = SliceHash()
 
-        def passed():
-            keys, counts = _counted(np.concatenate(held) if held else np.zeros(0, np.uint64))
-            parts = _ranges(keys, bits)
-            rest = U((1 << FRAGMENT) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, *_ in parts], pa.int32()), pa.array([_pack_counts((keys[a:b] >> U(64 - bits - FRAGMENT)) & rest, counts[a:b]) for _, a, b in parts], pa.binary())], BLOB.names)
-
-        for b in batches:
-            words, before, _ = tokens(hasher, *utf8(b.column(0)))
-            # what a fragment can't tell is one bigram
-            held.append(_coarse(bigrams(words, before), bits))
-            n += len(words)
-            if n >= HELD_TOKENS:
-                yield from passed()
-                held, n = [], 0
-        if held:
-            yield from passed()
-
-    def merge_pairs(r: int, blobs: list[bytes]) -> dict:
-        parts = [_unpack_counts(b) for b in blobs]
-        keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        keys, counts = keys[at], np.add.reduceat(counts, at)
-        keys = (keys << U(64 - bits - FRAGMENT)) | (U(r) << U(64 - bits))
-        small = np.minimum(counts, 255).astype(np.uint8)
-        # counts from 255 on are found by a second file of their own hashes
-        large = small == 255
-        uri = _write(folder, f"bigrams-{r}", keys, small)
-        more = _write(folder, f"large-{r}", keys[large], counts[large]) if large.any() else ""
-        return {"range": r, "uri": f"{uri}\n{more}", "n": len(keys), "tokens": int(large.sum())} | _spectrum(counts)
-
-    found = _files(docs.mapInArrow(pairs, BLOB), merge_pairs)
-    bigram_files = [(f["range"], f["uri"].split("\n")[0], f["n"]) for f in found]
-    large_files = [(f["range"], f["uri"].split("\n")[1], f["tokens"]) for f in found]
-    both = bigram_files, large_files
-
-    def shares(batches):
-        hasher, lookup = SliceHash(), Lookup(*both, bits)
-        held: list[list[np.ndarray]] = []
-        n = 0
-
-        def passed():
-            keys, columns = _merged(held)
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, *_ in _ranges(keys, bits)], pa.int32()), pa.array([_pack(keys[a:b], *(c[a:b] for c in columns)) for _, a, b in _ranges(keys, bits)], pa.binary())], BLOB.names)
-
-        for b in batches:
-            words, before, _ = tokens(hasher, *utf8(b.column(0)))
-            c = lookup(bigrams(words, before)).astype(np.float64)
-            ones, share = np.ones(len(words)), 1 / c
-            zero = np.zeros(len(words))
-            as_word = [words, ones, zero, share, zero, zero, zero]
-            as_context = [before, zero, ones, zero, np.where(c == 1, share, 0), np.where(c == 2, share, 0), np.where(c >= 3, share, 0)]
-            held.append([*_merged([as_word, as_context])])
-            held[-1] = [held[-1][0], *held[-1][1]]
-            n += len(words)
-            if n >= HELD_TOKENS:
-                yield from passed()
-                held, n = [], 0
-        if held:
-            yield from passed()
-
-    def merge_words(r: int, blobs: list[bytes]) -> dict:
-        keys, columns = _merged([_unpack(b, "f" * len(STATS)) for b in blobs])
-        columns = [np.rint(c).astype(np.int64) for c in columns]
-        count, _, kinds = columns[:3]
-        uri = _write(folder, f"words-{r}", keys, *columns)
-        return {"range": r, "uri": uri, "n": len(keys), "tokens": int(count.sum()), "words": int((count > 0).sum()), "kinds": int(kinds.sum())} | _spectrum(kinds)
-
-    words = _files(docs.mapInArrow(shares, BLOB), merge_words)
-    total = lambda rows, c: sum(f[c] for f in rows)
-    of_words = discounts([total(words, f"n{k}") for k in (1, 2, 3, 4)])
-    kinds = total(words, "kinds")
-    left = (of_words[0] * total(words, "n1") + of_words[1] * total(words, "n2") + of_words[2] * total(words, "n_more")) / kinds if kinds else 1.0
-    return Model(bits, [*both], [(f["range"], f["uri"], f["n"]) for f in words], total(words, "tokens"), total(words, "words"), kinds, discounts([total(found, f"n{k}") for k in (1, 2, 3, 4)]), of_words, left)
-
-
-def _coarse(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Hashes cut to what a range and a fragment tell."""
-    cut = U(64 - bits - FRAGMENT)
-    return (keys >> cut) << cut
+        def step(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+            words, place, _ = positions(hasher, data, offsets)
+            keys = grams(words, place, order)[place > 0]
+            return [keys, np.ones(len(keys))]
 
+        return step
 
-def _merged(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ascending keys with the sums of their columns."""
-    keys = np.concatenate([p[0] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    sums = [np.add.reduceat(np.concatenate([p[i] for p in parts])[order], at) if len(at) else np.zeros(0) for i in range(1, len(parts[0]))]
-    return keys[at], sums
+    def lower(n: int, above: Table):
+        def start():
+            hasher, reader = SliceHash(), Reader(above)
 
+            def step(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+                words, place, _ = positions(hasher, data, offsets)
+                token = place > 0
+                found = reader.find(grams(words, place, n + 1)[token])
+                count, kinds = found[0], found[min(1, above.columns - 1)]
+                share, weight = np.zeros(len(words)), np.zeros(len(words), np.int64)
+                share[token], weight[token] = 1 / count, kinds
+                # what follows a position is the next one, but not from one text to the next
+                after, next_weight = np.append(share[1:], 0), np.append(weight[1:], 0)
+                distinct = np.where(place >= n, share, token)
+                return [grams(words, place, n), token.astype(np.float64), distinct, after * next_weight, *(np.where(t, after, 0) for t in (next_weight == 1, next_weight == 2, next_weight >= 3))]
 
-class Lookup:
-    """Counts of bigrams; 0 for unseen ones."""
+            return step
 
-    def __init__(self, files: list, large: list, bits: int) -> None:
-        self.bits, self.small, self.large = bits, Arrays(files, bits, ["u1"]), Arrays(large, bits, ["<i8"])
+        return start
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        keys, back = np.unique(_coarse(keys, self.bits), return_inverse=True)
-        counts = self.small.find(keys)[0].astype(np.int64)
-        at = np.flatnonzero(counts == 255)
-        if len(at):
-            counts[at] = self.large.find(keys[at])[0]
-        return counts[back]
+    tables = [_table(docs, folder, bits, 1, highest)]
+    for n in range(order - 1, 0, -1):
+        tables.insert(0, _table(docs, folder, bits, len(COLUMNS), lower(n, tables[0])))
+    return Model(tuple(tables))
 
 
 FIELDS = [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")] + [T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]
@@ -334,24 +392,27 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``n_tokens``, ``n_known``, ``base_score`` (add-one unigrams) and ``score`` (the model), both log10."""
 
     def start():
-        hasher, pairs = SliceHash(), Lookup(*model.bigram_files, model.bits)
-        words = Arrays(model.word_files, model.bits, ["<i8"] * len(STATS))
-        d2, d1 = np.array([0.0, *model.bigram_discounts]), np.array([0.0, *model.word_discounts])
-        unknown = model.left / (model.words + 1)
+        hasher, readers = SliceHash(), [Reader(t) for t in model.tables]
+        first = model.tables[0]
+        unknown = (first.discounted / first.kinds if first.kinds else 1.0) / (first.words + 1)
 
         def step(columns: list[pa.Array]) -> list[pa.Array]:
-            tok, before, counts = tokens(hasher, *utf8(columns[0]))
-            each, back = np.unique(np.concatenate([tok, before]), return_inverse=True)
-            known, follows, kinds, one, two, more = words.find(each)
-            of, ctx = back[: len(tok)], back[len(tok) :]
-            p1 = (kinds - d1[np.minimum(kinds, 3)]) / max(model.kinds, 1) + unknown
-            c = pairs(bigrams(tok, before))
-            total = np.maximum(follows, 1)
-            backoff = np.where(follows > 0, (d2[1] * one + d2[2] * two + d2[3] * more) / total, 1.0)
-            p = np.where(follows[ctx] > 0, (c - d2[np.minimum(c, 3)]) / total[ctx], 0.0) + backoff[ctx] * p1[of]
+            words, place, counts = positions(hasher, *utf8(columns[0]))
+            token = np.flatnonzero(place > 0)
+            held = readers[0].find(grams(words, place, 1))
+            known = held[0][token]
+            kinds = held[1][token]
+            p = (kinds - np.array([0.0, *first.discounts])[np.minimum(kinds, 3)]) / max(first.kinds, 1) + unknown
+            for n, (reader, t) in enumerate(zip(readers[1:], model.tables[1:]), 2):
+                follows, one, two, more = (c[token - 1] for c in held[2:])
+                held = reader.find(grams(words, place, n))
+                kinds = held[min(1, t.columns - 1)][token]
+                d = np.array([0.0, *t.discounts])
+                left = d[1] * one + d[2] * two + d[3] * more
+                p = np.where(follows > 0, (kinds - d[np.minimum(kinds, 3)] + left * p) / np.maximum(follows, 1), p)
             base = np.log10((known + 1) / (model.tokens + model.words + 1))
             at = np.cumsum(counts) - counts
-            sums = [np.add.reduceat(v, at) if len(at) else np.zeros(0) for v in ((known[of] > 0).astype(np.int64), base[of], np.log10(p))]
+            sums = [np.add.reduceat(v, at) if len(at) else np.zeros(0, v.dtype) for v in ((known > 0).astype(np.int64), base, np.log10(p))]
             return [pa.array(counts, pa.int64()), *map(pa.array, sums)]
 
         return step
