@@ -5,10 +5,12 @@
 units, the first of which is a sync unit. Nothing in it depends on time or chance, so equal payloads give equal
 containers, ties and repeated rows included.
 
-``probe`` walks the nested boxes of any container, decodes each track's sample tables and returns codec,
-duration and the byte ranges of sync samples. It reads box headers and tables only. A container that breaks off
+``probe`` walks the nested boxes of any container, decodes each track's sample tables (sizes, chunks, decoding and
+composition times, sync samples) and those of its fragments, and returns codec, duration, and the byte ranges and times of sync
+samples. It reads box headers and tables only. A container that breaks off
 or whose tables disagree gives an empty list of tracks and the reason in ``media_error``; a null container gives
-an empty list and the reason 'null'. New columns replace those of the same name.
+an empty list and the reason 'null'. Ties and repeated rows give equal results, an empty table an empty one. New columns replace those
+of the same name.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ TRACKS = T.ArrayType(
     T.StructType([
         T.StructField("track_id", T.LongType()), T.StructField("handler", T.StringType()), T.StructField("codec", T.StringType()),
         T.StructField("timescale", T.LongType()), T.StructField("duration", T.LongType()), T.StructField("samples", T.LongType()), T.StructField("bytes", T.LongType()),
-        T.StructField("keyframes", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+        T.StructField("keyframes", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "time")]))),
     ])
 )
 
@@ -122,6 +124,8 @@ def sample_table(data: memoryview, found: dict[bytes, list[tuple[int, int]]]) ->
     """Byte offset and size of each sample of a track."""
     a, _ = found[b"stsz"][0]
     size, n = struct.unpack_from(">II", data, a + 4)
+    if n * size > len(data):
+        raise ValueError("the samples are larger than the file")
     sizes = np.full(n, size, np.int64) if size else _table(data, found[b"stsz"][0], ">u4", skip=8)
     at = _table(data, found[b"co64"][0], ">u8") if b"co64" in found else _table(data, found[b"stco"][0], ">u4")
     runs = _table(data, found[b"stsc"][0], ">u4", 3)
@@ -135,31 +139,138 @@ def sample_table(data: memoryview, found: dict[bytes, list[tuple[int, int]]]) ->
     return np.repeat(at - before[first], per) + before, sizes
 
 
+def sample_times(data: memoryview, found: dict[bytes, list[tuple[int, int]]], n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """When each sample is decoded and shown, and the sum of all durations, in the track's time scale."""
+    runs = _table(data, found[b"stts"][0], ">u4", 2)
+    if runs[:, 0].sum() != n:
+        raise ValueError("times and sizes disagree")
+    each = np.repeat(runs[:, 1], runs[:, 0])
+    decoded = np.cumsum(each) - each
+    shown = decoded
+    if b"ctts" in found:
+        a, _ = found[b"ctts"][0]
+        runs = _table(data, found[b"ctts"][0], ">i4" if data[a] else ">u4", 2)
+        times = runs[:, 0] & 0xFFFFFFFF
+        if times.sum() != n:
+            raise ValueError("composition times and sizes disagree")
+        shown = decoded + np.repeat(runs[:, 1], times)
+    return decoded, shown, int(each.sum())
+
+
+#: A sample that needs others to be decoded.
+NOT_SYNC = 0x10000
+
+
+class Fields:
+    """Big-endian 32-bit fields of a full box, one after the other."""
+
+    def __init__(self, data: memoryview, place: tuple[int, int]) -> None:
+        self.data, (self.at, self.end) = data, place
+        self.version, self.flags = data[self.at], int.from_bytes(data[self.at + 1 : self.at + 4], "big")
+        self.at += 4
+
+    def take(self, kind: str = ">I", when: int = 0, other: int | None = None) -> int | None:
+        """The next field; with ``when``, only if that flag is set, else ``other``."""
+        if when and not self.flags & when:
+            return other
+        if self.at + struct.calcsize(kind) > self.end:
+            raise ValueError("a fragment's box breaks off")
+        (x,) = struct.unpack_from(kind, self.data, self.at)
+        self.at += struct.calcsize(kind)
+        return x
+
+
+def fragments(data: memoryview, moof: int, found: dict[bytes, list[tuple[int, int]]], defaults: dict[int, tuple], known: dict[int, dict], reached: int) -> int:
+    """Adds the samples of one track's part of a fragment that begins at ``moof`` to the track; ``reached`` is where the part before it ended."""
+    head = Fields(data, found[b"tfhd"][0])
+    number = head.take()
+    if number not in known:
+        raise ValueError(f"a fragment of track {number}, which isn't there")
+    track, (duration, size, flags) = known[number], defaults.get(number, (0, 0, 0))
+    base = head.take(">Q", 0x1, moof if head.flags & 0x20000 or not reached else reached)
+    head.take(when=0x2)
+    duration, size, flags = head.take(when=0x8, other=duration), head.take(when=0x10, other=size), head.take(when=0x20, other=flags)
+    time = track["next"]
+    if b"tfdt" in found:
+        start = Fields(data, found[b"tfdt"][0])
+        time = start.take(">Q" if start.version else ">I")
+    at = base
+    for place in found.get(b"trun", []):
+        run = Fields(data, place)
+        n = run.take()
+        if not run.flags & 0x300 and n * max(size, 1) > len(data):
+            raise ValueError("the samples are larger than the file")
+        at = base + run.take(">i", 0x1, at - base)
+        first = run.take(when=0x4)
+        columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if run.flags & bit]
+        if run.at + 4 * len(columns) * n > run.end:
+            raise ValueError("a fragment's run breaks off")
+        rows = np.frombuffer(data, ">u4", len(columns) * n, run.at).astype(np.int64).reshape(n, len(columns))
+        column = lambda bit, other: rows[:, columns.index(bit)] if bit in columns else np.full(n, other, np.int64)
+        durations, sizes, marks, late = column(0x100, duration), column(0x200, size), column(0x400, flags).copy(), column(0x800, 0)
+        if n and first is not None:
+            marks[0] = first
+        if run.version:
+            late = late.astype(np.uint32).view(np.int32).astype(np.int64)
+        ends = at + np.cumsum(sizes)
+        begins = time + np.cumsum(durations) - durations
+        track["parts"].append((ends - sizes, sizes, begins + late, (marks & NOT_SYNC) == 0))
+        at, time = int(ends[-1]) if n else at, time + int(durations.sum())
+    track["next"] = time
+    return at
+
+
 def tracks(data: bytes) -> list[dict]:
-    """Each track's codec, duration and sync samples; offsets and sizes of its samples as arrays."""
-    view, out = memoryview(data), []
+    """Each track's codec, duration and sync samples; offsets, sizes and times of its samples as arrays."""
+    view, known, defaults, start, end = memoryview(data), {}, {}, 0, 0
     for kind, a, b in boxes(view, 0, len(view)):
-        if kind != b"moov":
-            continue
-        for kind, c, d in boxes(view, a, b):
-            if kind != b"trak":
-                continue
-            found = walk(view, c, d, {})
-            try:
-                m = found[b"mdhd"][0][0]
-                scale, length = struct.unpack_from(">IQ", view, m + 20) if view[m] else struct.unpack_from(">II", view, m + 12)
-                t = found[b"tkhd"][0][0]
-                (number,) = struct.unpack_from(">I", view, t + (20 if view[t] else 12))
-                h = found[b"hdlr"][0][0]
-                entry = next(boxes(view, found[b"stsd"][0][0] + 8, found[b"stsd"][0][1]))[0]
-                at, sizes = sample_table(view, found)
-                sync = _table(view, found[b"stss"][0], ">u4") - 1 if b"stss" in found else np.arange(len(at))
-                if len(at) and (at.min() < 0 or (at + sizes).max() > len(view)) or len(sync) and (sync.min() < 0 or sync.max() >= len(at)):
-                    raise ValueError("a sample lies outside the file")
-            except KeyError as e:
-                raise ValueError(f"a track lacks {e.args[0].decode('latin-1')}") from None
-            out.append({"track_id": number, "handler": bytes(view[h + 8 : h + 12]).decode("latin-1"), "codec": entry.decode("latin-1"), "timescale": scale, "duration": length, "at": at, "sizes": sizes, "sync": sync})
-    return out
+        start, end = end, b
+        if kind == b"moov":
+            for inner, c, d in boxes(view, a, b):
+                if inner == b"trak":
+                    track = _track(view, walk(view, c, d, {}))
+                    known[track["track_id"]] = track
+                elif inner == b"mvex":
+                    for place in walk(view, c, d, {}).get(b"trex", []):
+                        x = Fields(view, place)
+                        number, _ = x.take(), x.take()
+                        defaults[number] = (x.take(), x.take(), x.take())
+        elif kind == b"moof":
+            reached = 0
+            for inner, c, d in boxes(view, a, b):
+                if inner == b"traf":
+                    found = walk(view, c, d, {})
+                    if b"tfhd" not in found:
+                        raise ValueError("a fragment lacks tfhd")
+                    reached = fragments(view, start, found, defaults, known, reached)
+    for t in known.values():
+        at, sizes, shown, sync = (np.concatenate(x) for x in zip(*t.pop("parts")))
+        t |= {"at": at, "sizes": sizes, "shown": shown, "sync": np.flatnonzero(sync), "duration": max(t["duration"], t.pop("next"))}
+        if len(at) and (at.min() < 0 or (at + sizes).max() > len(view)):
+            raise ValueError("a sample lies outside the file")
+    return list(known.values())
+
+
+def _track(view: memoryview, found: dict[bytes, list[tuple[int, int]]]) -> dict:
+    try:
+        m = found[b"mdhd"][0][0]
+        scale, length = struct.unpack_from(">IQ", view, m + 20) if view[m] else struct.unpack_from(">II", view, m + 12)
+        t = found[b"tkhd"][0][0]
+        (number,) = struct.unpack_from(">I", view, t + (20 if view[t] else 12))
+        h = found[b"hdlr"][0][0]
+        entry = next(boxes(view, found[b"stsd"][0][0] + 8, found[b"stsd"][0][1]))[0]
+        at, sizes = sample_table(view, found)
+        _, shown, reached = sample_times(view, found, len(at))
+        sync = np.ones(len(at), bool)
+        if b"stss" in found:
+            listed = _table(view, found[b"stss"][0], ">u4") - 1
+            if len(listed) and (listed.min() < 0 or listed.max() >= len(at)):
+                raise ValueError("a sync sample isn't there")
+            sync[:] = False
+            sync[listed] = True
+    except KeyError as e:
+        raise ValueError(f"a track lacks {e.args[0].decode('latin-1')}") from None
+    return {"track_id": number, "handler": bytes(view[h + 8 : h + 12]).decode("latin-1"), "codec": entry.decode("latin-1"), "timescale": scale, "duration": length, "next": reached, "parts": [(at, sizes, shown, sync)]}
 
 
 def write(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -195,7 +306,7 @@ def probe(df: DataFrame, media: str = "media", payload: str | None = None) -> Da
                 edge = np.flatnonzero(np.append(True, at[1:] != (at + sizes)[:-1])) if len(at) else np.zeros(0, int)
                 stop = np.append(edge[1:], len(at)) - 1
                 bytes_ = b"".join(data[a:b] for a, b in zip(at[edge].tolist(), (at + sizes)[stop].tolist())) if len(at) else b""
-            rows = [{k: t[k] for k in ("track_id", "handler", "codec", "timescale", "duration")} | {"samples": len(t["at"]), "bytes": int(t["sizes"].sum()), "keyframes": [{"start": a, "end": b} for a, b in zip(t["at"][t["sync"]].tolist(), (t["at"] + t["sizes"])[t["sync"]].tolist())]} for t in found]
+            rows = [{k: t[k] for k in ("track_id", "handler", "codec", "timescale", "duration")} | {"samples": len(t["at"]), "bytes": int(t["sizes"].sum()), "keyframes": [dict(zip(("start", "end", "time"), x)) for x in zip(t["at"][t["sync"]].tolist(), (t["at"] + t["sizes"])[t["sync"]].tolist(), t["shown"][t["sync"]].tolist())]} for t in found]
             return rows, None, bytes_
 
         kinds = _arrow_tracks()
@@ -211,7 +322,7 @@ def probe(df: DataFrame, media: str = "media", payload: str | None = None) -> Da
 
 
 def _arrow_tracks() -> pa.DataType:
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    span = pa.struct([(c, pa.int64()) for c in ("start", "end", "time")])
     return pa.list_(pa.struct([("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("bytes", pa.int64()), ("keyframes", pa.list_(span))]))
 
 
