@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-def spread(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+def spread(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """The join on ``key`` with rows of a key dealt to ``salts`` tasks; ``right`` has few rows a key, and is repeated."""
     salted = left.withColumn("salt_", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    return salted.join(right.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt_"], how).drop("salt_")
+    return salted.join(right.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*([key] if isinstance(key, str) else key), "salt_"], how).drop("salt_")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """URL filters by a temporal list join, in DataFrame operations only.
 
 A list is dated events: from ``day`` on, ``key`` (a host or a domain above it) is added to or removed from a
-category. Events become validity intervals [from, to); on a day with both, the addition counts. Each key's intervals
-are one row. Captures are reduced to distinct (host, day) first, so that a host with many captures is joined as
-often as it has days; the host's suffixes are looked up, intervals that don't hold on the day fall away, and the
-verdicts go back to the captures. All joins are by equality, so a hot key can be split.
+category. Events become validity intervals [from, to); on a day with both, the addition counts. Captures are reduced to
+distinct (host, day), their hosts' suffixes to distinct (key, day), so that neither a host nor a domain is asked about more
+often than there are days. The as-of join gives each of these, in each category of its key, the latest interval that begins by the
+day, and it holds if it hasn't ended; verdicts go back to hosts and to captures. All joins are by equality, those on hosts
+and days dealt to several tasks.
 
 A null or unparsable url has the host '' and is never blocked; a capture without a day is judged by no entry, nor
-are events without key, day or category. Repeated captures each get their verdict; empty tables give empty results.
+are events without key, day or category. Repeated captures and ties each get their verdict; empty tables give empty results.
 New columns replace those of the same name.
 """
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import fresh, table, without
+from .graph import spread
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -32,25 +34,39 @@ def suffixes(name):
 
 
 def intervals(events: DataFrame) -> DataFrame:
-    """(key, entries): each key's array of (category, from, to), from events (key, day, category, added)."""
+    """(key, category, from, to) from events (key, day, category, added); ``to`` is null for what still holds."""
     known = events.where(F.col("key").isNotNull() & F.col("day").isNotNull() & F.col("category").isNotNull())
     daily = known.groupBy("key", "category", "day").agg(F.max("added").alias("added"))
     order = Window.partitionBy("key", "category").orderBy("day")
     changes = daily.withColumn("was", F.coalesce(F.lag("added").over(order), F.lit(False))).where(F.col("added") != F.col("was"))
-    spans = changes.withColumn("to", F.lead("day").over(order)).where("added")
-    return spans.groupBy("key").agg(F.collect_list(F.struct("category", F.col("day").alias("from"), "to")).alias("entries"))
+    return changes.withColumn("to", F.lead("day").over(order)).where("added").select("key", "category", F.col("day").alias("from"), "to")
+
+
+def as_of(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(key, day, category) of each distinct asked (key, day) and each category whose latest interval by the day holds on it."""
+    held = entries.select("key", "category").distinct()
+    questions = asked.join(held, "key").select("key", "category", "day", F.lit(1).alias("asked"), F.lit(None).cast(entries.schema["from"].dataType).alias("from"), F.lit(None).cast(entries.schema["to"].dataType).alias("to"))
+    answers = entries.select("key", "category", F.col("from").alias("day"), F.lit(0).alias("asked"), "from", "to")
+    # on the same day an interval comes before the question
+    before = Window.partitionBy("key", "category").orderBy("day", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.last(F.when(F.col("asked") == 0, F.struct("from", "to")), ignorenulls=True).over(before)
+    found = questions.unionByName(answers).withColumn("latest", latest).where("asked = 1 and latest is not null")
+    return found.where(F.col("latest.to").isNull() | (F.col("day") < F.col("latest.to"))).select("key", "day", "category")
 
 
 def judge(captures: DataFrame, events: DataFrame, url: str = "url", day: str = "fetch_day") -> DataFrame:
     """``captures`` with ``host``, ``n_entries`` (that hold on the day), ``categories`` (ascending, comma-joined) and ``blocked``."""
     kept = without(captures, ["host", "n_entries", "categories", "blocked"])
-    rows = captures.select(*kept, host(F.col(url)).alias("host"))
-    asked = rows.select("host", F.col(day).alias("day_")).where("host <> '' and day_ is not null").distinct()
-    keyed = asked.select("host", "day_", F.explode(suffixes(F.col("host"))).alias("key"))
-    holding = F.filter("entries", lambda e: (e["from"] <= F.col("day_")) & (e["to"].isNull() | (F.col("day_") < e["to"])))
-    found = keyed.join(intervals(events), "key").select("host", "day_", F.explode(holding).alias("entry"))
-    verdict = found.groupBy("host", "day_").agg(F.count("*").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("entry.category")), ",").alias("categories"))
-    out = rows.join(verdict.withColumnRenamed("host", "host_"), (F.col("host") == F.col("host_")) & (F.col(day) == F.col("day_")), "left")
+    (day_,) = fresh(captures, "day_asked")
+    rows = captures.select(*kept, host(F.col(url)).alias("host"), F.col(day).alias(day_))
+    asked = rows.where((F.col("host") != "") & F.col(day_).isNotNull()).select("host", F.col(day_).alias("day")).distinct()
+    keyed = asked.select("host", "day", F.explode(suffixes(F.col("host"))).alias("key"))
+    holding = as_of(keyed.select("key", "day").distinct(), intervals(events))
+    # a domain may be that of many hosts, but it has few categories a day
+    found = spread(keyed, holding.groupBy("key", "day").agg(F.collect_list("category").alias("held")), ["key", "day"])
+    verdict = found.groupBy("host", "day").agg(F.sum(F.size("held")).alias("n_entries"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))).alias("categories"))
+    verdict = verdict.select("host", F.col("day").alias(day_), "n_entries", F.array_join("categories", ",").alias("categories"))
+    out = spread(rows, verdict, ["host", day_], "left")
     n = F.coalesce("n_entries", F.lit(0).cast("long"))
     return out.select(*kept, "host", n.alias("n_entries"), F.coalesce("categories", F.lit("")).alias("categories"), (n > 0).alias("blocked"))
 
