@@ -7,7 +7,7 @@ payloads again, verifies each payload against its digest (a mismatch fails the q
 bytes.
 
 Null html counts as empty. Repeated rows of the largest id are all responses. A null id counts as smaller than any
-other; a group whose ids are all null has responses only. A null url leaves WARC-Target-URI out, and control
+other; a group whose ids are all null has responses only. Columns beside the three are left out, whatever their names. A null url leaves WARC-Target-URI out, and control
 characters in a url are dropped. Empty tables give empty archives.
 """
 
@@ -19,8 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
+from .graph import spread
 
 LEAST = 1000
+#: Records of one payload that are read in a task.
+EACH = 256
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -41,11 +44,12 @@ def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     payload = F.coalesce(F.encode(F.col(html), "UTF-8"), F.unhex(F.lit("")))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("address", F.sha2("payload", 256))
     # one row an address, combined before the shuffle
-    rows.groupBy("address").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(out.payloads)
+    rows.groupBy("address").agg(F.first("payload").alias("payload"), F.count("*").alias("copies")).write.option("compression", "zstd").parquet(out.payloads)
     slim = rows.select("page_id", "url", "address", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest"))
-    largest = slim.where(F.col("bytes") >= LEAST).groupBy("address").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = slim.join(largest, "address", "left")
-    revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
+    shared = slim.groupBy("address").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1")
+    # the commonest payload may be that of a third of all records
+    marked = spread(slim, shared, "address", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    revisit = (F.col("bytes") >= LEAST) & F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     block = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("bytes"))
@@ -63,7 +67,9 @@ def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         F.lit("\r\n"),
         http,
     )
-    marked.select("page_id", "address", F.encode(header, "UTF-8").alias("header")).write.option("compression", "zstd").parquet(out.headers)
+    # records of one payload are dealt to parts, each of which the payload goes to once
+    part = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("copies") / EACH)).cast("int")
+    marked.select("page_id", "address", "copies", part.alias("part"), F.encode(header, "UTF-8").alias("header")).write.option("compression", "zstd").parquet(out.headers)
     return out
 
 
@@ -75,7 +81,8 @@ def records(spark, at: Archive) -> DataFrame:
     """(page_id, record_type, refers_to, digest, payload, record): every record read back; ``payload`` is the full one, ``record`` its own bytes."""
     headers, payloads = spark.read.parquet(at.headers), spark.read.parquet(at.payloads)
     checked = F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("the payload isn't that of "), "address")).cast("binary"))
-    joined = headers.join(payloads.select("address", checked.alias("payload")), "address", "left")
+    parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("copies") / EACH).cast("int") - 1))
+    joined = headers.join(payloads.select("address", checked.alias("payload"), parts.alias("part")), ["address", "part"], "left")
     kind = _field("WARC-Type")
     end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
     return joined.select(
@@ -89,17 +96,23 @@ def records(spark, at: Archive) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: pages archived and read back; bytes and digest are those of the payload that was read."""
+    """op7: pages archived and read back; bytes and digest are those of the payload that was read, and the last is that of the whole record."""
     at = archive(table(spark, sf_dir, "pages"))
     out = records(spark, at)
-    return out.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
-
-
-SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-k AS (SELECT body, max(page_id) AS kept FROM p WHERE octet_length(encode(body)) >= 1000 GROUP BY body)
-SELECT p.page_id, octet_length(encode(p.body)) AS payload_bytes, sha1(p.body) AS payload_digest,
-       CASE WHEN k.kept IS NOT NULL AND p.page_id IS DISTINCT FROM k.kept THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN k.kept IS NOT NULL AND p.page_id IS DISTINCT FROM k.kept THEN k.kept END AS refers_to
-FROM p LEFT JOIN k ON k.body = p.body
+    return out.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to", F.sha1("record").alias("record_sha1"))
+
+
+SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+k AS (SELECT body, max(page_id) AS kept FROM p WHERE octet_length(encode(body)) >= 1000 GROUP BY body),
+r AS (SELECT p.*, CASE WHEN k.kept IS NOT NULL AND p.page_id IS DISTINCT FROM k.kept THEN k.kept END AS refers_to, octet_length(encode(p.body)) AS bytes FROM p LEFT JOIN k ON k.body = p.body),
+h AS (SELECT *, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, chr(13) || chr(10) AS nl,
+  'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || bytes || chr(13) || chr(10) || chr(13) || chr(10) AS http FROM r)
+SELECT page_id, bytes AS payload_bytes, sha1(body) AS payload_digest, record_type, refers_to,
+  sha1('WARC/1.1' || nl || 'WARC-Type: ' || record_type || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl || coalesce('WARC-Target-URI: ' || regexp_replace(url, '[[:cntrl:]]', '', 'g') || nl, '')
+    || 'WARC-Date: 2024-01-01T00:00:00Z' || nl || 'WARC-Payload-Digest: sha1:' || sha1(body) || nl
+    || CASE WHEN refers_to IS NULL THEN '' ELSE 'WARC-Refers-To: <urn:page:' || refers_to || '>' || nl || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || nl END
+    || 'Content-Type: application/http; msgtype=response' || nl || 'Content-Length: ' || (octet_length(encode(http)) + CASE WHEN refers_to IS NULL THEN bytes ELSE 0 END) || nl || nl
+    || http || CASE WHEN refers_to IS NULL THEN body ELSE '' END || nl || nl) AS record_sha1
+FROM h
 """
