@@ -54,7 +54,7 @@ LEAST = 96
 #: Pairs of one node that a task verifies.
 DEALT = 4096
 #: A family's nodes are compared in blocks of this many bytes, each node counted with NODE_BYTES more.
-BLOCK_BYTES, NODE_BYTES = 8 << 20, 2048
+BLOCK_BYTES, NODE_BYTES = 4 << 20, 2048
 U = np.uint64
 
 

@@ -139,11 +139,12 @@ class Lexer:
         return at + 1, m.end() - bool(m[1] or m[2] or m[3]), m.end()
 
     def block(self, at: int, high: int, indent: int) -> tuple[int, int]:
-        """From the first to past the last character of the lines from a place on that are indented deeper."""
+        """From the first to past the last character of the lines from a place on that are indented deeper, up to the first that
+        holds more than a word, but for the lines around a key's."""
         first = last = at
         while at < high and (m := LINE.match(self.text, at, high)):
             body = m[2].rstrip()
-            if body and len(m[1]) <= indent:
+            if body and (len(m[1]) <= indent or not body.startswith("-----") and len(body.split(None, 1)) > 1):
                 break
             if body:
                 first, last = (m.start(2) if first == last else first), m.start(2) + len(body)
@@ -207,7 +208,13 @@ class Lexer:
         under: list[tuple[str, int, str]] = []
         held: Counter[str] = Counter()
         while m := SEEK.search(text, at, high):
-            at = m.end()
+            start, at = m.start(), m.end()
+            if (new := text.rfind("\n", seen, start)) >= 0:
+                line = new + 1
+                indent = BLANK.match(text, line, high).end() - line
+                while under and not under[-1][0] and under[-1][1] >= indent:
+                    held[under.pop()[0]] -= 1
+            seen = start
             if m["open"]:
                 under.append((m["open"], 0, under[-1][2] if under else ""))
                 held[m["open"]] += 1
@@ -219,13 +226,6 @@ class Lexer:
                         kind = under.pop()[0]
                         held[kind] -= 1
                 continue
-            start = m.start("name")
-            if (new := text.rfind("\n", seen, start)) >= 0:
-                line = new + 1
-                indent = BLANK.match(text, line, high).end() - line
-                while under and not under[-1][0] and under[-1][1] >= indent:
-                    held[under.pop()[0]] -= 1
-            seen = start
             name = m["own"] + m["items"]
             weight = name_weight(name, under[-1][2] if under else "")
             groups, at = self.value(at, high, indent, m["sign"], weight)
@@ -234,13 +234,13 @@ class Lexer:
                 groups, at = self.value(typed.end(), high, indent, "=", weight)
             if any(groups):
                 self.constants[m["own"]] = [t for g in groups for t in g]
-            elif m["sign"] == ":" and not groups:
-                under.append(("", indent, name))
-                held[""] += 1
-            if at < high and text[at] in "[({" and not any(groups):
+            elif at < high and text[at] in "[({":
                 under.append((text[at], 0, name))
                 held[text[at]] += 1
                 at += 1
+            elif m["sign"] == ":" and not groups:
+                under.append(("", indent, name))
+                held[""] += 1
             if weight:
                 for terms in groups:
                     literals = reached(terms)

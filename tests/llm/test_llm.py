@@ -3,10 +3,12 @@
 import base64
 import collections
 import hashlib
+import html.parser
 import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,13 +17,21 @@ from pyspark.sql import functions as F
 
 from conftest import same_rows
 from schleier.llm import bpe, content, decontaminate, media, neardup, ngram, queries, secrets, toxicity, urlfilter, warc
-from schleier.llm.common import mix
+from schleier.llm.common import SliceHash, mix, same_slices, shared_dir
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 EDGES = ["", None, "x", "Ärger 😀 don't  stop\n", "password = 'hunter2secret' " * 3000, "a b c d e f g", "a b c d e f g"]
 
 
+def thue_morse(n):
+    """Two different words of n bytes that any polynomial modulo a power of two hashes alike."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits[:n]), "".join("ba"[b] for b in bits[:n])
+
+
 @pytest.fixture(scope="module")
 def edges(spark):
     """Odd rows, with columns named as the operators' own."""
@@ -65,6 +75,40 @@ def test_bpe_equals_tiktoken(spark, docs, edges):
     assert bpe.encode(edges, path).columns.count("token_ids") == 1 and bpe.encode(edges.limit(0), path).count() == 0
 
 
+def test_bpe_trusts_no_hash(monkeypatch):
+    """With hashes that nearly always clash, and with words that a polynomial can't tell apart, ids are those of tiktoken."""
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [" ".join((*thue_morse(n), *thue_morse(n))) for n in (128, 1024, 4096)] + ["the quick brown foxes jumped over 1234 lazy dogs, don't they? " * 5]
+    enc = bpe.Encoder(path)
+
+    def ids(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        x, _, ends = enc.encode(data, np.array([0, len(data)]))
+        made, stops = enc.decode(x)
+        assert made.tobytes() == text.encode() and (stops == ends).all()
+        return x.tolist()
+
+    assert [ids(t) for t in texts] == [want.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(enc.hash, "slices", lambda a, b: SliceHash.slices(enc.hash, a, b) & np.uint64(3))
+    enc._clear()
+    assert [ids(t) for t in texts * 2] == [want.encode_ordinary(t) for t in texts * 2]
+
+
+def test_bpe_of_broken_text(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    raw = [b"ab\xff c", b"\xe6\xbc", b"\xa2 d", b"fine \xc3\xa9"]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)], "i int, b binary").selectExpr("i", "cast(b as string) as text")
+    got = {r["i"]: bytes(r["decoded"]) for r in bpe.encode(df, path, decoded="decoded").select("i", "decoded").collect()}
+    assert got == {i: b.decode("utf-8", "replace").encode() for i, b in enumerate(raw)}
+
+
 def test_automaton_equals_pattern():
     import public_tokenizers
     import regex
@@ -99,7 +143,7 @@ def test_media_of_others(spark):
 
     def movie(at):
         places = [at, at + 8 + 100]
-        table = media.box(b"stbl", full(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(78))), full(b"stsz", struct.pack(">II4I", 0, 4, *sizes)), full(b"stsc", struct.pack(">IIII", 1, 1, 2, 1)), full(b"co64", struct.pack(">I2Q", 2, *places)), full(b"stss", struct.pack(">II", 1, 3)))
+        table = media.box(b"stbl", full(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(78))), full(b"stts", struct.pack(">IIIII", 2, 1, 5, 3, 10)), full(b"ctts", struct.pack(">IIi", 1, 4, -2), version=1), full(b"stsz", struct.pack(">II4I", 0, 4, *sizes)), full(b"stsc", struct.pack(">IIII", 1, 1, 2, 1)), full(b"co64", struct.pack(">I2Q", 2, *places)), full(b"stss", struct.pack(">II", 1, 3)))
         mdia = media.box(b"mdia", full(b"mdhd", struct.pack(">QQIQHH", 0, 0, 90, 360, 0, 0), version=1), full(b"hdlr", bytes(4), b"vide", bytes(13)), media.box(b"minf", table))
         return media.box(b"moov", media.box(b"udta", media.box(b"free")), media.box(b"trak", full(b"tkhd", struct.pack(">IIII", 0, 0, 9, 0)), mdia))
 
@@ -111,44 +155,140 @@ def test_media_of_others(spark):
     (t,) = good["media_tracks"]
     assert (t["track_id"], t["handler"], t["codec"], t["timescale"], t["duration"], t["samples"]) == (9, "vide", "avc1", 90, 360, 4)
     assert bytes(good["p"]) == data and bytes(file[t["keyframes"][0]["start"] : t["keyframes"][0]["end"]]) == b"cc"
+    assert t["keyframes"][0]["time"] == 5 + 10 - 2
     assert cut["media_error"] and junk["media_error"] and none["media_error"] == "null" and empty["media_tracks"] == [] and empty["media_error"] is None
 
 
-def test_ngram_equals_counting(spark, docs, edges):
-    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").union(edges.select("doc_id", "text")).collect()]
-    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) + [0]
+def test_media_fragments(spark):
+    """Samples of fragments belong to their track: sizes, durations, marks and places from the run, the fragment or the movie's defaults."""
+    import struct
+
+    full, u = media.full_box, lambda *x: struct.pack(f">{len(x)}I", *x)
+    empty = media.box(b"stbl", full(b"stsd", u(1), media.box(b"avc1", bytes(78))), full(b"stts", u(0)), full(b"stsc", u(0)), full(b"stsz", u(0, 0)), full(b"stco", u(0)))
+    mdia = media.box(b"mdia", full(b"mdhd", u(0, 0, 90, 0), bytes(4)), full(b"hdlr", bytes(4), b"vide", bytes(13)), media.box(b"minf", empty))
+    moov = media.box(b"moov", media.box(b"trak", full(b"tkhd", u(0, 0, 3, 0)), mdia), media.box(b"mvex", full(b"trex", u(3, 1, 7, 2, media.NOT_SYNC))))
+
+    def fragment(*runs, start=None, flags=0x20000, **more):
+        head = full(b"tfhd", u(more.get("track", 3)), flags=flags)
+        time = full(b"tfdt", struct.pack(">Q", start), version=1) if start is not None else b""
+        make = lambda at: media.box(b"moof", full(b"mfhd", u(1)), media.box(b"traf", head, time, *(r(at) for r in runs)))
+        return make(len(make(0)) + 8)
+
+    # two samples of 4 and 3 bytes that last 5 each, the first one in sync; then two of the defaults
+    own = lambda at: full(b"trun", u(2), struct.pack(">i", at), u(0, 5, 4, 0, 5, 3, 1), flags=0x1 | 0x4 | 0x100 | 0x200 | 0x800)
+    plain = lambda at: full(b"trun", u(2))
+    file = media.box(b"ftyp", b"iso5", bytes(4)) + moov + fragment(own, plain) + media.box(b"mdat", b"aaaabbbccdd")
+    second = fragment(lambda at: full(b"trun", u(1), struct.pack(">i", at), u(0), flags=0x1 | 0x4), start=100) + media.box(b"mdat", b"ee")
+    bad = [file + fragment(plain, track=9), file[:-1], moov + fragment(lambda at: full(b"trun", u(1 << 31))), moov + fragment(lambda at: full(b"trun", u(5), flags=0x200))]
+    got = media.probe(spark.createDataFrame([(bytearray(x),) for x in (file + second, *bad)], "media binary"), payload="p").collect()
+    (t,) = got[0]["media_tracks"]
+    assert bytes(got[0]["p"]) == b"aaaabbbccddee" and (t["samples"], t["bytes"], t["duration"], t["codec"]) == (5, 13, 107, "avc1")
+    whole = file + second
+    assert [(bytes(whole[k["start"] : k["end"]]), k["time"]) for k in t["keyframes"]] == [(b"aaaa", 0), (b"ee", 100)]
+    assert all(r["media_tracks"] == [] and r["media_error"] for r in got[1:])
+
+
+def brute_model(texts, order):
+    """(log10 of a list of tokens' probability, probability of a word after others, tokens, words): counted with tuples."""
+    grams = [collections.Counter() for _ in range(order + 1)]
+    for t in texts:
+        padded = ["<s>"] * order + t
+        for k in range(1, order + 1):
+            grams[k].update(tuple(padded[i - k + 1 : i + 1]) for i in range(order, len(padded)))
+    counts = {order: grams[order]}
+    for k in range(1, order):
+        before = collections.Counter(g[1:] for g in grams[k + 1])
+        counts[k] = {g: n if g[0] == "<s>" else before[g] for g, n in grams[k].items()}
+    cut = {}
+    for k, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == j for v in c.values()) for j in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        cut[k] = [0.0, *(min(max(x, 0.0), j) for j, x in enumerate(d, 1))]
+    total, left = collections.Counter(), collections.Counter()
+    for k, c in counts.items():
+        for g, v in c.items():
+            total[g[:-1]] += v
+            left[g[:-1]] += cut[k][min(v, 3)]
+    words = len(counts[1])
+
+    def p(context, w):
+        out = left[()] / total[()] / (words + 1) if total[()] else 1 / (words + 1)
+        for k in range(1, order + 1):
+            c = tuple(context[len(context) - k + 1 :]) if k > 1 else ()
+            v = counts[k].get((*c, w), 0)
+            if k == 1:
+                out += (v - cut[1][min(v, 3)]) / max(total[()], 1)
+            elif total[c]:
+                out = (v - cut[k][min(v, 3)] + left[c] * out) / total[c]
+        return out
+
+    def log(t):
+        padded = ["<s>"] * order + t
+        return sum(math.log10(p(padded[:i], padded[i])) for i in range(order, len(padded)))
+
+    return log, p, sum(grams[1].values()), words
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_ngram_equals_counting(spark, docs, edges, order):
+    morse = thue_morse(1024)
+    more = [(7000, "x y x y x y " * 400), (7001, f"{morse[0]} {morse[1]} {morse[0]}")]
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").limit(60).union(edges.select("doc_id", "text")).collect()] + more
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), "</s>"]
     out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
-    c, pairs = collections.Counter(), collections.Counter()
-    for d, t in rows:
-        if not out(d):
-            c.update(split(t))
-            pairs.update(zip([1, *split(t)], split(t)))
-    n, v, kinds = sum(c.values()), len(c), collections.Counter(w for _, w in pairs)
-    of = lambda counts: ngram.discounts([sum(x == k for x in counts) for k in (1, 2, 3, 4)])
-    d2, d1 = of(pairs.values()), of(kinds.values())
-    total, back = collections.Counter(), collections.Counter()
-    for (a, _), k in pairs.items():
-        total[a] += k
-        back[a] += d2[min(k, 3) - 1]
-    left = sum(d1[min(k, 3) - 1] for k in kinds.values()) / len(pairs)
-
-    def p(a, w):
-        k = kinds[w]
-        low = (k - (d1[min(k, 3) - 1] if k else 0)) / len(pairs) + left / (v + 1)
-        m = pairs[a, w]
-        return (m - (d2[min(m, 3) - 1] if m else 0) + back[a] * low) / total[a] if total[a] else low
-
-    assert abs(sum(p("the", w) for w in c) + p("the", "unseen") - 1) < 1e-9
+    log, p, n, v = brute_model([split(t) for d, t in rows if not out(d)], order)
+    c = collections.Counter(w for d, t in rows if not out(d) for w in split(t))
+    for context in (["x"] * order, ["<s>"] * order, ["the", "of", "and", "in"][-order:]):
+        assert abs(sum(p(context, w) for w in c) + p(context, "unseen") - 1) < 1e-9
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = ngram.train(df.where(~ngram.held_out()))
+    model = ngram.train(df.where(~ngram.held_out()), order=order)
     assert (model.tokens, model.words) == (n, v)
     for r in ngram.score(df, model).collect():
         t = split(r["text"])
         assert (r["n_tokens"], r["n_known"]) == (len(t), sum(c[w] > 0 for w in t))
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
-        assert r["score"] == pytest.approx(sum(math.log10(p(a, w)) for a, w in zip([1, *t], t)))
-    nothing = ngram.train(df.limit(0))
-    assert [r["score"] for r in ngram.score(df, nothing).collect()] == [0.0] * len(rows)
+        assert r["score"] == pytest.approx(log(t))
+    nothing = ngram.train(df.limit(0), order=order)
+    assert [r["score"] for r in ngram.score(df, nothing).collect()] == [0.0] * len(rows) and ngram.score(df.limit(0), model).count() == 0
+
+
+def test_ngram_lookups():
+    """Blobs and files give back what was put in, in any number of ranges and with any size of count."""
+    rnd = np.random.default_rng(5)
+    for n in (1, 7, 5000):
+        keys = np.unique(rnd.integers(0, 1 << 40, n, dtype=np.uint64))
+        columns = [rnd.integers(0, 400, len(keys)).astype(float) for _ in range(6)]
+        for some in (columns[:1], columns):
+            back = ngram.unpack(ngram.pack(keys, some), len(some))
+            assert all(np.array_equal(a, b) for a, b in zip(back, [keys, *some]))
+
+
+def test_slices():
+    rnd = np.random.default_rng(1)
+    data = rnd.integers(97, 99, 1 << 16).astype(np.uint8)
+    starts, sizes = rnd.integers(0, len(data) - 400, 20_000), rnd.integers(0, 12, 20_000)
+    sizes[:40] = rnd.integers(100, 300, 40)
+    hashes, seen = SliceHash()(data, starts, starts + sizes), {}
+    for a, n, h in zip(starts, sizes, hashes):
+        assert seen.setdefault(int(h), data[a : a + n].tobytes()) == data[a : a + n].tobytes()
+    a, b = SliceHash().load(data), SliceHash().load(data[::-1].copy())
+    other = rnd.integers(0, len(data) - 400, 20_000)
+    want = [data[x : x + n].tobytes() == data[::-1][y : y + n].tobytes() for x, y, n in zip(starts, other, sizes)]
+    assert same_slices(a, starts, b, other, sizes).tolist() == want and any(want) and not all(want)
+    for n in (128, 1024, 4096):
+        both = np.frombuffer("".join(thue_morse(n)).encode(), np.uint8)
+        x, y = SliceHash()(both, np.array([0, n]), np.array([n, 2 * n]))
+        assert x != y
+
+
+def test_shared_folders_are_never_local_on_a_cluster():
+    class Cluster:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster(), "x")
 
 
 def test_fm_index():
@@ -192,6 +332,9 @@ def test_decontamination_equals_search(spark, sf, docs, edges, monkeypatch, bloc
     assert [(r["n_words"], r["n_hit"], r["hit_items"], r["contaminated"]) for r in got] == want and sum(w[3] for w in want) > 2
     for r in got:
         assert sum(len(WORD.findall(r["text"][s["start"] : s["end"]])) for s in r["removal_spans"]) == r["n_hit"]
+    a, b = thue_morse(1024)
+    alike = decontaminate.judged(decontaminate.mark(spark.createDataFrame([(f"x {a} y {b}",)], "text string"), spark.createDataFrame([(1, b), (2, f"{b} y"), (3, f"{a} y")], "item_id long, text string"))).first()
+    assert (alike["n_hit"], alike["hit_items"]) == (3, [1, 3])
     kept = decontaminate.clean(edges, bench)
     assert kept.columns == edges.columns and kept.count() == edges.count() - sum(w[3] for w in want[-len(EDGES) :])
     assert decontaminate.mark(df, bench.limit(0)).where("size(hit_items) > 0").count() == 0 and decontaminate.mark(df.limit(0), bench).count() == 0
@@ -203,6 +346,9 @@ def test_url_filter_by_days(spark):
     got = urlfilter.judge(spark.createDataFrame(pages, "url string, fetch_day int").withColumn("host", F.lit("theirs")), spark.createDataFrame(events, "key string, day int, category string, added boolean"))
     key = lambda r: (str(r[0]), r[1] if r[1] is not None else -1)
     assert [(r["n_entries"], r["categories"]) for r in sorted(got.select("url", "fetch_day", "n_entries", "categories").collect(), key=key)] == [(0, "")] * 3 + [(1, "adult")] + [(2, "adult,spam")] * 3 + [(1, "adult")] + [(1, "spam")] * 2 + [(0, "")] * 2
+    none = lambda df: urlfilter.judge(df, spark.createDataFrame(events, "key string, day int, category string, added boolean").limit(0))
+    some = spark.createDataFrame(pages, "url string, fetch_day int")
+    assert none(some).where("blocked").count() == 0 and none(some).count() == len(pages) and none(some.limit(0)).count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
 
@@ -212,13 +358,174 @@ PAGE = """<html><head><title>T</title></head><body class="page"><div id=menu><a
 <form><p>Name</p></form><section id="comments"><p>Great, really great article, I must say!</p></section><script>if (a<b) "<p>x</p>"</script><footer>c</footer>"""
 
 
+def main_text(page):
+    return " ".join(b.text for b in content.content(page)[0])
+
+
 def test_content(spark, edges):
-    assert " ".join(b.text for b in content.content(PAGE)) == "Head&line First bold words, and more of them; long enough. Second one is here, after a break. It goes on."
-    assert content.content("") == [] and content.content("<p>") == [] and [b.text for b in content.content("just text, no tags")] == ["just text, no tags"]
+    assert main_text(PAGE) == "Head&line First bold words, and more of them; long enough. Second one is here, after a break. It goes on."
+    assert main_text("") == main_text("<p>") == "" and main_text("just text, no tags") == "just text, no tags"
     out = content.extract(edges.withColumn("html", F.col("text")))
     assert out.columns.count("text") == 1 and out.where("text is null").count() == 0 and content.extract(edges.limit(0), page="text", text="t").count() == 0
 
 
+LEDE = "The first paragraph is long enough, and it has marks; it goes on for a while. " * 4
+SECOND = "A second one follows, with more words, and ends here. " * 5
+BODY = f"<p>{LEDE}</p><p>Short.</p><ul><li>one</li><li>two items</li></ul><p>{SECOND}</p><table><tr><td>a</td><td>b</td></tr></table><h2>More</h2><p>{SECOND}</p>"
+WHOLE = f"A title of it {LEDE}Short. one two items {SECOND}a b More {SECOND}".strip()
+TITLE, TOP = "<h1>A title of it</h1>", '<nav><ul><li><a href=1>Home</a></li></ul></nav><div class="ad">Buy this now, it is cheap. Really, buy it!</div>'
+SIDE = '<div class="sidebar"><h3>Other</h3><p>Some words of the side, which go on, and on.</p></div>'
+COMMENTS = '<div id="comments"><h3>Comments</h3><div class="comment"><p>' + "Great read, I must say, thank you so much! " * 3 + "</p></div></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'{TOP}<div class="content has-sidebar"><article>{TITLE}{BODY}</article>{SIDE}</div>{COMMENTS}<footer>(c)</footer>',
+        f'{TOP}<div class="page-wrapper no-sidebar"><div>{TITLE}{BODY}</div></div>',
+        f'{TOP}<div class="layout sidebar-right"><div class="main">{TITLE}{BODY}</div>{SIDE}</div>{COMMENTS}',
+        f'{TOP}<article><div class="entry-header">{TITLE}</div>{BODY}</article>{COMMENTS}',
+        f"<header><h2>Site</h2></header><article><header>{TITLE}</header>{BODY}</article>",
+        f"{TOP}{TITLE}{BODY}<footer>(c)</footer>",
+        f"{TOP}<main>{TITLE}<article>{BODY}</article></main>{SIDE}",
+        f"<table><tr><td><a href=x>Home</a><br><a href=y>Two</a></td><td>{TITLE}{BODY}</td></tr></table>",
+        f'<body class="single comments-open has-sidebar">{TOP}<div class="post comments-open">{TITLE}<div class="entry-content">{BODY}</div></div><section class="comments">{COMMENTS}</section>',
+    ],
+)
+def test_whole_articles(page):
+    assert main_text(page) == WHOLE
+
+
+def test_several_articles():
+    assert main_text(f"{TOP}<article>{TITLE}{BODY}</article><article><h2>Tiny</h2><p>One sentence only here.</p></article>{SIDE}") == f"{WHOLE} Tiny One sentence only here."
+
+
+def test_pages_take_no_square_of_their_length():
+    began = time.time()
+    for odd in ("<div>x" * 30_000, "</div>" * 50_000, "<p>x" * 30_000, "<center>x" * 30_000, "<ul><li>" * 20_000 + "x", "<tr>" * 20_000, "<td><p>x" * 20_000, '<a "' * 20_000):
+        content.content(odd)
+    assert time.time() - began < 60
+
+
+class Tree(html.parser.HTMLParser):
+    """Well-formed pages as (tag, classes, children)."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.path = [("", "", [])]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.path[-1][2].append((tag, dict(attrs).get("class", ""), []))
+        self.path.append(self.path[-1][2][-1])
+
+    def handle_endtag(self, tag):
+        self.path.pop()
+
+    def handle_data(self, data):
+        self.path[-1][2].append(data)
+
+
+def brute_content(page):
+    """Ratios by their definitions: everything anew for each block."""
+    blocks = []  # (chain of elements from the root, text, linked characters)
+
+    def walk(element, chain):
+        for child in element[2]:
+            if isinstance(child, str):
+                blocks.append((chain, child, 0))
+            elif child[0] == "a":
+                blocks.append((chain, child[2][0], len(child[2][0])))
+            elif child[0] != "nav":
+                walk(child, [*chain, child])
+
+    top = Tree(page).path[0]
+    walk(top, [top])
+    joined = []
+    for chain, text, linked in blocks:  # text and links of one element that nothing breaks off are one block
+        if joined and joined[-1][0][-1] is chain[-1] and joined[-1][3] == id(chain[-1]):
+            joined[-1] = (chain, joined[-1][1] + text, joined[-1][2] + linked, id(chain[-1]))
+        else:
+            joined.append((chain, text, linked, id(chain[-1])))
+    every = [(chain, text, linked) for chain, text, linked, _ in joined]
+    parts, beside = content.PARTS, content.BESIDE
+    unit = lambda chain: next(i for i in range(len(chain) - 1, -1, -1) if chain[i][0] not in parts)
+    path = lambda chain: tuple((e[0], e[1]) for e in chain[: unit(chain) + 1])
+    marks = lambda text: len(re.findall("[.,;:!?]", text))
+    runs = []
+    for b in every:
+        owner = b[0][unit(b[0])]
+        if not runs or runs[-1][0][0][unit(runs[-1][0][0])] is not owner:
+            runs.append([])
+        runs[-1].append(b)
+    length = lambda bs: sum(len(t) for _, t, _ in bs)
+    punctuation = lambda bs: sum(marks(t) for _, t, _ in bs)
+    apart = lambda bs: min(1.0, 2 * (1 - sum(n for *_, n in bs) / length(bs)))
+    ratio = lambda x, y: math.log(1 + x * (1 + y))
+
+    def of_path(p):
+        mine = [r for r in runs if path(r[0][0]) == p]
+        return ratio(sum(map(length, mine)) / len(mine), sum(map(punctuation, mine)) / len(mine)), apart(sum(mine, []))
+
+    def near(a, b):
+        up = lambda chain: [id(e) for e in chain[max(0, unit(chain) - 2) : unit(chain) + 1]]
+        return set(up(a)) & set(up(b))
+
+    size = length(every)
+    inside = lambda e: [b for b in every if any(x is e for x in b[0])]
+    named = lambda e, chain: e[1] == "ad" and 5 * length(inside(e)) < 4 * size and not any(x[0] == "article" for b in inside(e) for x in b[0][next(i for i, y in enumerate(b[0]) if y is e) + 1 :])
+    low = lambda chain: any(named(e, chain) for e in chain)
+    plain = [b for b in every if not low(b[0])]
+    covered = [b for b in plain if any(e[0] == "article" for e in b[0])]
+    marked = covered and 4 * length(covered) >= length(plain)
+    scores = []
+    for i, run in enumerate(runs):
+        chain = run[0][0]
+        own, out = of_path(path(chain))
+        best = []
+        for side in ((-1, -2), (1, 2)):
+            if found := [content.FURTHER ** (abs(d) - 1) * of_path(path(runs[i + d][0][0]))[0] for d in side if 0 <= i + d < len(runs) and near(runs[i + d][0][0], chain)]:
+                best.append(max(found))
+        total, fade = max(own, (own + beside * sum(best)) / (1 + beside * len(best))), content.FADE
+        for e in reversed(chain[: unit(chain)]):
+            if length(inside(e)) < size and e[0] not in parts:
+                total += fade * ratio(length(inside(e)), punctuation(inside(e))) * apart(inside(e))
+                fade *= content.FADE
+        for b in run:
+            place = 1.0 if not marked or any(e[0] == "article" for e in b[0]) else content.OUTSIDE_PRIOR
+            scores.append((b, total * out * place * (content.NAMED_PRIOR if low(b[0]) else 1.0)))
+    cut = content.SHARE * sum(s * len(b[1]) for b, s in scores) / size if size else 0
+    key = lambda b: (path(b[0]), low(b[0]))
+    mean = lambda k: sum(s for b, s in scores if key(b) == k) / sum(key(b) == k for b, _ in scores)
+    return " ".join(b[1] for b, _ in scores if 0 < mean(key(b)) >= cut)
+
+
+def test_content_equals_definitions():
+    rnd = random.Random(12)
+    text = lambda: " ".join(rnd.choice(["wort", "noch,", "eins.", "langes-wort"]) for _ in range(rnd.choice([1, 3, 12, 40])))
+
+    def element(depth):
+        tag = rnd.choice(["p", "p", "h2", "ul", "table"] if depth > 3 else ["p", "p", "h2", "ul", "table", "div", "div", "section", "article", "nav"])
+        if tag in ("p", "h2"):
+            return f"<{tag}>{text()}{f'<a>{text()}</a>' if rnd.random() < 0.3 else ''}</{tag}>"
+        if tag == "ul":
+            return "<ul>" + "".join(f"<li>{f'<a>{text()}</a>' if rnd.random() < 0.3 else text()}</li>" for _ in range(rnd.randint(1, 4))) + "</ul>"
+        if tag == "table":
+            return "<table>" + "".join(f"<tr><td>{text()}</td><td>{text()}</td></tr>" for _ in range(rnd.randint(1, 3))) + "</table>"
+        inner = "".join(element(depth + 1) for _ in range(rnd.randint(1, 4)))
+        name = f' class="{rnd.choice(["ad", "x", "has-sidebar"])}"' if tag in ("div", "section") and rnd.random() < 0.4 else ""
+        return f"<{tag}{name}>{inner}</{tag}>"
+
+    kept = 0
+    for _ in range(400):
+        page = "".join(element(0) for _ in range(rnd.randint(1, 5)))
+        got = main_text(page)
+        # states aren't part of a path
+        assert got == brute_content(page.replace(' class="has-sidebar"', "")), page
+        kept += bool(got)
+    assert kept > 300
+
+
 def test_warc_archive(spark):
     long = "ä" * 600
     rows = [(1, "http://a\r\nX: y", long), (3, None, long), (2, "u", long), (3, "v", long), (None, "w", long), (4, "s", "short"), (5, "s", "short"), (6, "n", None)]
@@ -234,6 +541,18 @@ def test_warc_archive(spark):
     assert warc.records(spark, warc.archive(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_warc_hot_payloads(spark, monkeypatch):
+    """A payload of many records is read in parts, and columns named as the operator's own don't matter."""
+    monkeypatch.setattr(warc, "EACH", 8)
+    df = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 > 0, F.repeat(F.lit("x"), 2000)).otherwise(F.concat(F.lit("y"), F.col("id"))).alias("html"))
+    for c in ("address", "payload", "copies", "kept", "part", "digest"):
+        df = df.withColumn(c, F.lit("theirs"))
+    at = warc.archive(df)
+    got = warc.records(spark, at)
+    assert got.where("record_type = 'revisit' and refers_to = 299").count() == 199 and got.where("record_type = 'response'").count() == 101
+    assert got.where(F.sha2("payload", 256) != F.lit(hashlib.sha256(b"x" * 2000).hexdigest())).count() == 100 and spark.read.parquet(at.headers).select("part").distinct().count() > 8
+
+
 def test_secrets(spark, docs, edges):
     regexes = {"assign": re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}
     odd = [("é PassWord: abcdef token=secret=abcdefgh " + "0" * 24 + "g AKIA" + "Z" * 16 + " AKIAX",), ("api_key='abc' API-KEY=zzzzzz",), ("ſecret=abcdefg",)]
@@ -267,6 +586,42 @@ def test_secrets_of_any_length():
         secrets.spans(odd)
 
 
+def test_lexer_equals_what_was_written():
+    """Configurations written from known names and literals: exactly the sensitive ones are found, wherever they stand."""
+    rnd = random.Random(6)
+    alphabet = "abcdefghJKLMNPQRS23456789-_/+"
+    literal = lambda: rnd.choice("abcd") + rnd.choice("JKLM") + rnd.choice("2345") + "".join(rnd.choice(alphabet) for _ in range(rnd.choice([10, 30, 200])))
+    forms = [
+        ('{n} = "{v}"', 1), ("{n} = '{v}';", 1), ("{n}: {v}", 1), ('"{n}": "{v}",', 1), ("{n} := `{v}`", 1), ('{n} => "{v}"', 1), ("export {n}={v}", 1), ('  cfg.{n} = "{v}"  # note', 1), ('os["{n}"] = "{v}"', 1),
+        ("{n} =\n    '{v}'", 1), ("{n} = \\\n  '{v}'", 1), ("{n}: # why\n\n  '{v}'", 1), ("{n}:\n  {v}", 1), ("{n}: >-\n  {v}", 1), ("{n}: |\n  {v}\n  {w}", 2), ('{n} = """{v}"""', 1), ("# {n} = '{v}'", 1), ("/* {n}: '{v}' */", 1),
+        ('{n}: str = "{v}"', 1), ('{n} = decode("{v}")', 1), ('{n} = ["{v}", "{w}"]', 3), ('f(host="h", {n}="{v}")', 1), ('{n} = "{v}" + "{w}"', 3), ('{n} = "{v}"\\\n  "{w}"', 3), ("tool --{n}={v} -x", 1), ('{n} {{ value = "{v}" }}', 0), ('{n}: {{"value": "{v}"}}', 1), ("{n}:\n  value: {v}", 1),
+        ('if {n} == "{v}" {{', 1), ("{n} = make_{v}()", 0), ("{n} = other.name.of", 0), ("the {n} is {v}", 0),
+    ]
+    for _ in range(300):
+        text, want = [], []
+        for form, found in rnd.choices(forms, k=rnd.randint(1, 8)):
+            sensitive = rnd.random() < 0.6
+            name = rnd.choice(["pwd", "db_pwd", "signingKey", "PRIVATE_KEY", "auth_passphrase"] if sensitive else ["host", "name_of", "colour", "pwd_hint", "tokens_path"])
+            v, w = literal(), literal()
+            text.append(form.format(n=name, v=v, w=w))
+            if sensitive and found:
+                at = sum(len(t) + 1 for t in text[:-1])
+                begin = text[-1].index(v) + at
+                end = text[-1].index(w) + at + len(w) if found == 2 else begin + len(v)
+                want += [(begin, end)] + ([(text[-1].index(w) + at, text[-1].index(w) + at + len(w))] if found == 3 else [])
+            text.append("")
+        whole = "\n".join(text)
+        assert [(a, b) for k, a, b, _ in secrets.spans(whole) if k == "lex"] == sorted(want), whole
+
+
+def test_masking_is_whole(spark):
+    rnd = random.Random(2)
+    long = "".join(rnd.choice("abcdefghJKLMNPQRS23456789+/") for _ in range(10_000))
+    body = f"private_key = '{long}' and passwd=hunter2x AKIA{'A' * 16}{'a' * 24} end"
+    r = secrets.redact(spark.createDataFrame([(body,), (None,), ("é " * 500 + body,)], "text string")).collect()
+    assert [x["text"] for x in r] == ["private_key = '[SECRET]' and [SECRET] [SECRET] end", None, "é " * 500 + "private_key = '[SECRET]' and [SECRET] [SECRET] end"]
+
+
 def test_signatures_are_unbiased():
     rnd = random.Random(5)
     keys = np.array([rnd.getrandbits(52) for _ in range(300)], np.uint64)
@@ -358,6 +713,34 @@ def test_large_buckets_are_whole(spark, monkeypatch):
     assert sum(got[i] != i - i % 2 for i in got) == 0 and len(got) == 300
 
 
+def test_near_duplicates_of_words_alike(spark):
+    a, b = thue_morse(1024)
+    rows = [(1, f"u v w {a} x y z"), (2, f"u v w {b} x y z"), (3, f"U v, w {a} x y z!")]
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_near_duplicates_recall(spark):
+    """Every fiftieth text against all: each pair at 0.8 or more is in one class, whatever its words' weights."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    of = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    bags = {}
+    for r in docs.collect():
+        w = WORD.findall((r["text"] or "").translate(LOW))
+        bags[r["doc_id"]] = collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None
+    holders = collections.defaultdict(set)
+    for d, bag in bags.items():
+        for s in bag or ():
+            holders[s].add(d)
+    found = together = 0
+    for d in (d for d in bags if d % 50 == 0 and bags[d]):
+        for e in set().union(*(holders[s] for s in bags[d])) - {d}:
+            n = sum((bags[d] & bags[e]).values())
+            if 5 * n >= 4 * (bags[d].total() + bags[e].total() - n):
+                found += 1
+                together += of[d] == of[e]
+    assert found > 0 and together == found
+
+
 def test_near_duplicates_without_ids(spark):
     words = [f"w{i}" for i in range(100)]
     rows = [(None, " ".join(words)), (None, " ".join(words[:99])), (None, "something else"), (7, "one more thing here"), (7, "of the same id")]
@@ -365,14 +748,61 @@ def test_near_duplicates_without_ids(spark):
     assert sorted(len(r["text"].split()) for r in kept.collect()) in ([2, 4, 4, 99], [2, 4, 4, 100])
 
 
+def brute_clause(names, weight=1.0):
+    """A clause's score by the forms of the docstring, looked up word by word."""
+    total = 0.0
+    for i, name in enumerate(names):
+        if name == "insult":
+            total += weight * (toxicity.NEGATED if "negation" in names[max(0, i - toxicity.REACH) : i] else 1.0)
+    waiting = 0  # words that an unaimed threat still waits for its target
+    for i, name in enumerate(names):
+        if name == "target":
+            total += toxicity.THREAT_WEIGHT if waiting else 0.0
+            waiting = 0
+        elif name == "threat" and "target" in names[max(0, i - toxicity.BEFORE) : i]:
+            total += toxicity.THREAT_WEIGHT
+            waiting = 0
+        else:
+            waiting = toxicity.AFTER if name == "threat" else max(0, waiting - 1)
+    return total * (toxicity.AIMED if "target" in names else 1.0) * (toxicity.REPORTED if "report" in names else 1.0)
+
+
 def test_toxicity_grammar():
-    grammar = {c: i for i, c in enumerate(("other", "insult", "threat", "target", "negation", "report"))}
-    score = lambda text: toxicity.clause_scores([grammar[w] for w in text.split()], [1.0 if w in ("insult", "threat") else 0.0 for w in text.split()], [True] + [False] * (len(text.split()) - 1))
-    assert score("other other") == [] and score("insult") == [1.0] and score("target insult") == [pytest.approx(1.3)]
-    assert score("negation insult")[0] < 1 and score("report other insult")[0] < 1 and score("threat")[0] < score("target threat")[0]
+    names = ("other", "insult", "threat", "target", "negation", "report")
+    score = lambda text: toxicity.clause_scores([names.index(w) for w in text.split()], [1.0 if w == "insult" else 0.0 for w in text.split()], [True] + [False] * (len(text.split()) - 1))
+    assert score("other other") == score("target") == score("threat") == score("negation target report") == []
+    assert score("insult") == [1.0] and score("target insult") == score("insult other target") == [pytest.approx(1.3)]
+    assert score("negation insult")[0] < 1 and score("insult other report")[0] < 1 and score("threat target") == score("target threat") == [pytest.approx(3.9)]
+    rnd = random.Random(8)
+    for _ in range(5000):
+        clause = [rnd.choice(names + ("other",) * 4) for _ in range(rnd.randint(1, 14))]
+        assert sum(score(" ".join(clause))) == pytest.approx(brute_clause(clause))
+    two = toxicity.clause_scores([1, 3, 1], [1.0, 0.0, 2.0], [True, False, True])
+    assert two == [pytest.approx(1.3), 2.0]
     assert toxicity.lowered("ÉCOLE Über ×Ж") == "école über ×Ж" and toxicity.chosen([("a", 5, 0)], 0, 3) == []
 
 
+def test_toxicity_keeps_all_that_pass(spark):
+    """No candidate that passes the tests is dropped before them, though labels of 1 are few."""
+    rows = [(i, f"w{i} " + ("grumpf" if i < 30 or i % 100 == 7 else "plain"), int(i < 160)) for i in range(16_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = {d for d, *_ in rows if zlib.crc32(str(d).encode()) % 4 == 2}
+    p, n = sum("grumpf" in t and y for d, t, y in rows if d not in held), sum("grumpf" in t and not y for d, t, y in rows if d not in held)
+    toxic, clean = sum(y for d, _, y in rows if d not in held), sum(not y for d, _, y in rows if d not in held)
+    odds, g = toxicity._tests(p, n, toxic, clean, math.log)
+    assert n > 4 * p and odds >= toxicity.LEAST_ODDS and g >= toxicity.LEAST_G
+    assert any(w.startswith("grumpf"[: len(w)]) for w, *_ in toxicity.learn(df, df.select("doc_id", "toxic")).insults)
+
+
+def test_toxicity_tells_words_apart():
+    a, b = thue_morse(1024)
+    lexicon, hasher = toxicity.Lexicon([(a, True, 5.0)]), SliceHash()
+    data = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    starts, ends = np.array([0, 1025]), np.array([1024, 2049])
+    classes, weights = lexicon.classify(hasher.load(data), data, starts, ends)
+    assert classes.tolist() == [toxicity.INSULT, toxicity.OTHER] and weights.tolist() == [5.0, 0.0]
+
+
 def test_toxicity_learns(spark, edges):
     rnd = random.Random(11)
     neutral = [f"w{i}" for i in range(300)]
@@ -395,6 +825,21 @@ def test_toxicity_learns(spark, edges):
     assert none.insults == [] and toxicity.score(edges, none).count() == len(EDGES) and toxicity.score(edges.limit(0), none).count() == 0
 
 
+def test_stages_take_odd_rows(spark, sf, edges):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables go through each stage on its own and through all."""
+    import corpus_pipeline as cp
+
+    for rows in (edges, edges.limit(0)):
+        through = rows
+        for name, stage in cp.STAGES[:-1]:
+            assert stage(spark, rows, sf).columns == rows.columns, name
+            through = stage(spark, through, sf)
+            assert through.columns == rows.columns and through.count() <= rows.count()
+        out = cp.STAGES[-1][1](spark, through, sf)
+        assert out.where("n_tokens is null or decoded_sha256 is null").count() == 0 and out.count() == through.count()
+    assert through.count() == 0
+
+
 def test_pipeline_stages(spark, sf, docs):
     import corpus_pipeline as cp
 
