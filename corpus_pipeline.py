@@ -2,7 +2,11 @@
 stays, contaminated documents go, secrets are masked, and what is left is encoded.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame. Between stages
-the documents are written as Parquet and read again. All stages but the last return the columns of documents.
+the documents are written as Parquet and read again. All stages but the last return the columns of documents, whatever
+other columns there are and however they are named; the last returns its own six.
+
+In every stage a null text counts as an empty one and stays null, a null id is an id like others (the greatest), repeated
+rows and ties get equal decisions (of equal rows near-dedup keeps one), texts of any length are read whole, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,17 +19,17 @@ from schleier.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity reaches the cut go."""
+    """Documents whose toxicity reaches the cut go; empty ones have the score of no clause at all, and stay."""
     return toxicity.clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class stays."""
+    """The document of the least id of each class stays; texts without words are in a class with equal ones only."""
     return neardup.dedupe(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover a twentieth of the words or more go."""
+    """Documents of which benchmark windows cover a twentieth of the words or more go; documents without words stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -36,10 +40,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids (packed, little-endian, 32 bits each), their number, and digests of them and of the decoded bytes."""
-    work = docs.select("doc_id", F.col("text"))
-    out = bpe.encode(work, bpe.default_vocabulary(), ends=None, decoded="decoded")
-    return out.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids")
+    """Each document's ids and their ends in its text (packed, little-endian, 32 bits each), the ids' number, and digests of ids and of
+    the decoded bytes. Other columns of documents end here."""
+    out = bpe.encode(docs.select("doc_id", F.col("text")), bpe.default_vocabulary(), decoded="decoded")
+    return out.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids", "token_ends")
 
 
 STAGES = [
