@@ -227,8 +227,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tupl
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows and few bytes, so that a worker's memory doesn't depend on the texts' lengths."""
-    ship(spark)
+    """Sets the session to Arrow batches of few rows and few bytes, so that a worker's memory doesn't depend on the texts' lengths.
+
+    The queries and the pipeline's stages call this. The operators don't: what a caller has set stays as it is.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         now = (spark.conf.get(key) or "").removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
@@ -239,11 +241,11 @@ def map_batches(df: DataFrame, columns: list[str], fields: list[T.StructField],
     """``df`` with ``fields`` computed from ``columns``, a batch at a time, without moving rows.
 
     ``fn()`` is called once in a task and returns the function from the columns of a batch to the new ones.
-    New columns replace those of the same name.
+    New columns replace those of the same name. A batch is as large as the session says: see ``bound_batches``.
     """
     keep = without(df, [f.name for f in fields])
     schema = T.StructType([df.schema[c] for c in keep] + fields)
-    bound_batches(df.sparkSession)
+    ship(df.sparkSession)
     names, places = schema.names, [df.columns.index(c) for c in keep]
     inputs = [df.columns.index(c) for c in columns]
 

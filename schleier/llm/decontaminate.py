@@ -8,7 +8,7 @@ windows are searched backwards together; occurrences are located by stepping to
 the words inside them merge into removal spans.
 
 A window is 13 consecutive words of an item, or all of an item that has fewer. The benchmark is read in blocks of
-a bounded number of words; each block is a pass over the batch that adds to the hits of the one before, so its
+a bounded number of words, longer items in pieces that overlap; each block is a pass over the batch that adds to the hits of the one before, so its
 size isn't limited. Null and empty texts have no words and are never contaminated; items without words have no
 windows; an item without id hits words but isn't listed; repeated items are listed once; repeated documents each
 get the same result. New columns replace those of the same name.
@@ -223,20 +223,35 @@ class Block:
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Block]:
-    """The benchmark's items, a bounded number of words at a time; a longer item is a block of its own."""
+    """The benchmark's items, a bounded number of words at a time."""
     held: list[tuple[int | None, str]] = []
     size = 0
     for row in benchmark.select(item_id, text).where(F.col(text).isNotNull()).toLocalIterator():
-        n = len(row[1]) // 2 + 1
-        if held and size + n > BLOCK_WORDS:
-            yield Block(held)
-            held, size = [], 0
-        held.append((row[0], row[1]))
-        size += n
+        for piece in pieces(row[1]):
+            n = len(piece) // 2 + 1
+            if held and size + n > BLOCK_WORDS:
+                yield Block(held)
+                held, size = [], 0
+            held.append((row[0], piece))
+            size += n
     if held:
         yield Block(held)
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text, or if it may have more than BLOCK_WORDS words, pieces of it of so many, which share as many words as every window needs to be in one."""
+    if len(text) // 2 + 1 <= BLOCK_WORDS:
+        yield text
+        return
+    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    starts, ends, _ = words_of(LOWER[data], np.array([0, len(data)]), IS_WORD)
+    step = max(1, BLOCK_WORDS - WINDOW + 1)
+    for a in range(0, max(1, len(starts) - WINDOW + 1), step):
+        last = min(a + step + WINDOW - 1, len(starts))
+        if last > a:
+            yield data[starts[a] : ends[last - 1]].tobytes().decode("utf-8")
+
+
 COLUMNS = ("n_words", "hit_words", "removal_spans", "hit_items")
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 

@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SliceHash, bound_batches, map_batches, mix, ragged, steps, stored, table, utf8, words_of
+from ..shipping import ship
+from .common import SliceHash, map_batches, mix, ragged, steps, stored, table, utf8, words_of
 from .decontaminate import IS_WORD, LOWER
 from .graph import components, spread
 
@@ -223,7 +224,7 @@ def joined(df: DataFrame) -> DataFrame:
     """Links (a, b) between the labels of each family of ``df`` (family, node, label, registers, bag): all pairs of nodes of different
     labels are compared, a pair of blocks at once; of the links that join the same labels, only some are given."""
     spark = df.sparkSession
-    bound_batches(spark)
+    ship(spark)
     sizes = df.groupBy("family").agg(F.ceil(F.sum(F.octet_length("bag") + NODE_BYTES) / BLOCK_BYTES).cast("int").alias("blocks"))
     dealt = spread(df, sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

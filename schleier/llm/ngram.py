@@ -40,17 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SliceHash, bound_batches, map_batches, mix, shared_dir, stored, table, utf8, words_of
+from ..shipping import ship
+from .common import SliceHash, map_batches, mix, shared_dir, stored, table, utf8, words_of
 from .decontaminate import LOWER
 
 ORDER = 3
 RANGE_BYTES = 16 << 20
 #: Records that a task holds before it passes them on.
 HELD = 2_000_000
-#: Bits of a hash within its range: the lower ones are kept in a file's array, the upper ones tell the array's part.
-LOWER_BITS, PART_BITS = 32, 8
-FRAGMENT = LOWER_BITS + PART_BITS
-PARTS = 1 << PART_BITS
+#: Bits of a hash within its range: the upper ones are an array that is searched, the lower ones one that is compared.
+UPPER_BITS, LOWER_BITS = 32, 8
+FRAGMENT = UPPER_BITS + LOWER_BITS
 #: Files that a worker keeps mapped.
 MAPPED = 512
 U = np.uint64
@@ -213,10 +213,10 @@ class Reader:
             return None
         data = _mapped(f"{self.table.folder}/{uuid.UUID(bytes=bytes(record['name']).ljust(16, b'\0')).hex}")
         at, out = 0, []
-        for kind, size in (("<u4", n), *(("u1", n),) * k, ("<u8", PARTS + 1), ("<u8", large), *(("<i8", large),) * k):
+        for kind, size in (("<u4", n), ("u1", n), *(("u1", n),) * k, ("<u8", large), *(("<i8", large),) * k):
             out.append(np.frombuffer(data, kind, size, at))
             at += out[-1].nbytes + -out[-1].nbytes % 8
-        self.open[r] = (data, out[0], out[1 : 1 + k], out[1 + k].astype(np.int64), out[2 + k], out[3 + k :])
+        self.open[r] = (data, out[0], out[1], out[2 : 2 + k], out[2 + k], out[3 + k :])
         if len(self.open) > MAPPED:
             self.open.popitem(last=False)
         return self.open[r]
@@ -229,16 +229,20 @@ class Reader:
         for r, a, b in cuts(keys, FRAGMENT):
             if (held := self._range(r)) is None:
                 continue
-            data, low, small, edges, large_keys, large = held
+            data, upper, lower, small, large_keys, large = held
             fragment = keys[a:b] & U((1 << FRAGMENT) - 1)
-            sought = fragment.astype(np.uint32)
-            at = np.empty(b - a, np.int64)
-            for part, c, d in cuts(fragment, LOWER_BITS):
-                x, y = edges[part], edges[part + 1]
-                at[c:d] = x + np.searchsorted(low[x:y], sought[c:d]) if y > x else -1
-                at[c:d][at[c:d] == y] = -1
-            hit = np.flatnonzero(at >= 0)
-            hit = hit[low[at[hit]] == sought[hit]]
+            sought, rest = (fragment >> U(LOWER_BITS)).astype(np.uint32), fragment.astype(np.uint8)
+            at = np.searchsorted(upper, sought)
+            live, found = np.arange(b - a), []
+            while len(live):
+                # hardly two fragments of a range agree in their upper bits
+                live = live[at[live] < len(upper)]
+                live = live[upper[at[live]] == sought[live]]
+                same = lower[at[live]] == rest[live]
+                found.append(live[same])
+                live = live[~same]
+                at[live] += 1
+            hit = np.concatenate(found) if found else live
             for o, c in zip(out, small):
                 o[a + hit] = c[at[hit]]
             if len(large_keys):
@@ -294,8 +298,7 @@ def _table(docs: DataFrame, folder: str, bits: int, columns: int, records) -> Ta
         counts, kinds = sums[0], sums[min(1, columns - 1)]
         large = np.logical_or.reduce([c >= 255 for c in sums])
         small = [np.where(large, 255, c).astype(np.uint8) for c in sums]
-        edges = np.searchsorted(keys >> U(LOWER_BITS), np.arange(PARTS + 1, dtype=np.uint64)).astype("<u8")
-        name = _write(folder, keys.astype("<u4"), *small, edges, keys[large], *(c[large] for c in sums))
+        name = _write(folder, (keys >> U(LOWER_BITS)).astype("<u4"), keys.astype(np.uint8), *small, keys[large], *(c[large] for c in sums))
         row = {"range": key[0].as_py(), "name": name, "n": len(keys), "large": int(large.sum()), "tokens": int(counts.sum()), "words": int((counts > 0).sum()), "kinds": int(kinds.sum()), "more": int((kinds >= 3).sum())}
         row |= {f"n{k}": int((kinds == k).sum()) for k in (1, 2, 3, 4)}
         return pa.Table.from_pylist([row], pa.schema([("range", pa.int64()), ("name", pa.binary()), *((c, pa.int64()) for c in SUMS)]))
@@ -343,7 +346,7 @@ class Model:
 def train(df: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     """The model of a table's texts; ``order`` is 2 at least."""
     spark = df.sparkSession
-    bound_batches(spark)
+    ship(spark)
     docs = df.select(F.col(text).alias("body"))
     size = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     bits = max(3, (int(size) // RANGE_BYTES).bit_length())

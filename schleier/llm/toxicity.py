@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SliceHash, bound_batches, fresh, map_batches, mix, steps, stored, table, utf8, words_of
+from ..shipping import ship
+from .common import SliceHash, fresh, map_batches, steps, stored, table, utf8, words_of
 from .decontaminate import IS_WORD, LOWER
 
 TRAIN_ROWS = 16_000
@@ -278,7 +279,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """The model of at most TRAIN_ROWS labelled documents that aren't held out."""
-    bound_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id))
     known = known.groupBy(F.col(doc_id).alias("label_id")).agg(F.max(label).cast("int").alias("label"))
     # a bounded sample: its ids go to every task

@@ -322,7 +322,7 @@ def brute_contamination(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
+@pytest.mark.parametrize("block", [1 << 20, 300, 40])
 def test_decontamination_equals_search(spark, sf, docs, edges, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").union(spark.createDataFrame([(900, "b C, d"), (901, None), (902, "..."), (900, "b C, d"), (None, "f g")], "item_id long, text string"))
