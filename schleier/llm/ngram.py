@@ -41,13 +41,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import SliceHash, map_batches, mix, shared_dir, stored, table, utf8, words_of
+from .common import SliceHash, map_batches, mix, shared_dir, steps, stored, table, utf8, words_of
 from .decontaminate import LOWER
 
 ORDER = 3
 RANGE_BYTES = 16 << 20
-#: Records that a task holds before it passes them on.
-HELD = 2_000_000
+#: Records that a task holds before it passes them on; bytes of text that it looks at at once.
+HELD, STEP_BYTES = 1_000_000, 1 << 20
 #: Bits of a hash within its range: the upper ones are an array that is searched, the lower ones one that is compared.
 UPPER_BITS, LOWER_BITS = 32, 8
 FRAGMENT = UPPER_BITS + LOWER_BITS
@@ -282,13 +282,15 @@ def _table(docs: DataFrame, folder: str, bits: int, columns: int, records) -> Ta
             return pa.RecordBatch.from_arrays([pa.array([r for r, *_ in parts], pa.int64()), pa.array([pack(rest[a:b], [c[a:b] for c in sums]) for _, a, b in parts], pa.binary())], BLOB.names)
 
         for b in batches:
-            keys, *values = step(*utf8(b.column(0)))
-            # what a fragment can't tell is one n-gram
-            held.append(merged([[keys >> U(shift), *values]]))
-            n += len(held[-1][0])
-            if n >= HELD:
-                yield passed()
-                held, n = [], 0
+            data, offsets = utf8(b.column(0))
+            for s, e in steps(offsets, STEP_BYTES):
+                keys, *values = step(data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s])
+                # what a fragment can't tell is one n-gram
+                held.append(merged([[keys >> U(shift), *values]]))
+                n += len(held[-1][0])
+                if n >= HELD:
+                    yield passed()
+                    held, n = [], 0
         if held:
             yield passed()
 
@@ -400,7 +402,12 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         unknown = (first.discounted / first.kinds if first.kinds else 1.0) / (first.words + 1)
 
         def step(columns: list[pa.Array]) -> list[pa.Array]:
-            words, place, counts = positions(hasher, *utf8(columns[0]))
+            data, offsets = utf8(columns[0])
+            parts = [some(data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s]) for s, e in steps(offsets, STEP_BYTES)]
+            return [pa.array(np.concatenate(x)) for x in zip(*parts)]
+
+        def some(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+            words, place, counts = positions(hasher, data, offsets)
             token = np.flatnonzero(place > 0)
             held = readers[0].find(grams(words, place, 1))
             known = held[0][token]
@@ -415,8 +422,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 p = np.where(follows > 0, (kinds - d[np.minimum(kinds, 3)] + left * p) / np.maximum(follows, 1), p)
             base = np.log10((known + 1) / (model.tokens + model.words + 1))
             at = np.cumsum(counts) - counts
-            sums = [np.add.reduceat(v, at) if len(at) else np.zeros(0, v.dtype) for v in ((known > 0).astype(np.int64), base, np.log10(p))]
-            return [pa.array(counts, pa.int64()), *map(pa.array, sums)]
+            return [counts.astype(np.int64), *(np.add.reduceat(v, at) for v in ((known > 0).astype(np.int64), base, np.log10(p)))]
 
         return step
 
