@@ -10,8 +10,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.notices import notice
 from ..functions.patterns import RULES, Rule
-from ..functions.text import matches, metadata, word_bounded
+from ..functions.text import bound, cut, cuttable, matches, metadata, word_bounded
 from ..types import SPAN_DDL, DetectorUnavailable
 
 Detector = Callable[[Column], Column]
@@ -30,7 +31,7 @@ def numbered(spans: Column) -> Column:
 
 
 def rule(text: Column, r: Rule) -> Column:
-    return _spans(matches(text, r.pattern, r.group), r.entity_type, r.confidence, "rules", metadata(rule_id=r.rule_id, subtype=r.subtype))
+    return _spans(matches(text, r.pattern, r.group, r.anchor), r.entity_type, r.confidence, "rules", metadata(rule_id=r.rule_id, subtype=r.subtype))
 
 
 def rules(only: Iterable[str] | None = None) -> Detector:
@@ -86,6 +87,12 @@ def with_spans(df: DataFrame, detectors: Iterable[Detector], text: str = "text",
 
 def validated(df: DataFrame, text: str = "text", spans: str = "spans", notices: str = "notices") -> DataFrame:
     """Spans whose text isn't the document's at their place are dropped, each with a notice."""
-    right = lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & F.coalesce(F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]) == s["text"], F.lit(False))
-    wrong = F.transform(F.filter(spans, lambda s: ~right(s)), lambda s: F.struct(F.lit("invalid_span_rejected").alias("code"), F.create_map(F.lit("detector"), s["detector"]).alias("params")))
-    return df.withColumns({notices: wrong, spans: F.filter(spans, right)})
+
+    def checked(whole: Column) -> Column:
+        right = lambda s: F.when((s["start"] >= 0) & (s["end"] > s["start"]), cut(whole, s["start"], s["end"]) == s["text"])
+        return F.transform(spans, lambda s: F.coalesce(right(s), F.lit(False)))
+
+    fits = F.when(F.size(spans) > 0, bound(cuttable(F.col(text)), checked)).otherwise(F.array().cast("array<boolean>"))
+    out = df.withColumn("fits_", fits)
+    wrong = F.transform(F.filter(spans, lambda s, i: ~F.get(F.col("fits_"), i)), lambda s: notice("invalid_span_rejected", detector=s["detector"]))
+    return out.withColumns({notices: wrong, spans: F.filter(spans, lambda s, i: F.get(F.col("fits_"), i))}).drop("fits_")

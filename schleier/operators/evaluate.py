@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..types import DEFAULT_POLICY
-from .segments import clamped, covers, pieces, weight
+from ..functions.text import bound, cuttable
+from ..types import DEFAULT_POLICY, NOT_SCORED
+from .segments import clamped, union_weight
 
 COUNTS = ("tp", "fp", "tn", "fn", "gold_total", "gold_exact", "gold_overlap", "predicted_total", "predicted_exact", "predicted_overlap")
 
@@ -39,16 +40,17 @@ def _matched(spans: Column, others: Column, test) -> Column:
 def scored(df: DataFrame, text: str = "text", gold: str = "gold", predicted: str = "predicted") -> DataFrame:
     """``df`` with each document's counts, ``leaked``, and ``missed`` (annotations that no prediction touches)."""
     t, g, p = F.coalesce(F.col(text), F.lit("")), F.col(gold), F.col(predicted)
-    n = F.length(t)
-    cut_g, cut_p = clamped(g, n), clamped(p, n)
-    flags = F.transform(pieces(n, cut_g, cut_p), lambda x: F.struct(covers(cut_g, x).alias("g"), covers(cut_p, x).alias("p"), weight(t, x).cast("long").alias("w")))
-    total = lambda test: F.aggregate(F.filter("pieces_", test), F.lit(0).cast("long"), lambda a, x: a + x["w"])
-    out = df.withColumn("pieces_", flags).withColumns(
+
+    def characters(x: Column) -> Column:
+        whole, n = x["whole"], x["n"]
+        cover = lambda spans: union_weight(whole, spans)
+        # the characters in both are those of either less those of any
+        return bound(F.struct(cover(clamped(g, n)).alias("g"), cover(clamped(p, n)).alias("p"), cover(F.concat(clamped(g, n), clamped(p, n))).alias("any")), lambda w: F.struct(*(v.alias(k) for k, v in {"tp": w["g"] + w["p"] - w["any"], "fp": w["any"] - w["g"], "tn": x["scored"] - w["any"], "fn": w["any"] - w["p"]}.items())))
+
+    given = F.struct(cuttable(t).alias("whole"), F.length(t).alias("n"), F.length(F.translate(t, NOT_SCORED, "")).cast("long").alias("scored"))
+    out = df.withColumn("counts_", bound(given, characters)).withColumns(
         {
-            "tp": total(lambda x: x["g"] & x["p"]),
-            "fp": total(lambda x: ~x["g"] & x["p"]),
-            "tn": total(lambda x: ~x["g"] & ~x["p"]),
-            "fn": total(lambda x: x["g"] & ~x["p"]),
+            **{c: F.col(f"counts_.{c}") for c in ("tp", "fp", "tn", "fn")},
             "gold_total": F.size(g).cast("long"),
             "gold_exact": _matched(g, p, _same),
             "gold_overlap": _matched(g, p, _overlaps),
@@ -57,8 +59,8 @@ def scored(df: DataFrame, text: str = "text", gold: str = "gold", predicted: str
             "predicted_overlap": _matched(p, g, _overlaps),
             "missed": F.filter(g, lambda s: ~F.exists(p, lambda o: _overlaps(s, o))),
         }
-    )
-    return out.withColumn("leaked", F.col("fn") > 0).drop("pieces_")
+    ).drop("counts_")
+    return out.withColumn("leaked", F.col("fn") > 0)
 
 
 def _metrics(c: dict[str, Column]) -> dict[str, Column]:

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.notices import notice
 from ..types import METADATA, SPAN_DDL
 
 LEAST_MENTION, LEAST_TRIMMED, LEAST_FUZZY, LEAST_PART, CONFIDENCE = 2, 4, 5, 3, 0.9
@@ -32,49 +34,55 @@ def bounded(text: str, place: Place) -> bool:
     return not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum())
 
 
-def exact(text: str, needle: str) -> list[Place]:
-    """Every occurrence, overlapping ones too."""
-    return [(m.start(), m.start() + len(needle)) for m in re.finditer(f"(?={re.escape(needle)})", text)]
+@dataclass(frozen=True)
+class Reading:
+    """A way to read a mention: a pattern whose group 1 is the place, whether letters may touch it, and whether it only resembles the mention."""
+
+    pattern: str
+    any_case: bool = False
+    whole: bool = False
+    resembles: bool = False
 
+    def places(self, text: str) -> list[Place]:
+        found = (m.span(1) for m in re.finditer(self.pattern, text, re.I if self.any_case else 0))
+        return [p for p in found if not self.whole or bounded(text, p)]
 
-def spaced(text: str, needle: str, flags: int = 0) -> list[Place]:
-    words = [re.escape(w) for w in needle.split()]
-    return [m.span() for m in re.finditer(r"\s+".join(words), text, flags)] if words else []
 
+def exactly(needle: str) -> str:
+    """Every occurrence, overlapping ones too."""
+    return f"(?=({re.escape(needle)}))"
 
-def hyphenated(text: str, needle: str) -> list[Place]:
-    words = [r"(?:-\s*)?".join(map(re.escape, w)) for w in needle.split()]
-    return [p for m in re.finditer(r"\s+".join(words), text) if bounded(text, p := m.span())] if words else []
 
+def spaced(words: list[str]) -> str:
+    """The words with any white space between them."""
+    return "(" + r"\s+".join(map(re.escape, words)) + ")"
 
-def located(text: str, needle: str) -> list[Place]:
-    return exact(text, needle) or spaced(text, needle) or spaced(text, needle, re.I)
 
+def spelled(needle: str, **more: bool) -> Iterator[Reading]:
+    """A spelling as it is, with other white space, and in another case."""
+    yield Reading(exactly(needle), **more)
+    if words := needle.split():
+        yield Reading(spaced(words), **more)
+        yield Reading(spaced(words), any_case=True, **more)
 
-def respelt(needle: str) -> list[str]:
-    there, back = needle, needle
+
+def readings(needle: str) -> Iterator[Reading]:
+    """The ways to read a mention, the likeliest first."""
+    yield from spelled(needle)
+    to, back = needle, needle
     for umlaut, digraph in UMLAUTS.items():
-        there, back = there.replace(umlaut, digraph), back.replace(digraph, umlaut)
-    return [v for v in (there, back) if v != needle]
-
-
-def cascade(text: str, needle: str) -> tuple[list[Place], bool]:
-    """The places of a mention, and whether they only resemble it."""
-    if found := located(text, needle):
-        return found, False
-    for variant in respelt(needle):
-        if found := located(text, variant):
-            return found, True
-    if len(needle) >= LEAST_FUZZY and (found := hyphenated(text, needle)):
-        return found, True
+        to, back = to.replace(umlaut, digraph), back.replace(digraph, umlaut)
+    for other in dict.fromkeys((to, back)):
+        if other != needle:
+            yield from spelled(other, resembles=True)
     words = needle.split()
+    if len(needle) >= LEAST_FUZZY:
+        broken = (r"(?:-\s*)?".join(map(re.escape, w)) for w in words)
+        yield Reading("(" + r"\s+".join(broken) + ")", whole=True, resembles=True)
     for k in range(1, len(words)):
-        rest = " ".join(words[k:])
-        if len(rest) < LEAST_TRIMMED:
-            break
-        if found := [p for p in located(text, rest) if bounded(text, p)]:
-            return found, True
-    return [], False
+        if len(rest := " ".join(words[k:])) < LEAST_TRIMMED:
+            return
+        yield from spelled(rest, whole=True, resembles=True)
 
 
 def telling(words: list[str]) -> list[str]:
@@ -105,12 +113,12 @@ def ground(text: str, mentions: list[dict]) -> tuple[list[dict], list[str]]:
         needle = (m["text"] or "").strip()
         if len(needle) < LEAST_MENTION:
             continue
-        places, resembling = cascade(text, needle)
+        places, resembling = next(((found, r.resembles) for r in readings(needle) if (found := r.places(text))), ([], False))
         if not places:
             lost.append(m["entity_type"])
             continue
         if m["entity_type"] != "PERSON_NAME":
-            places = places + [p for p in spaced(text, needle, re.I) if p not in places and bounded(text, p)]
+            places += [p for p in Reading(spaced(needle.split()), any_case=True, whole=True).places(text) if p not in places]
         for p in places:
             add(p, m, "partial" if resembling else None)
     covered = [(s["start"], s["end"]) for s in spans]
@@ -121,8 +129,8 @@ def ground(text: str, mentions: list[dict]) -> tuple[list[dict], list[str]]:
         for word in telling(words):
             if len(word) < LEAST_PART:
                 continue
-            for p in exact(text, word):
-                if bounded(text, p) and not any(a <= p[0] and p[1] <= b for a, b in covered):
+            for p in Reading(exactly(word), whole=True).places(text):
+                if not any(a <= p[0] and p[1] <= b for a, b in covered):
                     if (*p, "PERSON_NAME") not in seen:
                         covered.append(p)
                     add(p, m, "name_part")
@@ -134,10 +142,11 @@ def grounded(df: DataFrame, text: str = "text", mentions: str = "mentions", span
     out = f"struct<spans:array<{SPAN_DDL}>,lost:array<string>>"
 
     @F.pandas_udf(out)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, lists in batches:
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for texts, lists, *_ in batches:
             rows = [ground(t or "", [dict(m) for m in (ms if ms is not None else [])]) for t, ms in zip(texts, lists)]
             yield pd.DataFrame({"spans": [r[0] for r in rows], "lost": [r[1] for r in rows]})
 
-    lost = F.transform(F.col("grounded_.lost"), lambda k: F.struct(F.lit("llm_mention_not_located").alias("code"), F.create_map(F.lit("entity_type"), k).alias("params")))
-    return df.withColumn("grounded_", run(F.col(text), F.col(mentions))).withColumns({spans: F.col("grounded_.spans"), notices: lost}).drop("grounded_")
+    lost = F.transform(F.col("grounded_.lost"), lambda k: notice("llm_mention_not_located", entity_type=k))
+    # each is named twice, so that what computes it isn't moved into the arguments: Spark can't take lambdas within lambdas there
+    return df.withColumn("grounded_", run(F.col(text), F.col(mentions), F.length(text), F.size(mentions))).withColumns({spans: F.col("grounded_.spans"), notices: lost}).drop("grounded_")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import YEAR_ANYWHERE
-from ..functions.text import metadata, normalized
+from ..functions.notices import none, notice
+from ..functions.text import bound, cut, cuttable, metadata, normalized
 from ..types import APPLIED_DDL, OVERRIDE_DDL, PLACEHOLDERS, SPAN_DDL, language, masks, merged_policy
 
 
@@ -23,8 +24,9 @@ def last_of_each_place(overrides: Column) -> Column:
     return F.transform(places, lambda p: F.try_element_at(F.filter(o, lambda x: (x["start"] == p["start"]) & (x["end"] == p["end"])), F.lit(-1)))
 
 
-def manual(df: DataFrame, text: str = "text", spans: str = "spans", overrides: str = "overrides", notices: str = "notices") -> DataFrame:
-    """Overrides of places without a span become spans (detector user_manual); those that the text no longer has get a notice.
+def manual(df: DataFrame, text: str = "text", spans: str = "spans", overrides: str = "overrides", notices: str = "override_notices") -> DataFrame:
+    """Overrides of places without a span become spans (detector user_manual); those that the text no longer has get a notice,
+    which is about the review and not about the detection.
 
     The spans come after the detected ones; resolve again where there are any.
     """
@@ -35,19 +37,20 @@ def manual(df: DataFrame, text: str = "text", spans: str = "spans", overrides: s
         F.filter(new, there),
         lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.coalesce(x["entity_type"], F.lit("OTHER_PII")).alias("entity_type"), F.lit(1.0).alias("confidence"), F.lit("user_manual").alias("detector"), (F.lit(1 << 30) + i).cast("int").alias("ordinal"), metadata(user_manual="true").alias("metadata")),
     ).cast(f"array<{SPAN_DDL}>")
-    stale = F.transform(F.filter(new, lambda x: ~there(x)), lambda x: F.struct(F.lit("manual_selection_ignored").alias("code"), F.create_map().cast("map<string,string>").alias("params")))
-    old = F.col(notices) if notices in df.columns else F.array().cast("array<struct<code:string,params:map<string,string>>>")
+    stale = F.transform(F.filter(new, lambda x: ~there(x)), lambda x: notice("manual_selection_ignored"))
+    old = F.col(notices) if notices in df.columns else none()
     return df.withColumns({spans: F.concat(spans, made), notices: F.concat(old, stale)})
 
 
-def apply_policy(df: DataFrame, policy: dict[str, str] | None = None, lang: str | Column = "de", preserve: Iterable[str] = (), text: str = "text", spans: str = "spans", overrides: str | None = None, applied: str = "applied", output: str = "output") -> DataFrame:
+def apply_policy(df: DataFrame, policy: dict[str, str] | None = None, lang: str | Column = "de", preserve: Iterable[str] | Column = (), text: str = "text", spans: str = "spans", overrides: str | None = None, applied: str = "applied", output: str = "output") -> DataFrame:
     """``df`` with ``applied`` (the spans with transformation, replacement and status) and ``output``, the new text.
 
     An override whose text is the span's comes first, then terms to preserve, then the policy, then TYPE_MASK.
-    ``lang`` is a language or a column of languages; unknown ones are German. ``overrides`` names an array column.
+    ``lang`` is a language or a column of languages; unknown ones are German. ``overrides`` names an array column;
+    ``preserve`` is a list of terms or a column of lists.
     """
     active = _map(merged_policy(policy))
-    kept = F.array(*map(F.lit, [t for t in preserve if t.strip()])).cast("array<string>")
+    kept = preserve if isinstance(preserve, Column) else F.array(*map(F.lit, [t for t in preserve if t.strip()])).cast("array<string>")
     kept = F.transform(kept, normalized)
     o = last_of_each_place(F.col(overrides)) if overrides else F.array().cast(f"array<{OVERRIDE_DDL}>")
 
@@ -92,15 +95,13 @@ def apply_policy(df: DataFrame, policy: dict[str, str] | None = None, lang: str
 
 def rewritten(text: Column, applied: Column) -> Column:
     """The text with each replaced span's replacement; spans don't overlap and ascend."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    changed = F.filter(applied, lambda s: s["replacement"].isNotNull())
-    out = F.aggregate(
-        changed,
-        start,
-        lambda acc, s: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["replacement"]).alias("out"), s["end"].alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(changed) > 0, out).otherwise(text)
+    changed = F.transform(F.filter(applied, lambda s: s["replacement"].isNotNull()), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("by")))
+
+    def put(c: Column, whole: Column) -> Column:
+        parts = F.transform(c, lambda s, i: F.concat(cut(whole, F.coalesce(F.get(c, i - 1)["end"], F.lit(0)), s["start"]), s["by"]))
+        return F.concat(F.array_join(parts, ""), cut(whole, F.element_at(c, -1)["end"], F.length(text)))
+
+    return bound(changed, lambda c: F.when(F.size(c) > 0, bound(cuttable(text), lambda whole: put(c, whole))).otherwise(text))
 
 
 def unmatched_overrides(overrides: Column, applied: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound, folded
 from ..types import SPAN_DDL
 
 MERGED = "duplicate span merged"
@@ -25,11 +26,9 @@ def ordered(spans: Column) -> Column:
 
 def resolution(spans: Column) -> Column:
     """struct<selected: array<span>, decisions: array<decision>>."""
-    start = F.struct(F.array().cast(f"array<{SPAN_DDL}>").alias("selected"), F.array().cast(f"array<{DECISION_DDL}>").alias("decisions"))
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc["selected"], F.lit(-1))
-        free = (F.size(acc["selected"]) == 0) | (s["start"] >= last["end"])
+    def step(last: Column, s: Column) -> Column:
+        free = last.isNull() | (s["start"] >= last["end"])
         same = (s["start"] == last["start"]) & (s["end"] == last["end"])
         twin = same & (s["entity_type"] == last["entity_type"])
         # the surest of two comes first, so its confidence is the merged one
@@ -37,10 +36,17 @@ def resolution(spans: Column) -> Column:
         merged = last.withField("metadata", last["metadata"].withField("supporting_detectors", both)).withField("confidence", F.greatest(last["confidence"], s["confidence"]))
         reason = F.when(twin, MERGED).when(same, SURER).otherwise(OVERLAP)
         decision = F.struct(last["start"].alias("start"), last["end"].alias("end"), last["entity_type"].alias("entity_type"), s["start"].alias("rejected_start"), s["end"].alias("rejected_end"), s["entity_type"].alias("rejected_type"), reason.alias("reason"))
-        selected = F.when(free, F.concat(acc["selected"], F.array(s))).when(twin, F.concat(F.slice(acc["selected"], 1, F.size(acc["selected"]) - 1), F.array(merged))).otherwise(acc["selected"])
-        return F.struct(selected.alias("selected"), F.when(free, acc["decisions"]).otherwise(F.concat(acc["decisions"], F.array(decision))).alias("decisions"))
-
-    return F.aggregate(ordered(spans), start, step)
+        state = F.when(free, s).when(twin, merged).otherwise(last)
+        # the last one can still be merged with, so it is given out when the next is selected
+        return F.struct(
+            state.alias("state"),
+            F.when(free & last.isNotNull(), F.array(last)).otherwise(F.array().cast(f"array<{SPAN_DDL}>")).alias("selected"),
+            F.when(free, F.array().cast(f"array<{DECISION_DDL}>")).otherwise(F.array(decision)).alias("decisions"),
+        )
+
+    found = folded(ordered(spans), F.lit(None).cast(SPAN_DDL), step, [("selected", SPAN_DDL), ("decisions", DECISION_DDL)])
+    whole = lambda r: F.struct(F.filter(F.concat(r["selected"], F.array(r["state"])), lambda s: s.isNotNull()).alias("selected"), r["decisions"].alias("decisions"))
+    return bound(found, whole)
 
 
 def resolved(df: DataFrame, spans: str = "spans", decisions: str | None = None) -> DataFrame:

@@ -6,16 +6,18 @@ sides share. German rules have no matches in the tables; fixtures with expected
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import content_digest, log_reference
 from .operators import detect, evaluate, grounding, mentions, ocr, policy, resolve, segments, validate
 from .plans import deidentify
 from .sources import annotations
-from .streaming import cache
-from .types import SPAN_DDL
+from .streaming import cache, progress
+from .types import OVERRIDE_DDL, SPAN_DDL
 
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +64,16 @@ def detect_url_spans(spark, sf_dir):
     return found.select("page_id", F.col("s.text").alias("text"), F.col("s.start").cast("long").alias("start"))
 
 
+URL_SQL = r"""regexp_extract_all(html, '(?i)\bhttps?://[^\s<>"'']+|\bwww\.[^\s<>"'']+')"""
+
+
+@query(f"SELECT page_id, CAST(len({URL_SQL}) AS BIGINT) AS n, md5(array_to_string({URL_SQL}, '|')) AS digest FROM pages")
+def detect_url_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
+    out = detect.with_spans(pages, [detect.rules(["de.url.v1"])])
+    return out.select("page_id", F.size("spans").cast("long").alias("n"), F.md5(F.array_join(F.transform("spans", lambda s: s["text"]), "|").cast("binary")).alias("digest"))
+
+
 @query(rf"SELECT page_id, CAST(len(regexp_extract_all(html, '{EMAIL}')) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, '{EMAIL}')")
 def detect_email_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
@@ -70,8 +82,8 @@ def detect_email_pages(spark, sf_dir):
 
 #: text, then the expected (rule, text) pairs.
 RULE_CASES = [
-    ("Kontakt: chirurgie@beispiel-klinikum.de.", [("de.email.v1", "chirurgie@beispiel-klinikum.de")]),
-    ("siehe https://portal.beispiel.de/befund?id=1 dort", [("de.url.v1", "https://portal.beispiel.de/befund?id=1")]),
+    ("Schreiben Sie an a.b-c_9@labor.haus-am-see.org!", [("de.email.v1", "a.b-c_9@labor.haus-am-see.org")]),
+    ("oder HTTP://akten.example/x?y=2#z, www.example.org.", [("de.url.v1", "HTTP://akten.example/x?y=2#z,"), ("de.url.v1", "www.example.org.")]),
     ("Konto DE89 3704 0044 0532 0130 00 bitte", [("de.iban.v1", "DE89 3704 0044 0532 0130 00")]),
     ("Tel.: 0351 458-0", [("de.phone.labelled.v1", "0351 458-0")]),
     ("mobil +49 351 4584711 abends", [("de.phone.labelled.v1", "+49 351 4584711"), ("de.phone.intl.v1", "+49 351 4584711")]),
@@ -113,12 +125,14 @@ def detect_terms(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CAST(count(*) FILTER (good) AS BIGINT) AS n_valid, CAST(count(*) FILTER (NOT good) AS BIGINT) AS n_rejected FROM
-  (SELECT doc_id, substring(text, 5 * i + 1, 4) = substring(text, 5 * i + 1 + CASE WHEN (doc_id + i) % 3 = 0 THEN 1 ELSE 0 END, 4) AS good
-   FROM documents, (SELECT CAST(range AS INTEGER) AS i FROM range(0, 4))) GROUP BY doc_id""")
+  (SELECT doc_id, substring(text, 50 * i + 1, 4) = substring(text, 50 * i + 1 + CASE WHEN (doc_id + i) % 3 = 0 THEN 1 ELSE 0 END, 4) AS good
+   FROM documents, unnest(range(0, length(text) // 50 + 1)) AS t(i)) GROUP BY doc_id""")
 def validate_span_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    claim = lambda i: F.struct((5 * i).cast("int").alias("start"), (5 * i + 4).cast("int").alias("end"), F.substring(F.col("text"), 5 * i + 1 + F.when((F.col("doc_id") + i) % 3 == 0, 1).otherwise(0), F.lit(4)).alias("text"), F.lit("OTHER_PII").alias("entity_type"), F.lit(0.5).alias("confidence"), F.lit("claimed").alias("detector"))
-    claims = F.transform(F.sequence(F.lit(0), F.lit(3)), claim)
+    """Four characters claimed at each fiftieth character of each text; a third of the claims have the text of the next character on."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    said = lambda i: F.substring(F.col("text"), 50 * i + 1 + F.when((F.col("doc_id") + i) % 3 == 0, 1).otherwise(0), F.lit(4))
+    claim = lambda i: F.struct((50 * i).cast("int").alias("start"), (50 * i + 4).cast("int").alias("end"), said(i).alias("text"), F.lit("OTHER_PII").alias("entity_type"), F.lit(0.5).alias("confidence"), F.lit("claimed").alias("detector"))
+    claims = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 50).cast("int")), claim)
     out = detect.validated(docs.withColumn("spans", claims))
     return out.select("doc_id", F.size("spans").cast("long").alias("n_valid"), F.size("notices").cast("long").alias("n_rejected"))
 
@@ -132,17 +146,21 @@ def _drawn_spans(n: int = 10) -> Column:
 DRAWN = "(doc_id * 31 + i * 17) % 97"
 
 
-@query(f"""WITH RECURSIVE r AS (SELECT doc_id, {DRAWN} AS a, {DRAWN} + 5 + (doc_id * 7 + i * 13) % 23 AS b, 'T' || (i % 3) AS kind,
-  row_number() OVER (PARTITION BY doc_id ORDER BY {DRAWN}, -(5 + (doc_id * 7 + i * 13) % 23), -(0.5 + (i % 4) / 10.0), i) AS k FROM documents, range(0, 10) AS t(i)),
-f AS (SELECT doc_id, k, a, b, kind, b AS reach, true AS kept FROM r WHERE k = 1
-  UNION ALL SELECT r.doc_id, r.k, r.a, r.b, r.kind, CASE WHEN r.a >= f.reach THEN r.b ELSE f.reach END, r.a >= f.reach FROM f JOIN r ON r.doc_id = f.doc_id AND r.k = f.k + 1)
-SELECT doc_id, CAST(count(*) FILTER (kept) AS BIGINT) AS n_kept, CAST(count(*) FILTER (NOT kept) AS BIGINT) AS n_decisions,
-  string_agg(CASE WHEN kept THEN a || '-' || b || kind END, ',' ORDER BY k) AS kept_spans FROM f GROUP BY doc_id""")
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, {DRAWN} AS a, {DRAWN} + 5 + (doc_id * 7 + i * 13) % 23 AS b, 'T' || (i % 3) AS kind, 5 + i % 4 AS tenths,
+  row_number() OVER (PARTITION BY doc_id ORDER BY {DRAWN}, -(5 + (doc_id * 7 + i * 13) % 23), -(5 + i % 4), i) AS k FROM documents, range(0, 10) AS t(i)),
+f AS (SELECT doc_id, k, a, b, kind, tenths, a AS la, b AS lb, kind AS lkind, true AS kept, '' AS reason FROM r WHERE k = 1
+  UNION ALL SELECT r.doc_id, r.k, r.a, r.b, r.kind, r.tenths, CASE WHEN r.a >= f.lb THEN r.a ELSE f.la END, CASE WHEN r.a >= f.lb THEN r.b ELSE f.lb END, CASE WHEN r.a >= f.lb THEN r.kind ELSE f.lkind END, r.a >= f.lb,
+    CASE WHEN r.a >= f.lb THEN '' WHEN r.a <> f.la OR r.b <> f.lb THEN '{resolve.OVERLAP}' WHEN r.kind = f.lkind THEN '{resolve.MERGED}' ELSE '{resolve.SURER}' END FROM f JOIN r ON r.doc_id = f.doc_id AND r.k = f.k + 1)
+SELECT doc_id, string_agg(CASE WHEN kept THEN a || '-' || b || kind || ':' || tenths END, ',' ORDER BY k) AS kept_spans,
+  coalesce(string_agg(CASE WHEN NOT kept THEN la || '-' || lb || '>' || a || '-' || b || ' ' || reason END, ',' ORDER BY k), '') AS decided FROM f GROUP BY doc_id""")
 def resolve_overlaps(spark, sf_dir):
+    """Ten drawn spans a document: those that stay, with tenths of confidence, and each decision with its reason."""
     docs = table(spark, sf_dir, "documents").select("doc_id").withColumn("spans", _drawn_spans())
     out = resolve.resolved(docs, decisions="decisions")
-    listed = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), s["entity_type"])), ",")
-    return out.select("doc_id", F.size("spans").cast("long").alias("n_kept"), F.size("decisions").cast("long").alias("n_decisions"), listed.alias("kept_spans"))
+    text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
+    kept = F.array_join(F.transform("spans", lambda s: text(s["start"], "-", s["end"], s["entity_type"], ":", F.round(s["confidence"] * 10).cast("int"))), ",")
+    decided = F.array_join(F.transform("decisions", lambda d: text(d["start"], "-", d["end"], ">", d["rejected_start"], "-", d["rejected_end"], " ", d["reason"])), ",")
+    return out.select("doc_id", kept.alias("kept_spans"), decided.alias("decided"))
 
 
 @query(f"SELECT doc_id, md5(regexp_replace(text, '{EMAIL}', '[E-MAIL]', 'g')) AS digest, CAST(length(regexp_replace(text, '{EMAIL}', '[E-MAIL]', 'g')) AS BIGINT) AS n_chars FROM documents")
@@ -165,30 +183,38 @@ def consistent_tags(spark, sf_dir):
     return out.select("doc_id", F.array_join(F.transform("applied", lambda s: s["replacement"]), ",").alias("tags"))
 
 
-@query(f"""WITH {EMAIL_SQL} SELECT CAST(status AS VARCHAR) AS status, CAST(count(*) AS BIGINT) AS n FROM
- (SELECT CASE WHEN doc_id % 3 = 0 THEN 'PRESERVED' WHEN doc_id % 3 = 1 THEN 'REDACTED' ELSE 'TAGGED' END AS status FROM s) GROUP BY status""")
+@query(f"""WITH {EMAIL_SQL} SELECT doc_id, place AS "start", CASE doc_id % 3 WHEN 0 THEN 'PRESERVED' WHEN 1 THEN 'REDACTED' ELSE 'TAGGED' END AS status,
+  CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '[GESCHWÄRZT]' ELSE '[PERSON_' || number || ']' END AS replacement FROM
+  (SELECT *, CAST(start_ AS BIGINT) AS place, dense_rank() OVER (PARTITION BY doc_id ORDER BY first_) AS number FROM (SELECT *, min(i) OVER (PARTITION BY doc_id, lower(hit)) AS first_ FROM s))""")
 def override_status(spark, sf_dir):
+    """Every e-mail address overridden: kept, removed, or taken for a name, by document."""
     what = F.when(F.col("doc_id") % 3 == 0, "PRESERVE").when(F.col("doc_id") % 3 == 1, "REMOVE")
     over = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), what.alias("transformation"), F.when(F.col("doc_id") % 3 == 2, "PERSON_NAME").alias("entity_type")))
     out = policy.apply_policy(emails(spark, sf_dir).withColumn("overrides", over), overrides="overrides")
-    return out.select(F.explode("applied").alias("s")).groupBy(F.col("s.status").alias("status")).agg(F.count("*").alias("n"))
+    return out.select("doc_id", F.explode("applied").alias("s")).select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.status").alias("status"), F.col("s.replacement").alias("replacement"))
+
 
+MANUAL_SQL = "CASE WHEN length(text) < 24 THEN text ELSE '[GESCHWÄRZT]' || substring(text, 7, length(text) // 2 - 6) || '[GESCHWÄRZT]' || substring(text, length(text) // 2 + 7, length(text) - length(text) // 2 - 12) || '[GESCHWÄRZT]' END"
 
-@query("SELECT doc_id, CAST(CASE WHEN length(text) >= 6 THEN 1 ELSE 0 END AS BIGINT) AS n_manual, CAST(1 + CASE WHEN length(text) >= 6 THEN 0 ELSE 1 END AS BIGINT) AS n_ignored, md5(CASE WHEN length(text) >= 6 THEN '[GESCHWÄRZT]' || substring(text, 7) ELSE text END) AS digest FROM documents")
+
+@query(f"SELECT doc_id, CAST(CASE WHEN length(text) >= 24 THEN 3 ELSE 0 END AS BIGINT) AS n_manual, CAST(CASE WHEN length(text) >= 24 THEN 1 ELSE 0 END AS BIGINT) AS n_ignored, md5({MANUAL_SQL}) AS digest FROM documents")
 def manual_overrides(spark, sf_dir):
+    """Six characters at the beginning, the middle and the end of each text marked by hand, and a place that the text no longer has."""
+    n = F.length("text")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", F.array().cast(f"array<{SPAN_DDL}>"))
-    made = lambda a, b, t: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), t.alias("text"), F.lit("REMOVE").alias("transformation"), F.lit(None).cast("string").alias("entity_type"))
-    out = policy.manual(docs.withColumn("overrides", F.array(made(0, 6, F.substring("text", 1, 6)), made(1, 3, F.lit("§§")))))
+    made = lambda a, t=None: F.struct(a.cast("int").alias("start"), (a + 6).cast("int").alias("end"), (F.substring(F.col("text"), a + 1, F.lit(6)) if t is None else t).alias("text"), F.lit("REMOVE").alias("transformation"), F.lit(None).cast("string").alias("entity_type"))
+    marks = F.when(n >= 24, F.array(made(F.lit(0)), made(F.floor(n / 2)), made(n - 6), made(F.lit(1), F.lit("§§")))).otherwise(F.array())
+    out = policy.manual(docs.withColumn("overrides", marks.cast(f"array<{OVERRIDE_DDL}>")))
     out = policy.apply_policy(resolve.resolved(out), overrides="overrides")
-    return out.select("doc_id", F.size("applied").cast("long").alias("n_manual"), F.size("notices").cast("long").alias("n_ignored"), F.md5(F.col("output").cast("binary")).alias("digest"))
+    return out.select("doc_id", F.size("applied").cast("long").alias("n_manual"), F.size("override_notices").cast("long").alias("n_ignored"), F.md5(F.col("output").cast("binary")).alias("digest"))
 
 
-@query(f"""WITH {EMAIL_SQL}, m AS (SELECT min(lower(hit)) AS kept FROM s) SELECT CASE WHEN lower(hit) = kept THEN 'PRESERVED' ELSE 'REDACTED' END AS status, CAST(count(*) AS BIGINT) AS n FROM s, m GROUP BY 1""")
+@query(f"""WITH {EMAIL_SQL} SELECT doc_id, place AS "start", CASE WHEN lower(hit) = first_value(lower(hit)) OVER (PARTITION BY doc_id ORDER BY i) THEN 'PRESERVED' ELSE 'REDACTED' END AS status FROM (SELECT *, CAST(start_ AS BIGINT) AS place FROM s)""")
 def preserve_terms(spark, sf_dir):
-    found = emails(spark, sf_dir)
-    kept = found.select(F.explode("spans").alias("s")).agg(F.min(F.lower("s.text"))).first()[0]
-    out = policy.apply_policy(found, preserve=[kept.upper()] if kept else [])
-    return out.select(F.explode("applied").alias("s")).groupBy(F.col("s.status").alias("status")).agg(F.count("*").alias("n"))
+    """Each document's first e-mail address is a term to keep."""
+    found = emails(spark, sf_dir).where(F.size("spans") > 0)
+    out = policy.apply_policy(found, preserve=F.array(F.upper(F.col("spans")[0]["text"])))
+    return out.select("doc_id", F.explode("applied").alias("s")).select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.status").alias("status"))
 
 
 @query(_values([("geboren am 1980 in Dresden", "GENERALIZED"), ("seit [ALTER]", "GENERALIZED")], "output, status"))
@@ -216,13 +242,12 @@ def validation_status(spark, sf_dir):
     return out.select("case_id", F.col("validation_status").alias("status"), F.array_join(F.array_sort(F.array_distinct(F.transform("warnings", lambda w: w["category"]))), ",").alias("categories"))
 
 
-@query(f"""WITH {EMAIL_SQL}, c AS (SELECT doc_id, hit, text, start_ FROM s WHERE i = 1)
-SELECT doc_id, CAST(position(hit IN text) - 1 AS BIGINT) AS first_at, 'HIGH' AS severity FROM c""")
+@query(f"""WITH {EMAIL_SQL} SELECT doc_id, CAST(i - 1 AS BIGINT) AS entity, CAST(position(hit IN text) - 1 AS BIGINT) AS first_at, 'HIGH' AS severity, 'Redacted EMAIL content appears to remain in the output.' AS message FROM s""")
 def residual_identifiers(spark, sf_dir):
-    # the source stands for an output in which nothing was replaced
+    """The source stands for an output in which nothing was replaced: each e-mail address is a warning at its first place."""
     found = policy.apply_policy(emails(spark, sf_dir).where(F.size("spans") > 0))
-    w = validate.residuals(F.col("text"), F.slice("applied", 1, 1))
-    return found.select("doc_id", F.explode(w).alias("w")).select("doc_id", F.col("w.start").cast("long").alias("first_at"), F.col("w.severity").alias("severity"))
+    w = validate.residuals(F.col("text"), F.col("applied"))
+    return found.select("doc_id", F.posexplode(w).alias("entity", "w")).select("doc_id", F.col("entity").cast("long").alias("entity"), F.col("w.start").cast("long").alias("first_at"), F.col("w.severity").alias("severity"), F.col("w.message").alias("message"))
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,15 +336,19 @@ def label_map(spark, sf_dir):
     return labelled.groupBy("source", "entity_type").agg(F.count("*").alias("n"), F.count("label_warning").alias("n_unknown"))
 
 
-@query("""WITH k AS (SELECT doc_id, k, CASE WHEN k >= doc_id % 7 AND k < doc_id % 7 + 9 THEN 0 WHEN k >= 15 AND k < 15 + doc_id % 5 THEN 1 END AS e, k >= 5 + doc_id % 11 AND k < 12 + doc_id % 11 AS w FROM documents, unnest(range(0, length(text))) AS u(k)),
-j AS (SELECT *, k = 0 OR e IS DISTINCT FROM lag(e) OVER o OR w IS DISTINCT FROM lag(w) OVER o AS new_, e IS NOT NULL AND e IS DISTINCT FROM lead(e) OVER o AS last_ FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY k))
-SELECT doc_id, CAST(count(*) FILTER (new_) AS BIGINT) AS n_segments, CAST(count(*) FILTER (last_) AS BIGINT) AS n_labels FROM j GROUP BY doc_id""")
+@query("""WITH k AS (SELECT doc_id, k, CASE WHEN k >= doc_id % 7 AND k < doc_id % 7 + 9 THEN 0 WHEN k >= 15 AND k < 15 + doc_id % 5 THEN 1 WHEN k >= length(text) - 5 THEN 2 END AS e, k >= 5 + doc_id % 11 AND k < 12 + doc_id % 11 AS w FROM documents, unnest(range(0, length(text))) AS u(k)),
+j AS (SELECT *, k = 0 OR e IS DISTINCT FROM lag(e) OVER o OR w IS DISTINCT FROM lag(w) OVER o AS new_, e IS NOT NULL AND e IS DISTINCT FROM lead(e) OVER o AS last_ FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+i AS (SELECT *, sum(CASE WHEN new_ THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS segment FROM j),
+g AS (SELECT doc_id, segment, min(k) AS a, count(*) AS n, any_value(e) AS e, any_value(w) AS w, bool_or(last_) AS label FROM i GROUP BY doc_id, segment)
+SELECT doc_id, string_agg(a || '+' || n || ':' || coalesce(CAST(e AS VARCHAR), '-') || ':' || CAST(w AS VARCHAR) || ':' || CAST(label AS VARCHAR), ' ' ORDER BY segment) AS segments FROM g GROUP BY doc_id""")
 def highlight_segments(spark, sf_dir):
-    d = F.col("doc_id")
+    """What a viewer draws of three entities and a warning in each text: segments by place, entity, warning and label."""
+    d, n = F.col("doc_id"), F.length("text")
     pair = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", "text", F.array(pair(d % 7, d % 7 + 9), pair(F.lit(15), 15 + d % 5)).alias("e"), F.array(pair(5 + d % 11, 12 + d % 11)).alias("w"))
-    found = docs.select("doc_id", F.length("text").alias("n"), segments.highlighted(F.col("text"), F.col("e"), F.col("w")).alias("s"))
-    return found.select("doc_id", F.size("s").cast("long").alias("n_segments"), F.size(F.filter("s", lambda x: x["show_label"])).cast("long").alias("n_labels"))
+    docs = table(spark, sf_dir, "documents").where(n > 0).select("doc_id", "text", F.array(pair(d % 7, d % 7 + 9), pair(F.lit(15), 15 + d % 5), pair(F.greatest(n - 5, F.lit(0)), n)).alias("e"), F.array(pair(5 + d % 11, 12 + d % 11)).alias("w"))
+    found = docs.select("doc_id", segments.highlighted(F.col("text"), F.col("e"), F.col("w")).alias("s"))
+    text = lambda s: F.concat_ws(":", F.concat(s["start"].cast("string"), F.lit("+"), F.length(s["text"]).cast("string")), F.coalesce(s["entity_index"].cast("string"), F.lit("-")), s["warning"].cast("string"), s["show_label"].cast("string"))
+    return found.select("doc_id", F.array_join(F.transform("s", text), " ").alias("segments"))
 
 
 @query("""SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start",
@@ -342,9 +371,13 @@ def ocr_boxes(spark, sf_dir):
     return out.select("l.text", *(F.col(f"l.box.{k}").cast("long").alias(k) for k in ("x1", "y1", "x2", "y2")))
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, '[–—‘’‚“”„•  …€]')")
+SIGNS = " – a—b ‘c’ ‚d‘ “e” „f“ • g\u2009h\u202fi … 5 € ✓"
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace(translate(replace(replace(text || '{SIGNS}', '…', '...'), '€', 'EUR'), '–—‘’‚“”„•' || chr(8201) || chr(8239), '--''''''' || repeat(chr(34), 3) || '-  '), '[^\\x{{00}}-\\x{{FF}}]', '?', 'g')) AS digest FROM documents""")
 def latin1_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[–—‘’‚“”„•  …€]"))
+    """Every text, with the signs that are replaced after it."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.lit(SIGNS)))
     return docs.select("doc_id", F.md5(ocr.latin1(F.col("text")).cast("binary")).alias("digest"))
 
 
@@ -354,10 +387,12 @@ def matching_occurrences(spark, sf_dir):
     return evaluate.occurrences(found)
 
 
-@query(f"WITH {EMAIL_SQL} SELECT 'EMAIL' AS entity_type, 'REDACTED' AS status, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_documents FROM s")
+@query(f"WITH {EMAIL_SQL} SELECT lang, CAST(len AS BIGINT) AS n_entities, CAST(count(*) AS BIGINT) AS n_documents FROM (SELECT doc_id, lang, count(*) AS len FROM s GROUP BY ALL) GROUP BY ALL")
 def entity_counts_by_type(spark, sf_dir):
-    out = policy.apply_policy(emails(spark, sf_dir)).select("doc_id", F.explode("applied").alias("s"))
-    return out.groupBy(F.col("s.entity_type").alias("entity_type"), F.col("s.status").alias("status")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
+    """How many documents of each language have how many entities."""
+    out = policy.apply_policy(emails(spark, sf_dir).where(F.size("spans") > 0))
+    counts = out.select("lang", F.explode(policy.entity_counts(F.col("applied"))).alias("c")).where("c.entity_type = 'EMAIL'")
+    return counts.groupBy("lang", F.col("c.n").cast("long").alias("n_entities")).agg(F.count("*").alias("n_documents"))
 
 
 @query("""SELECT event_id, CAST(greatest(900 - age, 0) AS BIGINT) AS remaining, age < 900 AND least(age + 3600, 43200) > 900 AS can_extend FROM (SELECT event_id, event_id % 1200 AS age FROM events)""")
@@ -374,24 +409,131 @@ def deidentified_documents(spark, sf_dir):
     return out.select("doc_id", F.md5(F.col("output").cast("binary")).alias("digest"), F.size("applied").alias("n_spans"), F.col("validation_status").alias("status"))
 
 
-@query()
+#: Where a window of a text ends: after the last mark in its last 40 %, or at its end.
+_END = "CASE " + " ".join(f"WHEN strpos(reverse(w), reverse({m})) > 0 THEN length(w) - strpos(reverse(w), reverse({m})) + 1" for m in ("chr(10) || chr(10)", "chr(10)", "'. '")) + " ELSE length(w) END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, 0 AS chunk, 0 AS a, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT doc_id, chunk + 1, least(n - 1 + length(regexp_extract(substring(text, n, b - n + 1), '^\\S*')) + 1, b), text FROM
+    (SELECT *, greatest(b - {mentions.OVERLAP}, a + 1) AS n FROM (SELECT *, a + {int(mentions.CHUNK * mentions.LATEST)} + {_END} AS b FROM (SELECT *, substring(text, a + {int(mentions.CHUNK * mentions.LATEST)} + 1, {mentions.CHUNK - int(mentions.CHUNK * mentions.LATEST)}) AS w FROM c WHERE length(text) - a > {mentions.CHUNK}))))
+SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, CAST(a AS BIGINT) AS "start", md5(CASE WHEN length(text) - a > {mentions.CHUNK} THEN substring(text, a + 1, {int(mentions.CHUNK * mentions.LATEST)} + {_END}) ELSE substring(text, a + 1) END) AS digest
+FROM (SELECT *, substring(text, a + {int(mentions.CHUNK * mentions.LATEST)} + 1, {mentions.CHUNK - int(mentions.CHUNK * mentions.LATEST)}) AS w FROM c)""")
 def document_chunks(spark, sf_dir):
     out = mentions.chunks(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "chunk", "start", F.length("text").alias("n_chars"))
+    return out.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"""WITH {EMAIL_SQL} SELECT doc_id, CAST(sum((length(text) - length(replace(text, hit, ''))) / length(hit)) AS BIGINT) AS n_spans, CAST(1 AS BIGINT) AS n_lost FROM (SELECT DISTINCT doc_id, text, hit FROM s) GROUP BY doc_id""")
 def grounded_mentions(spark, sf_dir):
-    """The first capitalised word of each text as a mention, grounded in the text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(F.struct(F.regexp_extract("text", r"(?U)\b(\p{Lu}\p{L}{3,})", 1).alias("text"), F.lit("PROFESSION").alias("entity_type"), F.lit("").alias("role"))).alias("mentions"))
-    out = grounding.grounded(docs)
-    return out.select("doc_id", F.size("mention_spans").alias("n_spans"), F.size("mention_notices").alias("n_lost"))
+    """Each document's e-mail addresses as a model's mentions, and one that it doesn't have."""
+    found = emails(spark, sf_dir).where(F.size("spans") > 0)
+    said = F.transform(F.array_union(F.array_distinct(F.transform("spans", lambda s: s["text"])), F.array(F.lit("¤ nobody ¤"))), lambda t: F.struct(t.alias("text"), F.lit("EMAIL").alias("entity_type"), F.lit("").alias("role")))
+    out = grounding.grounded(found.withColumn("mentions", said))
+    return out.select("doc_id", F.size("mention_spans").cast("long").alias("n_spans"), F.size("mention_notices").cast("long").alias("n_lost"))
+
+
+#: A model's answers, and the mentions in them.
+ANSWERS = [
+    ('{"entities":["junk",{"text":"Max","type":"PERSON_NAME"}]}', [("Max", "PERSON_NAME", "")]),
+    ('[{"text":"Bo","type":"person_name","role":{"a":1}},{"text":["Max"],"type":"AGE"},{"text":" ","type":"AGE"}]', [("Bo", "OTHER_PII", "")]),
+    ('```json\n{"entities":[{"text":"Zoe ","type":"AGE","role":"patient"},{"type":"AGE"},null,7]}\n```', [("Zoe ", "AGE", "patient")]),
+    ('{"risk":"low"}', []),
+    ('{"entities":"none"}', []),
+    ('  ```\n[{"text":"X1","type":5,"role":7}]\n```  ', [("X1", "OTHER_PII", "")]),
+]
+
+
+@query(_values([(i, *m) for i, (_, found) in enumerate(ANSWERS) for m in found], "answer_id, text, entity_type, role"))
+def parsed_answers(spark, sf_dir):
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(ANSWERS)], "answer_id long, answer string")
+    return rows.select("answer_id", F.explode(mentions.parsed(F.col("answer"))).alias("m")).select("answer_id", "m.text", "m.entity_type", "m.role")
+
+
+#: A transcript's lines with the boxes that they share.
+TRANSCRIPT = '```html\n<div data-label="T" data-bbox="10 100 900 1300"><h2>Kopf &amp; Fuß</h2><div>Zeile<br>zwei</div><table><tr><td>a</td><td>b</td></tr></table></div>frei\n<ol><li>x<ul><li>y</li></ul></li><li>z</li></ol><img alt="Siegel">\n```'
+TRANSCRIPT_LINES = [("Kopf & Fuß", 100, 325), ("Zeile", 325, 550), ("zwei", 550, 775), ("a | b", 775, 1000), ("frei", None, None), ("1. x", None, None), ("- y", None, None), ("2. z", None, None), ("[Siegel]", None, None)]
+
+
+@query(_values([(i, *line) for i, line in enumerate(TRANSCRIPT_LINES)], "line, text, y1, y2"))
+def ocr_html_lines(spark, sf_dir):
+    out = ocr.transcribed(spark.createDataFrame([(TRANSCRIPT,)], "raw string"), "chandra").select(F.posexplode("lines").alias("line", "l"))
+    return out.select(F.col("line").cast("long").alias("line"), "l.text", *(F.col(f"l.box.{k}").cast("long").alias(k) for k in ("y1", "y2")))
 
 
 @query()
 def ocr_html(spark, sf_dir):
     out = ocr.transcribed(table(spark, sf_dir, "pages"), "chandra", raw="html")
-    return out.select("page_id", F.size("lines").alias("n_lines"))
+    return out.select("page_id", F.size("lines").alias("n_lines"), F.md5(F.array_join(F.transform("lines", lambda x: x["text"]), "\n").cast("binary")).alias("digest"))
+
+
+@query("SELECT page_id, sha256(html) AS digest, substring(sha256(url), 1, 12) AS reference FROM pages")
+def content_digests(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", content_digest(F.col("html")).alias("digest"), log_reference(F.col("url")).alias("reference"))
+
+
+@query("""WITH a AS (SELECT conv_id, turn, unnest(range(0, 1 + turn % 3)) AS i FROM conversations), r AS (SELECT conv_id, turn, ((conv_id * 7 + i * 131) % 600) / 1000 AS x0, ((turn * 13 + i * 71) % 500) / 1000 AS y0 FROM a)
+SELECT c.conv_id, c.turn, CAST(count(r.x0) AS BIGINT) AS n_areas, round(coalesce(sum(r.x0 + r.y0), 0), 6) AS corners FROM conversations c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn AND c.turn % 2 = 0 GROUP BY ALL""")
+def page_areas(spark, sf_dir):
+    """Turns stand for pages: up to three areas drawn on every other one, as shares of the page."""
+    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    i, c, t = F.col("i"), F.col("conv_id"), F.col("turn")
+    drawn = pages.where(t % 2 == 0).select("conv_id", "turn", F.explode(F.sequence(F.lit(0), t % 3)).alias("i"))
+    x, y = (c * 7 + i * 131) % 600, (t * 13 + i * 71) % 500
+    # pages are numbered from 1
+    areas = drawn.select("conv_id", (t + 1).alias("page"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + 50).cast("double").alias("x1"), (y + 60).cast("double").alias("y1"))
+    out = ocr.placed_areas(areas, pages.withColumn("page_number", t + 1), "conv_id")
+    corners = F.aggregate("areas", F.lit(0.0), lambda acc, a: acc + a["x0"] + a["y0"])
+    return out.select("conv_id", "turn", F.size("areas").cast("long").alias("n_areas"), F.round(corners, 6).alias("corners"))
+
+
+@query("""WITH p AS (SELECT user_id AS batch_id, event_id AS tick, least(event_id % 130, 100.0) AS percent FROM events)
+SELECT batch_id, tick, max(percent) OVER (PARTITION BY batch_id ORDER BY tick ROWS UNBOUNDED PRECEDING) AS percent FROM p""")
+def batch_progress(spark, sf_dir):
+    """Events stand for a batch's documents on their way."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("batch_id"), F.col("event_id").alias("tick"), progress.percent(F.lit("running"), (F.col("event_id") % 130).cast("double"), F.lit(100.0)).alias("percent"))
+    return progress.batch(events, at="tick")
+
+
+#: Lines of a letter that hold what each rule finds, written with a number n; and what is found of them, by rule.
+LETTER = [
+    ("Rückfragen an arzt{n}@klinik{m}.example.de.", {"de.email.v1": "arzt{n}@klinik{m}.example.de."[:-1]}),
+    ("Siehe https://portal.example/akte/{n}?seite={m} dort", {"de.url.v1": "https://portal.example/akte/{n}?seite={m}"}),
+    ("Konto DE{z2} 3704 0044 0532 {z4} 00", {"de.iban.v1": "DE{z2} 3704 0044 0532 {z4} 00"}),
+    ("Telefon: 0351 / {z4}-{d}", {"de.phone.labelled.v1": "0351 / {z4}-{d}"}),
+    ("Zentrale +49 351 {z4}{d}, abends", {"de.phone.intl.v1": "+49 351 {z4}{d}"}),
+    ("geboren am {day}.{month}.19{z2} in Ort", {"de.dob.labelled.v1": "{day}.{month}.19{z2}", "de.date.numeric.v1": "{day}.{month}.19{z2}"}),
+    ("Aufnahme {day}. {month}.{z2}, entlassen", {"de.date.numeric.v1": "{day}. {month}.{z2}"}),
+    ("Probe vom 20{z2}-{mm}-{dd} liegt vor", {"de.date.iso.v1": "20{z2}-{mm}-{dd}"}),
+    ("Brief vom {day}. März 20{z2} liegt bei", {"de.date.written.v1": "{day}. März 20{z2}"}),
+    ("Fall-Nr.: {n}-{z4}/X liegt vor", {"de.id.labelled.v1": "{n}-{z4}/X"}),
+    ("Auftrag LAB-{z4}{d} erledigt", {"de.id.pattern.v1": "LAB-{z4}{d}"}),
+    ("wohnhaft in der Langen Gasse {h}b im Hof", {"de.address.street.v1": "Langen Gasse {h}b"}),
+    ("in 0{z4} Musterstadt-Süd, dort", {"de.address.plz_city.v1": "0{z4} Musterstadt-Süd"}),
+    ("in der Klinik für Herz-, Thorax- und Gefäßchirurgie, heute", {"de.org.department.v1": "Klinik für Herz-, Thorax- und Gefäßchirurgie"}),
+    ("von der Chirurgische Klinik {d1} verlegt", {"de.org.unit.v1": "Chirurgische Klinik {d1}"}),
+    ("auf Station K{z2} gelegen", {"de.org.ward.v1": "Station K{z2}"}),
+]
+_FILL = {
+    "n": "CAST(doc_id AS {text})", "m": "CAST(doc_id % 97 AS {text})", "d": "CAST(doc_id % 10 AS {text})", "d1": "CAST(1 + doc_id % 9 AS {text})", "h": "CAST(1 + doc_id % 900 AS {text})",
+    "z2": "lpad(CAST(10 + doc_id * 7 % 90 AS {text}), 2, '0')", "z4": "lpad(CAST(1000 + doc_id * 31 % 9000 AS {text}), 4, '0')", "day": "CAST(1 + doc_id % 28 AS {text})", "month": "CAST(1 + doc_id % 12 AS {text})",
+    "dd": "lpad(CAST(1 + doc_id % 28 AS {text}), 2, '0')", "mm": "lpad(CAST(1 + doc_id % 12 AS {text}), 2, '0')",
+}
+
+
+def _filled(line: str, text: str) -> str:
+    """A line as SQL that puts the numbers in."""
+    parts = re.split(r"\{(\w+)\}", line)
+    return "concat(" + ", ".join(_FILL[p].replace("{text}", text) if i % 2 else _quoted(p) for i, p in enumerate(parts) if p or i % 2) + ")"
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule_id, CAST({i} AS BIGINT) AS line, {_filled(found, 'VARCHAR')} AS found FROM documents" for i, (_, every) in enumerate(LETTER) for rule, found in every.items()))
+def detect_rules_letters(spark, sf_dir):
+    """A letter for each document's number with what every rule finds, and nothing else that any would."""
+    text = "concat_ws('\\n', " + ", ".join(_filled(line, "STRING") for line, _ in LETTER) + ")"
+    letters = table(spark, sf_dir, "documents").select("doc_id", F.expr(text).alias("text"))
+    found = detect.with_spans(letters, [detect.rules()]).select("doc_id", "text", F.explode("spans").alias("s"))
+    before = F.substring(F.col("text"), F.lit(1), F.col("s.start"))
+    return found.select("doc_id", F.col("s.metadata.rule_id").alias("rule_id"), (F.size(F.split(before, "\n")) - 1).cast("long").alias("line"), F.col("s.text").alias("found"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..types import ENTITY_TYPES, LABELS
@@ -16,7 +16,6 @@ from ..types import ENTITY_TYPES, LABELS
 GOLD_DDL = "array<struct<start:int,end:int,label:string,entity_type:string>>"
 ROW = "document_id string, text string, entities array<struct<start:int,end:int,entity_type:string,label:string,text:string>>"
 CAS = "`%FEATURE_STRUCTURES` array<struct<`%ID`:int,`%TYPE`:string,sofaString:string,`begin`:int,`end`:int,label:string>>"
-LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
 def label_map(custom: dict[str, str] | None = None) -> dict[str, str]:
@@ -37,20 +36,35 @@ def _unknown(spans: Column, custom: dict[str, str] | None) -> Column:
     return F.transform(F.array_distinct(F.transform(F.filter(spans, lambda s: mapped(s["label"], custom).isNull()), lambda s: s["label"])), lambda k: F.concat(F.lit("unknown label "), F.coalesce(k, F.lit("(none)"))))
 
 
-def json_lines(spark: SparkSession, path: str, labels: dict[str, str] | None = None) -> DataFrame:
+def _numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(line, n): the lines of text files that aren't blank, with their numbers in their file.
+
+    Files are split into blocks as Spark does. The lines of each block are counted, and a line's number is its place in the
+    block and the lines of the blocks before it; only counts and lines without an id of their own move.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    sizes = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    lines = raw.where(F.col("value").rlike(r"(?U)\S"))
+    named = F.get_json_object("value", "$.document_id").isNotNull()
+    loose = lines.where(~named).join(starts, ["file", "block"]).select("value", (F.col("at") + F.col("shift")).alias("n"))
+    return lines.where(named).select("value", F.lit(None).cast("long").alias("n")).unionByName(loose).withColumnRenamed("value", "line")
+
+
+def json_lines(spark: SparkSession, path: str | list[str], labels: dict[str, str] | None = None) -> DataFrame:
     """(document_id, text, gold, warnings); blank lines are skipped, but counted for the id 'line-N' of lines without one.
 
-    A line without text, with spans outside it, or with a span whose text differs fails the query.
+    A line without text, with spans outside it, or with a span whose text differs fails the query, whichever columns are asked for.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", LINES)).alias("n", "line")).where(F.col("line").rlike(r"(?U)\S"))
-    got = lines.select((F.col("n") + 1).alias("n"), F.from_json("line", ROW, {"mode": "FAILFAST"}).alias("d"))
+    got = _numbered_lines(spark, path).select("n", F.from_json("line", ROW, {"mode": "FAILFAST"}).alias("d"))
     name = F.coalesce("d.document_id", F.concat(F.lit("line-"), F.col("n").cast("string")))
     spans = F.transform(F.coalesce("d.entities", F.array().cast("array<struct<start:int,end:int,entity_type:string,label:string,text:string>>")), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.coalesce(e["entity_type"], e["label"]).alias("label"), e["text"].alias("text")))
     rows = got.select(name.alias("document_id"), F.col("d.text").alias("text"), spans.alias("spans"))
     bad = lambda s: s["start"].isNull() | s["end"].isNull() | (s["start"] < 0) | (s["end"] <= s["start"]) | (s["end"] > F.length("text")) | (s["text"].isNotNull() & (F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]) != s["text"]))
     why = F.when(F.col("text").isNull(), F.concat("document_id", F.lit(": it has no text"))).when(F.exists("spans", bad), F.concat("document_id", F.lit(": a span doesn't fit its text")))
-    checked = F.when(why.isNull(), F.col("text")).otherwise(F.raise_error(why).cast("string"))
-    return rows.select("document_id", checked.alias("text"), _typed(F.col("spans"), labels).alias("gold"), _unknown(F.col("spans"), labels).alias("warnings"))
+    checked = rows.where(F.when(why.isNull(), F.lit(True)).otherwise(F.raise_error(why).cast("boolean")))
+    return checked.select("document_id", "text", _typed(F.col("spans"), labels).alias("gold"), _unknown(F.col("spans"), labels).alias("warnings"))
 
 
 def _from_cas(rows: DataFrame, labels: dict[str, str] | None) -> DataFrame:
@@ -80,16 +94,10 @@ def folder(spark: SparkSession, path: str, labels: dict[str, str] | None = None)
     """The .json and .jsonl files directly in a folder, without hidden ones."""
     raw = spark.read.format("binaryFile").load(path).select("path").where(~F.col("path").rlike(r"/(?:\.|__MACOSX)[^/]*$"))
     names = [r[0] for r in raw.orderBy("path").collect()]  # a folder's names
-    parts = []
-    if jsons := [n for n in names if n.lower().endswith(".json")]:
-        parts.append(cas_json(spark, jsons, labels))
-    parts += [json_lines(spark, n, labels) for n in names if n.lower().endswith(".jsonl")]
+    parts = [read(spark, some, labels) for read, end in ((cas_json, ".json"), (json_lines, ".jsonl")) if (some := [n for n in names if n.lower().endswith(end)])]
     if not parts:
         raise ValueError(f"no annotations in {path}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
 
 
 def archive(spark: SparkSession, path: str, labels: dict[str, str] | None = None) -> DataFrame:

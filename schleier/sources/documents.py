@@ -6,16 +6,19 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from importlib.util import find_spec
+from dataclasses import astuple, fields
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.notices import none
+from ..types import MESSAGES
+from . import pdf
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 MOST_BYTES, MOST_CHARS = 20 << 20, 500_000
-READ_DDL = "struct<text:string,error:string,notices:array<string>>"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -36,24 +39,39 @@ def has_nul(content: Column) -> Column:
 
 
 def _paragraph(p: ElementTree.Element) -> str:
-    parts = []
-    for e in p.iter():
+    """A paragraph's text without that of the boxes anchored in it."""
+    parts, todo = [], [p]
+    while todo:
+        e = todo.pop()
         if e.tag == f"{W}t":
             parts.append(e.text or "")
-        elif e.tag == f"{W}tab":
+        elif e.tag == f"{W}tab" and e is not p:
             parts.append("\t")
         elif e.tag in (f"{W}br", f"{W}cr"):
             parts.append("\n")
+        if e.tag not in (f"{W}txbxContent", f"{W}pPr"):
+            todo += reversed(e)
     return "".join(parts)
 
 
+def _paragraphs(cell: ElementTree.Element) -> list[str]:
+    out, todo = [], [cell]
+    while todo:
+        e = todo.pop()
+        if e.tag == f"{W}p":
+            out.append(_paragraph(e))
+        else:
+            todo += reversed(e)
+    return out
+
+
 def _body(root: ElementTree.Element) -> list[str]:
     out = []
     for e in root:
         if e.tag == f"{W}p":
             out.append(_paragraph(e))
         elif e.tag == f"{W}tbl":
-            out += [" | ".join(" ".join(map(_paragraph, c.iter(f"{W}p"))).strip() for c in row.iter(f"{W}tc")) for row in e.iter(f"{W}tr")]
+            out += [" | ".join(" ".join(_paragraphs(c)).strip() for c in row.findall(f"{W}tc")) for row in e.findall(f"{W}tr")]
     return out
 
 
@@ -75,70 +93,42 @@ def docx(content: bytes) -> tuple[str | None, str | None, list[str]]:
     return (text, None, [k for k, there in found.items() if there]) if text else (None, "the document has no text", [])
 
 
-def _read_docx(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for c in contents:
-        yield pd.DataFrame([docx(x) for x in c], columns=["text", "error", "notices"])
-
-
-def sampled_pages(n: int, most: int) -> list[int]:
-    """At most ``most`` evenly spaced pages of n."""
-    return list(range(n)) if n <= most else sorted({round(i * (n - 1) / (most - 1)) for i in range(most)}) if most > 1 else [0]
-
-
-def has_text(page: str, least: int = 50) -> bool:
-    """Whether a page's embedded text is more than layout marks."""
-    return len(" ".join(re.sub(r"[#*_`>\-|:\[\](){}]", "", page).split())) >= least
-
-
-def pdf_pages(content: bytes) -> list[str]:
-    """Each page's embedded text; needs pypdf, which fails loudly where it isn't installed."""
-    if find_spec("pypdf") is None:
-        raise RuntimeError("reading PDF needs pypdf, which isn't installed")
-    import pypdf
-
-    reader = pypdf.PdfReader(io.BytesIO(content))
-    if reader.is_encrypted and not reader.decrypt(""):
-        raise ValueError("the PDF is encrypted")
-    out = []
-    for page in reader.pages:
-        try:
-            text = page.extract_text() or ""
-        except Exception:  # one broken page doesn't hide the others
-            text = ""
-        out.append(re.sub(r"\r\n?", "\n", text).replace("\0", ""))
-    return out
-
-
-def extracted(df: DataFrame) -> DataFrame:
-    """``files`` rows with ``text``, ``error`` and ``notices``; files of other kinds and over the limits are errors."""
-    known = F.col("source_type")
-    none = F.array().cast("array<string>")
-    txt = F.struct(decoded(F.col("content")).alias("text"), F.when(has_nul(F.col("content")), "it has NUL bytes").when(F.try_validate_utf8(F.col("content").cast("string")).isNull(), "it isn't UTF-8").alias("error"), none.alias("notices"))
-    failed = lambda why: F.struct(F.lit(None).cast("string").alias("text"), F.lit(why).alias("error"), none.alias("notices"))
-    # each kind in a plan of its own: files of the others don't go through Python
-    small = F.octet_length("content") <= MOST_BYTES
-    parts = [
-        df.where(~small).withColumn("read_", failed("it is larger than the limit")),
-        df.where(small & (known == "txt")).withColumn("read_", txt),
-        df.where(small & (known == "docx")).withColumn("read_", F.pandas_udf(_read_docx, READ_DDL)("content")),
-        df.where(small & (known == "pdf")).withColumn("read_", F.pandas_udf(_read_pdf, READ_DDL)("content")),
-        df.where(small & known.isNull()).withColumn("read_", failed("this kind of file isn't supported")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    long = F.length("read_.text") > MOST_CHARS
-    blank = ~F.coalesce(F.col("read_.text").rlike(r"(?U)\S"), F.lit(False)) & F.col("read_.error").isNull()
-    error = F.when(long, "its text is longer than the limit").when(blank, "it has no text").otherwise(F.col("read_.error"))
-    return out.select("path", "source_type", F.when(error.isNull(), F.col("read_.text")).alias("text"), error.alias("error"), "read_.notices")
-
-
-def _read_pdf(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for c in contents:
-        rows = []
-        for x in c:
-            try:
-                rows.append(("\n\n".join(pdf_pages(x)), None, []))
-            except ValueError as e:
-                rows.append((None, str(e), []))
-        yield pd.DataFrame(rows, columns=["text", "error", "notices"])
+def _reader(settings: pdf.Settings):
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for kinds, contents in batches:
+            rows = []
+            for kind, content in zip(kinds, contents):
+                if content is None:
+                    rows.append(pdf.Read())
+                elif kind == "docx":
+                    text, error, codes = docx(content)
+                    rows.append(pdf.Read(text, error, [(c, MESSAGES[c], {}) for c in codes]))
+                else:
+                    rows.append(pdf.read(content, settings))
+            yield pd.DataFrame([astuple(r) for r in rows], columns=[f.name for f in fields(pdf.Read)])
+
+    return F.pandas_udf(read, pdf.READ_DDL)
+
+
+def extracted(df: DataFrame, settings: pdf.Settings | None = None) -> DataFrame:
+    """``files`` rows with ``text``, ``error``, ``notices``, ``pages`` (offsets in the text) and ``scanned``; files of other kinds and over the
+    limits are errors. Files are read once: texts in SQL, the others in an Arrow UDF that sees nothing of the rest.
+
+    A scanned PDF that a model has to read is neither text nor error: ``pdf.transcribed`` takes it from there.
+    """
+    kind, small = F.col("source_type"), F.octet_length("content") <= MOST_BYTES
+    packed = small & kind.isin("docx", "pdf")
+    out = df.withColumn("read_", _reader(settings or pdf.Settings())(F.when(packed, kind), F.when(packed, F.col("content"))))
+    valid = F.try_validate_utf8(F.col("content").cast("string"))
+    text = F.when(small & (kind == "txt"), decoded(F.col("content"))).otherwise(F.col("read_.text"))
+    long, blank = F.length(text) > MOST_CHARS, ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
+    why = (
+        F.when(kind.isNull(), "this kind of file isn't supported")
+        .when(~small, "it is larger than the limit")
+        .when((kind == "txt") & has_nul(F.col("content")), "it has NUL bytes")
+        .when((kind == "txt") & valid.isNull(), "it isn't UTF-8")
+        .when(F.col("read_.error").isNotNull(), F.col("read_.error"))
+        .when(long, "its text is longer than the limit")
+        .when(blank & ~F.coalesce("read_.scanned", F.lit(False)), "it has no text")
+    )
+    return out.withColumn("error", why).select("path", "source_type", F.when(F.col("error").isNull(), text).alias("text"), "error", F.coalesce("read_.notices", none()).alias("notices"), F.coalesce("read_.pages", F.array().cast(pdf.PAGES_DDL)).alias("pages"), F.coalesce("read_.scanned", F.lit(False)).alias("scanned"))

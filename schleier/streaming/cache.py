@@ -38,25 +38,59 @@ def lifetimes(entries: DataFrame, now: Column, most: int = MOST_ENTRIES) -> Data
 
 
 class Expiring(StatefulProcessor):
-    """The latest result of each key, dropped when its time is over."""
+    """The latest result of each key, dropped when its time is over.
 
-    def __init__(self, ttl: int = TTL) -> None:
-        self.ttl = ttl
+    Commands are ``put`` (a new result, for ``ttl`` seconds but never beyond ``limit``), ``extend`` (``extension`` seconds from now, up to
+    ``limit`` from its making, never sooner than before) and ``discard``. Reading never extends. A timer drops what nobody asks for.
+    """
+
+    def __init__(self, ttl: int = TTL, extension: int = EXTENSION, limit: int = LIMIT) -> None:
+        self.ttl, self.extension, self.limit = ttl, extension, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("result", "result string", ttlDurationMs=self.ttl * 1000)
+        self.handle = handle
+        self.value = handle.getValueState("result", "result string, created long, expires long")
+
+    def _row(self, key, event: str, held: tuple | None, now: int) -> pd.DataFrame:
+        result, created, expires = held or (None, None, None)
+        left = max(0, (expires - now) // 1000) if held else 0
+        return pd.DataFrame({"key": [key[0]], "event": [event], "result": [result], "remaining": [int(left)], "can_extend": [bool(held and expires < created + 1000 * self.limit)]})
+
+    def _keep(self, result: str, created: int, expires: int) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.value.update((result, created, expires))
+        self.handle.registerTimer(expires)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
         for batch in rows:
-            for result in batch["result"]:
-                self.value.update((result,))
-        if self.value.exists():
-            yield pd.DataFrame({"key": [key[0]], "result": [self.value.get()[0]]})
+            for command, result in zip(batch["command"], batch["result"]):
+                held = self.value.get() if self.value.exists() else None
+                if held and held[2] <= now:
+                    self.value.clear()
+                    held = None
+                if command == "put":
+                    self._keep(result, now, now + 1000 * min(self.ttl, self.limit))
+                elif command == "extend" and held:
+                    self._keep(held[0], held[1], max(held[2], min(now + 1000 * self.extension, held[1] + 1000 * self.limit)))
+                elif command == "discard":
+                    self.value.clear()
+                held = self.value.get() if self.value.exists() else None
+                yield self._row(key, command if held or command == "discard" else "gone", held, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if self.value.exists() and self.value.get()[2] <= now:
+            self.value.clear()
+            yield self._row(key, "expired", None, now)
 
     def close(self) -> None:
         pass
 
 
-def expiring(results: DataFrame, ttl: int = TTL) -> DataFrame:
-    """A stream of (key, result) with each key's latest result kept as state for ``ttl`` seconds."""
-    return results.groupBy("key").transformWithStateInPandas(statefulProcessor=Expiring(ttl), outputStructType="key string, result string", outputMode="update", timeMode="processingTime")
+def expiring(commands: DataFrame, ttl: int = TTL, extension: int = EXTENSION, limit: int = LIMIT) -> DataFrame:
+    """A stream of (key, command, result) as (key, event, result, remaining, can_extend), with each key's result kept as state."""
+    return commands.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Expiring(ttl, extension, limit), outputStructType="key string, event string, result string, remaining long, can_extend boolean", outputMode="update", timeMode="processingTime"
+    )

@@ -14,7 +14,7 @@ APPLIED_DDL = SPAN_DDL[:-1] + ",transformation:string,replacement:string,status:
 OVERRIDE_DDL = "struct<start:int,end:int,text:string,transformation:string,entity_type:string>"
 MENTION_DDL = "struct<text:string,entity_type:string,role:string>"
 NOTICE_DDL = "struct<code:string,message:string,params:map<string,string>>"
-WARNING_DDL = "struct<code:string,category:string,severity:string,start:int,end:int,entity_type:string>"
+WARNING_DDL = "struct<code:string,category:string,severity:string,start:int,end:int,entity_type:string,message:string>"
 LINE_DDL = "struct<text:string,box:struct<x1:int,y1:int,x2:int,y2:int>>"
 
 # What happens to each type unless a policy says otherwise.
@@ -63,6 +63,9 @@ MESSAGES = {
     "docx_tracked_changes": "The document contains tracked changes; inserted text may be incomplete.",
     "docx_tracked_deletions": "The document contains tracked deletions, which are not extracted.",
     "docx_text_boxes": "The document contains text boxes, which are not extracted.",
+    "pdf_no_page_mapping": "Page mapping is not available for docling-serve extraction.",
+    "pdf_docling_fallback": "docling-serve failed ({reason}); used local extraction.",
+    "ocr_recognition_errors": "Text was produced by OCR; recognition errors are possible.",
     "llm_mention_not_located": "The LLM reported a {entity_type} mention that could not be located in the source text; please review the document manually.",
     "invalid_span_rejected": "Rejected invalid span from detector '{detector}' (offset mismatch).",
     "override_not_matched": "An override did not match any detected span and was ignored.",

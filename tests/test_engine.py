@@ -1,11 +1,14 @@
+import hashlib
+import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from schleier import types
-from schleier.functions.text import matches
+from schleier.functions.text import blocks, cut, cuttable, greatest_before, matches, sums_before
 from schleier.operators import detect, evaluate, grounding, mentions, ocr, policy, resolve, segments, validate
 from schleier.plans import deidentify
 
@@ -31,6 +34,26 @@ def test_matches_equal_python(spark):
             assert got[i] == [(*m.span(group), m.group(group)) for m in re.finditer(python, t)], (t, java)
 
 
+def test_many_matches(spark):
+    """Spans of a text with very many matches, and what follows from them, take no square of their number."""
+    df = spark.createDataFrame([("a@b.de " * 50_000,)], "text string")
+    began = time.time()
+    found = resolve.resolved(detect.with_spans(df, [detect.rules(["de.email.v1"])]))
+    out = policy.apply_policy(found).select(F.size("spans").alias("n"), F.element_at("spans", -1)["end"].alias("end"), F.md5(F.col("output").cast("binary")).alias("digest")).first()
+    assert (out["n"], out["end"]) == (50_000, 349_999) and out["digest"] == hashlib.md5(b"[E-MAIL] " * 50_000).hexdigest()
+    assert time.time() - began < 20
+
+
+def test_helpers_on_arrays(spark):
+    rows = [([],), ([3],), (list(range(1, 12)),), ([5, 1, 9, 2] * 20,)]
+    df = spark.createDataFrame(rows, "x array<int>").select("x", sums_before(F.col("x")).alias("s"), greatest_before(F.col("x")).alias("g"), F.flatten(blocks(F.col("x"))).alias("b"))
+    for r in df.collect():
+        assert r["s"] == [sum(r["x"][:i]) for i in range(len(r["x"]))] and r["g"] == [max([0, *r["x"][:i]]) for i in range(len(r["x"]))] and r["b"] == r["x"]
+    odd = "a😀é\n漢b"
+    got = spark.createDataFrame([(odd,)], "t string").select(F.transform(F.sequence(F.lit(0), F.length("t")), lambda i: cut(cuttable(F.col("t")), i, F.length("t"))).alias("c")).first()["c"]
+    assert got == [odd[i:] for i in range(len(odd) + 1)]
+
+
 def test_resolver(spark):
     cases = [
         ([(0, 14, "A", 0.9, "rules"), (0, 14, "A", 1.0, "mock")], [(0, 14)]),
@@ -92,8 +115,17 @@ def test_manual_and_stale_overrides(spark):
     df = spark.createDataFrame([("Aufnahme bei Max", [(0, 8, "Aufnahme", "REMOVE", None), (1, 3, "zz", "REMOVE", None), (0, 8, "Aufnahme", None, "ORGANIZATION")])], f"text string, overrides array<{types.OVERRIDE_DDL}>")
     r = deidentify.deidentified(df, overrides="overrides").first()
     assert r["output"] == "[ORGANISATION] bei Max"
-    assert [n["code"] for n in r["notices"]] == ["manual_selection_ignored"] and [n["code"] for n in r["override_notices"]] == ["override_not_matched"]
-    assert r["validation_status"] == "REVIEW_REQUIRED"
+    assert r["notices"] == [] and [n["code"] for n in r["override_notices"]] == ["manual_selection_ignored", "override_not_matched"]
+    assert all(n["message"] == types.MESSAGES[n["code"]] for n in r["override_notices"])
+    # a stale selection says nothing about what was detected
+    assert r["validation_status"] == "PASS"
+
+
+def test_kept_passages_of_a_pdf(spark):
+    df = spark.createDataFrame([("pdf", "Mail an a@b.de. Nochmals a@b.de."), ("txt", "Mail an a@b.de. Nochmals a@b.de.")], "source_type string, text string")
+    df = df.withColumn("overrides", F.array(F.struct(F.lit(8).alias("start"), F.lit(14).alias("end"), F.lit("a@b.de").alias("text"), F.lit("PRESERVE").alias("transformation"), F.lit(None).cast("string").alias("entity_type"))))
+    a, b = deidentify.deidentified(df, overrides="overrides", source_type="source_type").orderBy("source_type").collect()
+    assert [(n["code"], n["params"]) for n in a["override_notices"]] == [("pdf_preserve_not_honoured", {"count": "1"})] and a["override_notices"][0]["message"].startswith("1 passage(s)") and b["override_notices"] == []
 
 
 def test_null_and_empty_documents(spark):
@@ -142,17 +174,55 @@ def test_chunks():
 
 
 def test_answers(spark):
-    rows = [(1, 0, 0, '```json\n{"entities":[{"text":"Max","type":"person_name","role":"p"},{"text":" ","type":"AGE"},{"text":"q","type":"foo"}]}\n```'), (1, 1, 0, '[{"text":"Max","type":"PERSON_NAME","role":"late"}]')]
+    rows = [(1, 0, 0, '```json\n{"entities":[{"text":"Max","type":"PERSON_NAME","role":"p"},{"text":" ","type":"AGE"},{"text":"q","type":"foo"}]}\n```'), (1, 1, 0, '[{"text":"Max","type":"PERSON_NAME","role":"late"}]')]
     df = spark.createDataFrame(rows, "doc_id int, pass int, chunk int, answer string").withColumn("mentions", mentions.parsed(F.col("answer")))
     assert [tuple(m) for m in mentions.merged(df).first()["mentions"]] == [("Max", "PERSON_NAME", "p"), ("q", "OTHER_PII", "")]
-    with pytest.raises(Exception, match="JSON"):
-        spark.createDataFrame([("no json",)], "answer string").select(mentions.parsed(F.col("answer"))).collect()
+    for bad in ("no json", "5", '"x"', "null", "", '{"entities":5}', '{"entities":null}', '{"entities":[{"text":"Max"}'):
+        with pytest.raises(Exception, match="JSON|entities"):
+            spark.createDataFrame([(bad,)], "answer string").select(mentions.parsed(F.col("answer"))).collect()
     asked = mentions.asked(mentions.chunks(spark.createDataFrame([(1, "a b")], "doc_id int, text string")), lambda t, k: f'{{"entities":[{{"text":"{t}{k}","type":"AGE"}}]}}')
     assert sorted(r["answer"] for r in asked.collect())[0].count("a b0") == 1
 
 
+def test_bisected_chunks(spark):
+    def ask(text, number):
+        if len(text) > 700:
+            raise mentions.Truncated
+        return f'{{"entities":[{{"text":"{text[0]}{text[-1]}","type":"AGE"}}]}}'
+
+    text = "".join(chr(97 + i * 25 // 2000) for i in range(2000))
+    said = mentions.asked(spark.createDataFrame([(1, 0, 0, text)], "doc_id int, chunk int, start int, text string"), ask, 1).orderBy("part").collect()
+    assert len(said) > 2 and [r["part"] for r in said] == list(range(len(said))) and json.loads(said[0]["answer"])["entities"][0]["text"][0] == "a" and json.loads(said[-1]["answer"])["entities"][0]["text"][1] == text[-1]
+    with pytest.raises(types.DetectorUnavailable):
+        mentions.bisected(lambda t, k: (_ for _ in ()).throw(mentions.Truncated), text, 0)
+    schema = mentions.schema_of_answers(audit=True)
+    assert schema["required"] == ["entities", "risk", "concerns"] and schema["properties"]["entities"]["items"]["properties"]["type"]["enum"] == list(types.ENTITY_TYPES)
+    assert mentions.instructed("t") == "t" and mentions.instructed("t", " more ").endswith("more") and "x y" in mentions.framed("x y")
+
+
+def test_audit(spark):
+    """What a model says of an output becomes warnings, located in the output; without an answer the document asks for review."""
+    answers = {
+        "ok": '{"entities":[],"risk":"low","concerns":[]}',
+        "left": '{"entities":[{"text":"Bo","type":"PERSON_NAME"},{"text":"1980","type":"AGE"},{"text":"[X]","type":"AGE"},{"text":"Zed","type":"AGE"}],"risk":"medium","concerns":[{"category":" ","description":"rare job"},{"description":""},7]}',
+        "note": '{"entities":[],"risk":"odd","concerns":[{"category":"c","description":"d"}]}',
+    }
+    df = spark.createDataFrame([(k, f"{k} mit Bo 1980 [X]") for k in (*answers, "none")], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in deidentify.audited(deidentify.deidentified(df), lambda t, k: answers.get(t.split()[0])).collect()}
+    told = lambda k: [(w["code"], w["category"], w["severity"], w["start"], w["message"]) for w in got[k]["warnings"]]
+    assert told("ok") == [] and got["ok"]["validation_status"] == "PASS" and "audit_id_" not in got["ok"].asDict()
+    assert told("left") == [
+        ("llm_recheck_remaining", "llm_recheck", "WARNING", 9, "The LLM re-check found a possible remaining PERSON_NAME in the output."),
+        ("llm_recheck_unlocated", "llm_recheck", "INFO", None, types.MESSAGES["llm_recheck_unlocated"]),
+        ("recheck_risk", "recheck_risk", "WARNING", None, "The LLM re-check rates the remaining risk of re-identification as medium."),
+        ("", "recheck_other", "WARNING", None, "rare job"),
+    ]
+    assert told("note") == [("", "recheck_c", "INFO", None, "d")] and got["note"]["validation_status"] == "PASS"
+    assert [w[0] for w in told("none")] == ["llm_recheck_failed"] and got["none"]["validation_status"] == "REVIEW_REQUIRED"
+
+
 def test_recheck(spark):
-    df = spark.createDataFrame([(1, 0, '{"entities":[{"text":"1980","type":"AGE"},{"text":"[X]","type":"AGE"},{"text":"Bo","type":"AGE"}],"risk":"low","concerns":[]}'), (1, 1, '{"entities":[],"risk":"HIGH","concerns":[{"category":"c","description":"d"}]}')], "doc_id int, chunk int, answer string")
+    df = spark.createDataFrame([(1, 0, '{"entities":[{"text":"1980","type":"AGE"},{"text":"[X]","type":"AGE"},{"text":"Bo","type":"AGE"}],"risk":"low","concerns":[]}'), (1, 1, '{"entities":[],"risk":"high","concerns":[{"category":"c","description":"d"}]}')], "doc_id int, chunk int, answer string")
     r = mentions.rechecked(df, types.DEFAULT_POLICY).first()
     assert [m["text"] for m in r["mentions"]] == ["Bo"] and r["risk"] == "high" and len(r["concerns"]) == 1
 
