@@ -85,7 +85,7 @@ RULES = (
     Rule("de.date.numeric.v1", "(?U)" + whole(dotted_date), "OTHER_DATE", 0.90, anchor=r"(?U)\d\.\s?\d"),
     Rule("de.date.iso.v1", "(?U)" + whole(iso_date), "OTHER_DATE", 0.90, anchor=r"(?U)\d-\d"),
     Rule("de.date.written.v1", "(?U)" + whole(named_date), "OTHER_DATE", 0.90, anchor=r"(?U)\d\.\s?\p{Lu}"),
-    Rule("de.id.labelled.v1", f"(?iuU){labelled(ID_LABELS, ':?', enclosed('A-Za-z0-9', r'\-/.', 25))}", "ID_NUMBER", 0.95, 1, anchor="(?i)numme|nr|(?:patienten|proben)-?id|aktenz"),
+    Rule("de.id.labelled.v1", f"(?iuU){labelled(ID_LABELS, ':?', enclosed('A-Za-z0-9', r'\-/.', 25))}", "ID_NUMBER", 0.95, 1, anchor=r"(?i)p(?:at\.|atienten|roben)|a(?:ufnahme|uftrag|ktenz)|fall-?n|versicherten|kv-?n|befund"),
     Rule("de.id.pattern.v1", "(?U)" + whole(r"[A-Z]{2,5}-\d{4,10}"), "ID_NUMBER", 0.80, anchor=r"[A-Z]-(?U)\d"),
     Rule("de.address.street.v1", "(?U)" + whole(rf"(?:[{UPPER}][\wäöüß\-]*{SPACE}+){{0,2}}[\wäöüß\-]*{street}{SPACE}+{house}"), "ADDRESS", 0.90, subtype="street", anchor=rf"(?U)[eg.mrz]{SPACE}+\d"),
     Rule("de.address.plz_city.v1", rf"(?U)\b\d{{5}}{SPACE}+{capitalised}(?:{either((SPACE, '-'))}{capitalised})*", "ADDRESS", 0.85, subtype="plz_city", anchor=rf"(?U)\d{SPACE}+\p{{Lu}}"),

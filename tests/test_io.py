@@ -256,6 +256,8 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     stream.start(stream.source(spark, str(tmp_path / "in"), docs.schema), str(tmp_path / "out"), str(tmp_path / "cp"), keep).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.exceptAll(keep(docs)).count() == 0 and got.count() == docs.count()
+    stream.start(stream.source(spark, str(tmp_path / "in"), docs.schema), str(tmp_path / "lines"), str(tmp_path / "cp2"), keep, kind="json").awaitTermination(120)
+    assert spark.read.json(str(tmp_path / "lines")).count() == docs.count()
 
 
 def test_cache_lifetimes(spark):
