@@ -371,10 +371,10 @@ def ocr_boxes(spark, sf_dir):
     return out.select("l.text", *(F.col(f"l.box.{k}").cast("long").alias(k) for k in ("x1", "y1", "x2", "y2")))
 
 
-SIGNS = " – a—b ‘c’ ‚d‘ “e” „f“ • g\u2009h\u202fi … 5 € ✓"
+SIGNS = " – a—b ‘c’ ‚d “e” „f“ • g▪h\u00a0i → … 5 € ✓"
 
 
-@query(f"""SELECT doc_id, md5(regexp_replace(translate(replace(replace(text || '{SIGNS}', '…', '...'), '€', 'EUR'), '–—‘’‚“”„•' || chr(8201) || chr(8239), '--''''''' || repeat(chr(34), 3) || '-  '), '[^\\x{{00}}-\\x{{FF}}]', '?', 'g')) AS digest FROM documents""")
+@query(f"""SELECT doc_id, md5(regexp_replace(translate(replace(replace(text || '{SIGNS}', '…', '...'), '→', '->'), '•▪–—‘’“”„' || chr(160), '----' || repeat(chr(39), 2) || repeat(chr(34), 3) || ' '), '[^\\x{{00}}-\\x{{FF}}]', '?', 'g')) AS digest FROM documents""")
 def latin1_text(spark, sf_dir):
     """Every text, with the signs that are replaced after it."""
     docs = table(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.lit(SIGNS)))

@@ -1,7 +1,9 @@
 import io
 import json
+import re
 import time
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -10,11 +12,11 @@ from pyspark.sql import functions as F
 from schleier.operators import evaluate
 from schleier.plans import deidentify
 from schleier.operators import ocr
-from schleier.sources import annotations, documents, pdf, requests, sinks
+from schleier.sources import annotations, documents, paper, pdf, requests, sinks
 from schleier.streaming import cache
 from schleier.streaming import documents as stream
 from schleier.streaming import progress
-from schleier.types import MESSAGES
+from schleier.types import MESSAGES, SPAN_DDL
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -163,6 +165,34 @@ def test_requests(spark):
             bad()
 
 
+def drawn_text(content):
+    """What a PDF file of ours shows, by page: its places, sizes and texts."""
+    assert content.startswith(b"%PDF-1.4") and content.endswith(b"%%EOF\n")
+    start = int(re.search(rb"startxref\n(\d+)", content)[1])
+    places = [int(x) for x in re.findall(rb"(\d{10}) 00000 n", content[start:])]
+    assert all(content[p:].startswith(f"{i} 0 obj".encode()) for i, p in enumerate(places, 1))
+    pages = [zlib.decompress(x).decode("latin-1") for x in re.findall(rb"stream\n(.*?)\nendstream", content, re.S)]
+    return [[(float(s), float(x), float(y), re.sub(r"\\(.)", r"\1", t)) for s, x, y, t in re.findall(r"/F1 (\S+) Tf (\S+) (\S+) Td \((.*?)(?<!\\)\) Tj", p)] for p in pages]
+
+
+def test_rebuilt_pages(spark):
+    box = lambda text, page, x1=100, y1=100, x2=500, y2=130: (text, (x1, y1, x2, y2), page)
+    lines = [box("Herr Max", 1), box("Muster (krank) \u2026", 2), box("wort " * 40, 2, y1=300, y2=400), box("frei", 3, x1=0, x2=900)]
+    pages = spark.createDataFrame([("a", k, [(t, b) for t, b, p in lines if p == k]) for k in (1, 2, 3)] + [("b", 1, [("ohne", None)])], f"doc_id string, page_number int, lines {ocr.NONE}")
+    docs = ocr.assembled(pages).withColumn("spans", F.array().cast(f"array<{SPAN_DDL}>"))
+    at = F.struct(F.lit(5).alias("start"), F.lit(16).alias("end"), F.lit("Max\n\nMuster").alias("text"), F.lit("REMOVE").alias("transformation"), F.lit("PERSON_NAME").alias("entity_type"))
+    done = deidentify.finished(docs.withColumn("overrides", F.when(F.col("doc_id") == "a", F.array(at))), lang="en", overrides="overrides")
+    done = done.withColumn("areas", F.array(F.struct(F.lit(3).alias("page_number"), F.lit(0.0).alias("x0"), F.lit(0.09).alias("y0"), F.lit(0.0105).alias("x1"), F.lit(0.13).alias("y1"))).cast(paper.AREAS_DDL))
+    a, b = paper.rebuilt(done, areas="areas").orderBy("doc_id").collect()
+    assert b["pdf"] is None and b["pdf_error"] == "there is no layout" and a["pdf_error"] is None
+    first, second, third = drawn_text(bytes(a["pdf"]))
+    assert [t for *_, t in first] == ["Herr [REDACTED]"] and [t for *_, t in second][0] == " (krank) ...".strip() and " ".join(t for *_, t in second[1:]) == ("wort " * 40).strip()
+    assert third[0][3].strip() == "ei" and first[0][1] == 59.53 and len({y for _, _, y, _ in second[1:]}) > 1 and all(s in paper.SIZES for s, *_ in second)
+    kept = done.withColumn("applied", F.transform("applied", lambda s: s.withField("replacement", F.lit(None).cast("string"))))
+    assert [r["pdf_error"] for r in paper.rebuilt(kept).where("doc_id = 'a'").collect()] == ["a redacted text can still be read"]
+    assert paper.advance("Ä", 10) == paper.advance("A", 10) == 6.67 and paper.wrapped("aa bb", 10, 12) == ["aa", "bb"]
+
+
 def test_areas(spark):
     pages = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "doc_id string, page_number int")
     kind = "doc_id string, page int, x0 double, y0 double, x1 double, y1 double"
