@@ -59,7 +59,18 @@ def shared_dir(spark: SparkSession, what: str) -> str:
             atexit.register(shutil.rmtree, base, ignore_errors=True)
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    spark._schleier_paths = [*getattr(spark, "_schleier_paths", ()), path]
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the folders that operators have made in this session; how many. What still reads from them can't be computed any more."""
+    paths, spark._schleier_paths = getattr(spark, "_schleier_paths", []), []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from conftest import same_rows
 from schleier.llm import bpe, content, decontaminate, media, neardup, ngram, queries, secrets, toxicity, urlfilter, warc
-from schleier.llm.common import SliceHash, mix, same_slices, shared_dir
+from schleier.llm.common import SliceHash, mix, release, same_slices, shared_dir, stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -291,6 +291,13 @@ def test_shared_folders_are_never_local_on_a_cluster():
         shared_dir(Cluster(), "x")
 
 
+def test_release(spark):
+    df = stored(spark.range(3).toDF("x"), "test")
+    assert df.count() == 3 and release(spark) >= 1 and release(spark) == 0
+    with pytest.raises(Exception, match="exist"):
+        df.collect()
+
+
 def test_fm_index():
     rnd = random.Random(3)
     for _ in range(150):
