@@ -15,7 +15,8 @@ The lexer adds ``lex`` spans. It parses name-literal pairs of source and configu
 A pair whose value names an earlier pair gets that one's literals. A literal is scored by the words of the names that
 it reaches, with the name that its pair lies under, and by its own shape. Literals scoring at least ``THRESHOLD``
 that base spans don't cover become spans. Literals are searched for pairs in turn. No length is bounded, and each
-state only moves on, so that time grows with the text.
+state only moves on, so that lexing takes time in proportion to the text; a constant is followed once for each weight of the names
+that are given it as a whole, and anew where it is joined with others.
 
 Byte scans find the documents where anything can match; those alone are decoded. Positions are code points, end
 exclusive. Null and empty texts have no spans; equal texts, ties and repeated rows have equal spans; an empty table
@@ -126,6 +127,8 @@ class Lexer:
 
     def __init__(self, text: str) -> None:
         self.text, self.constants, self.found = text, {}, {}
+        self.followed: set[tuple[int, float]] = set()
+        self.lists: list[list] = []  # kept, so that what tells them apart stays theirs
 
     def literal(self, at: int, high: int) -> tuple[int, int, int] | None:
         """(start, end, where it goes on) of the inside of a quoted literal at a place."""
@@ -203,15 +206,14 @@ class Lexer:
 
     def pairs(self, low: int, high: int) -> None:
         """Notes the literals of all pairs that reach a sensitive name, with the highest of their scores."""
-        text, at, line, indent, seen = self.text, low, low, 0, low
+        text, at, indent, seen = self.text, low, 0, low
         # (bracket, or '' for a block of YAML; its indentation; the name it lies under), and the number of each bracket
         under: list[tuple[str, int, str]] = []
         held: Counter[str] = Counter()
         while m := SEEK.search(text, at, high):
             start, at = m.start(), m.end()
             if (new := text.rfind("\n", seen, start)) >= 0:
-                line = new + 1
-                indent = BLANK.match(text, line, high).end() - line
+                indent = BLANK.match(text, new + 1, high).end() - new - 1
                 while under and not under[-1][0] and under[-1][1] >= indent:
                     held[under.pop()[0]] -= 1
             seen = start
@@ -234,6 +236,7 @@ class Lexer:
                 groups, at = self.value(typed.end(), high, indent, "=", weight)
             if any(groups):
                 self.constants[m["own"]] = [t for g in groups for t in g]
+                self.lists.append(self.constants[m["own"]])
             elif at < high and text[at] in "[({":
                 under.append((text[at], 0, name))
                 held[text[at]] += 1
@@ -243,6 +246,10 @@ class Lexer:
                 held[""] += 1
             if weight:
                 for terms in groups:
+                    if len(terms) == 1 and isinstance(terms[0], list):
+                        if (key := (id(terms[0]), weight)) in self.followed:
+                            continue
+                        self.followed.add(key)
                     literals = reached(terms)
                     score = weight * literal_weight("".join(text[a:b] for a, b in literals))
                     if score >= THRESHOLD:
