@@ -119,7 +119,7 @@ def detect_rules_fixture(spark, sf_dir):
 
 @query(_values([(3, 13, "Station B4"), (34, 44, "STATION b4"), (49, 59, "Westflügel")], '"start", "end", "text"'))
 def detect_terms(spark, sf_dir):
-    docs = spark.createDataFrame([("im Station B4, nicht Station B4x, STATION b4, im Westflügel",)], "text string").withColumn("text", F.substring("text", 1, 200))
+    docs = spark.createDataFrame([("im Station B4, nicht Station B4x, STATION b4, im Westflügel",)], "text string")
     found = detect.with_spans(docs, [detect.terms(["Station B4", "Westflügel", " station b4 ", " "])]).select(F.explode("spans").alias("s"))
     return found.select(F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.text")
 
