@@ -45,7 +45,7 @@ NONE = np.iinfo(np.int32).max
 #: Longer pieces are merged one by one with a heap.
 VECTOR_BYTES = 32
 #: Slots of the piece cache; pieces and bytes of pieces kept before it starts anew.
-SLOTS, KEPT_PIECES, KEPT_BYTES = 1 << 19, 1 << 20, 1 << 25
+SLOTS, KEPT_PIECES, KEPT_BYTES = 1 << 19, 1 << 19, 1 << 23
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
