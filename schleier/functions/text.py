@@ -97,28 +97,38 @@ def present(text: Column, anchor: str | tuple[str]) -> Column:
     return F.contains(text, F.lit(anchor[0])) if isinstance(anchor, tuple) else text.rlike(anchor)
 
 
-def matches(text: Column, pattern: str, group: int = 0, anchor: str | tuple[str] = "") -> Column:
-    """array<struct<start, end, text>> of the leftmost non-overlapping matches, without Python.
+PIECES = "struct<gap:array<string>,whole:array<string>,part:array<string>>"
+
+
+def pieces(text: Column, pattern: str, group: int = 0, anchor: str | tuple[str] = "") -> Column:
+    """The text between matches (split), the matches, and a group of each; null where there is none.
 
-    The text between matches (split) and the matches themselves alternate, so that sums of their lengths give the
-    code-point offsets. With group 1 the span is the group's, which must end where the match ends. The pattern
-    runs only where the anchor is, and again only where it matches at all.
+    The pattern runs only where the anchor is, and again only where it matches at all.
     """
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    there = present(text, anchor) & text.rlike(pattern) if anchor else text.rlike(pattern)
+    return F.when(there, F.struct(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), part.alias("part")))
+
 
-    def spans(pieces: Column) -> Column:
-        gap, all_ = pieces["gap"], pieces["whole"]
-        lengths = F.zip_with(F.slice(gap, 1, F.size(all_)), all_, lambda a, b: F.length(a) + F.length(b))
-        return bound(sums_before(lengths), lambda before: F.transform(F.arrays_zip(before.alias("at"), F.slice(gap, 1, F.size(all_)).alias("gap"), all_.alias("whole"), pieces["part"].alias("part")), one))
+def placed(found: Column) -> Column:
+    """array<struct<start, end, text>> of ``pieces``: gaps and matches alternate, so that sums of their lengths give the code-point
+    offsets. A group's span must end where the match ends; empty ones are left out."""
 
     def one(p: Column) -> Column:
         end = p["at"] + F.length(p["gap"]) + F.length(p["whole"])
         return F.struct((end - F.length(p["part"])).alias("start"), end.alias("end"), p["part"].alias("text"))
 
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.struct(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole).alias("part"))
-    found = F.filter(bound(pieces, spans), lambda s: s["start"] < s["end"]).cast(FOUND)
-    there = present(text, anchor) & text.rlike(pattern) if anchor else text.rlike(pattern)
-    return F.when(there, found).otherwise(F.array().cast(FOUND))
+    gap, whole = F.slice(found["gap"], 1, F.size(found["whole"])), found["whole"]
+    lengths = F.zip_with(gap, whole, lambda a, b: F.length(a) + F.length(b))
+    spans = F.transform(F.arrays_zip(sums_before(lengths).alias("at"), gap.alias("gap"), whole.alias("whole"), found["part"].alias("part")), one)
+    return F.filter(spans, lambda s: s["start"] < s["end"]).cast(FOUND)
+
+
+def matches(text: Column, pattern: str, group: int = 0, anchor: str | tuple[str] = "") -> Column:
+    """array<struct<start, end, text>> of the leftmost non-overlapping matches, without Python."""
+    none = F.array().cast(FOUND)
+    return bound(pieces(text, pattern, group, anchor), lambda p: F.when(p.isNull(), none).otherwise(placed(p)))
 
 
 def content_digest(content: Column) -> Column:

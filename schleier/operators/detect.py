@@ -11,17 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.notices import notice
-from ..functions.patterns import RULES, Rule
-from ..functions.text import bound, cut, cuttable, matches, metadata, word_bounded
+from ..functions.patterns import RULES
+from ..functions.text import PIECES, bound, cut, cuttable, matches, metadata, pieces, placed, word_bounded
 from ..types import SPAN_DDL, DetectorUnavailable
 
 Detector = Callable[[Column], Column]
 
 
-def _spans(found: Column, entity_type: str, confidence: float, detector: str, meta: Column) -> Column:
+def _spans(found: Column, entity_type: str | Column, confidence: float | Column, detector: str, meta: Column) -> Column:
+    entity_type, confidence = (x if isinstance(x, Column) else F.lit(x) for x in (entity_type, confidence))
     return F.transform(
         found,
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.lit(entity_type).alias("entity_type"), F.lit(confidence).alias("confidence"), F.lit(detector).alias("detector"), F.lit(0).alias("ordinal"), meta.alias("metadata")),
+        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), entity_type.alias("entity_type"), confidence.alias("confidence"), F.lit(detector).alias("detector"), F.lit(0).alias("ordinal"), meta.alias("metadata")),
     )
 
 
@@ -30,17 +31,28 @@ def numbered(spans: Column) -> Column:
     return F.transform(spans, lambda s, i: s.withField("ordinal", i.cast("int"))).cast(f"array<{SPAN_DDL}>")
 
 
-def rule(text: Column, r: Rule) -> Column:
-    return _spans(matches(text, r.pattern, r.group, r.anchor), r.entity_type, r.confidence, "rules", metadata(rule_id=r.rule_id, subtype=r.subtype))
-
-
 def rules(only: Iterable[str] | None = None) -> Detector:
     """The rule detector; ``only`` names some rules."""
     wanted = set(only) if only is not None else None
     chosen = [r for r in RULES if wanted is None or r.rule_id in wanted]
     if wanted and len(chosen) != len(wanted):
         raise DetectorUnavailable(f"no such rules: {sorted(wanted - {r.rule_id for r in chosen})}")
-    return lambda text: F.concat(*(rule(text, r) for r in chosen))
+    listed = lambda values: F.split(F.lit("\t".join(values)), "\t")
+    kinds, names, subtypes, sureness = (listed([str(v) for v in x]) for x in zip(*((r.entity_type, r.rule_id, r.subtype or "", r.confidence) for r in chosen)))
+
+    def detect(text: Column) -> Column:
+        # each rule's matches, then one expression that places those of all rules
+        found = F.array(*(pieces(text, r.pattern, r.group, r.anchor) for r in chosen)).cast(f"array<{PIECES}>")
+
+        def spans(p: Column, i: Column) -> Column:
+            of = lambda values: F.get(values, i)
+            meta = metadata(rule_id=of(names), subtype=F.nullif(of(subtypes), F.lit("")))
+            made = _spans(placed(p), of(kinds), of(sureness).cast("double"), "rules", meta)
+            return F.when(p.isNull(), F.array().cast(f"array<{SPAN_DDL}>")).otherwise(made.cast(f"array<{SPAN_DDL}>"))
+
+        return F.flatten(F.transform(found, spans))
+
+    return detect if chosen else lambda text: F.array().cast(f"array<{SPAN_DDL}>")
 
 
 def terms(listed: Iterable[str]) -> Detector:
