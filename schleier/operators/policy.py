@@ -20,8 +20,32 @@ def _map(values: dict[str, str]) -> Column:
 def last_of_each_place(overrides: Column) -> Column:
     """Of several overrides of one place the last counts, at the place of the first."""
     o = F.coalesce(overrides, F.array().cast(f"array<{OVERRIDE_DDL}>"))
-    places = F.array_distinct(F.transform(o, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    return F.transform(places, lambda p: F.try_element_at(F.filter(o, lambda x: (x["start"] == p["start"]) & (x["end"] == p["end"])), F.lit(-1)))
+    by_place = F.array_sort(F.transform(o, lambda x, i: F.struct(x["start"].alias("a"), x["end"].alias("b"), i.alias("at"), x.alias("x"))))
+    same = lambda p, q: p["a"].eqNullSafe(q["a"]) & p["b"].eqNullSafe(q["b"])
+
+    def ends(c: Column) -> Column:
+        first = F.filter(c, lambda p, i: (i == 0) | ~same(p, F.get(c, i - 1)))
+        last = F.filter(c, lambda p, i: (i == F.size(c) - 1) | ~same(p, F.get(c, i + 1)))
+        return F.zip_with(first, last, lambda p, q: F.struct(p["at"].alias("at"), F.when(q["a"].isNotNull() & q["b"].isNotNull(), q["x"]).alias("x")))
+
+    return F.transform(F.array_sort(bound(by_place, ends)), lambda p: p["x"])
+
+
+def by_place_of(overrides: Column) -> Column:
+    """The overrides that count, sorted by place, as ``at_place`` looks them up; and the steps in which it does."""
+    placed = F.transform(F.filter(last_of_each_place(overrides), lambda x: x.isNotNull()), lambda x: F.struct(F.struct(x["start"].alias("start"), x["end"].alias("end")).alias("place"), x.alias("x")))
+    powers = F.array(*(F.lit(1 << k) for k in range(29, -1, -1)))
+    return bound(F.array_sort(placed), lambda c: F.struct(c.alias("sorted"), F.filter(powers, lambda k: k <= F.size(c)).alias("steps")))
+
+
+def at_place(found: Column, start: Column, end: Column) -> Column:
+    """The override of a place in what ``by_place_of`` gives, or null."""
+
+    def search(place: Column) -> Column:
+        before = F.aggregate(found["steps"], F.lit(0), lambda n, k: F.when(F.get(found["sorted"], n + k - 1)["place"] < place, n + k).otherwise(n))
+        return bound(F.get(found["sorted"], before), lambda hit: F.when(hit["place"] == place, hit["x"]))
+
+    return bound(F.struct(start.alias("start"), end.alias("end")), search)
 
 
 def manual(df: DataFrame, text: str = "text", spans: str = "spans", overrides: str = "overrides", notices: str = "override_notices") -> DataFrame:
@@ -52,7 +76,6 @@ def apply_policy(df: DataFrame, policy: dict[str, str] | None = None, lang: str
     active = _map(merged_policy(policy))
     kept = preserve if isinstance(preserve, Column) else F.array(*map(F.lit, [t for t in preserve if t.strip()])).cast("array<string>")
     kept = F.transform(kept, normalized)
-    o = last_of_each_place(F.col(overrides)) if overrides else F.array().cast(f"array<{OVERRIDE_DDL}>")
 
     def of_language(values: dict[str, Column]) -> Column:
         if not isinstance(lang, Column):
@@ -66,8 +89,7 @@ def apply_policy(df: DataFrame, policy: dict[str, str] | None = None, lang: str
     removed = of_language({k: F.lit(p[1]) for k, p in PLACEHOLDERS.items()})
     stem = of_language({k: F.lit(p[2]) for k, p in PLACEHOLDERS.items()})
 
-    def decided(s: Column) -> Column:
-        own = F.try_element_at(F.filter(o, lambda x: (x["start"] == s["start"]) & (x["end"] == s["end"]) & (x["text"] == s["text"])), F.lit(1)) if overrides else F.lit(None).cast(OVERRIDE_DDL)
+    def decided(s: Column, own: Column) -> Column:
         over = own.isNotNull()
         kind = F.coalesce(own["entity_type"], s["entity_type"])
         term = ~over & F.array_contains(kept, normalized(s["text"]))
@@ -75,22 +97,28 @@ def apply_policy(df: DataFrame, policy: dict[str, str] | None = None, lang: str
         meta = s["metadata"].withField("overridden", F.when(over, "true")).withField("preserved_by_term", F.when(term, "true"))
         return s.withField("entity_type", kind).withField("metadata", meta).withField("transformation", what)
 
+    def own(s: Column, found: Column) -> Column:
+        return bound(at_place(found, s["start"], s["end"]), lambda x: F.when(x["text"] == s["text"], x))
+
     by_place = F.transform(F.array_sort(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("a"), s["ordinal"].alias("b"), s.alias("s")))), lambda k: k["s"])
-    step1 = df.withColumn(applied, F.transform(by_place, decided))
+    if overrides:
+        done = bound(by_place_of(F.col(overrides)), lambda found: F.transform(by_place, lambda s: bound(own(s, found), lambda x: decided(s, x))))
+    else:
+        done = F.transform(by_place, lambda s: decided(s, F.lit(None).cast(OVERRIDE_DDL)))
+    step1 = df.withColumn(applied, done)
     key = lambda s: F.coalesce(F.nullif(s["metadata"]["tag_group"], F.lit("")), normalized(s["text"]))
     keys = F.array_distinct(F.transform(F.filter(applied, lambda s: s["transformation"] == "CONSISTENT_TAG"), key))
-    step2 = step1.withColumn("tag_keys_", keys)
 
-    def replaced(s: Column) -> Column:
+    def replaced(s: Column, keys: Column) -> Column:
         what = s["transformation"]
         year = F.nullif(F.regexp_extract(s["text"], YEAR_ANYWHERE, 0), F.lit(""))
-        tag = F.concat(F.lit("["), stem, F.lit("_"), F.array_position(F.col("tag_keys_"), key(s)).cast("string"), F.lit("]"))
+        tag = F.concat(F.lit("["), stem, F.lit("_"), F.array_position(keys, key(s)).cast("string"), F.lit("]"))
         new = F.when(what == "CONSISTENT_TAG", tag).when(what == "GENERALIZE", F.coalesce(year, mask[s["entity_type"]])).when(what == "REMOVE", removed).when(what == "PRESERVE", F.lit(None)).otherwise(mask[s["entity_type"]])
         status = F.when(what == "CONSISTENT_TAG", "TAGGED").when(what == "GENERALIZE", "GENERALIZED").when(what == "PRESERVE", "PRESERVED").otherwise("REDACTED")
         return s.withField("replacement", new).withField("status", status)
 
-    step3 = step2.withColumn(applied, F.transform(applied, replaced).cast(f"array<{APPLIED_DDL}>")).drop("tag_keys_")
-    return step3.withColumn(output, rewritten(F.col(text), F.col(applied)))
+    step2 = step1.withColumn(applied, bound(keys, lambda k: F.transform(applied, lambda s: replaced(s, k))).cast(f"array<{APPLIED_DDL}>"))
+    return step2.withColumn(output, rewritten(F.col(text), F.col(applied)))
 
 
 def rewritten(text: Column, applied: Column) -> Column:

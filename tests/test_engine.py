@@ -155,6 +155,45 @@ def test_year_that_is_the_span_fails(spark):
     assert r["output"] == "1980 kam" and r["validation_status"] == "FAIL"
 
 
+def test_overrides_are_computed_once(spark, sf):
+    """Neither the detection nor the overrides are made again for a filter, a span or an override."""
+    plan = queries.override_status(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "RLIKE" in line]
+    n = 1000
+    text = " ".join(f"a{i}@b.de" for i in range(n))
+    df = detect.with_spans(spark.createDataFrame([(text,)], "text string"), [detect.rules(["de.email.v1"])])
+    over = F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.when(i % 2 == 0, "PRESERVE").alias("transformation"), F.when(i % 2 == 1, "PERSON_NAME").alias("entity_type")))
+    out = policy.apply_policy(df.withColumn("overrides", F.reverse(over)), overrides="overrides")
+    start = time.time()
+    applied, output = out.select("applied", "output").first()
+    assert time.time() - start < 60
+    assert [s["status"] for s in applied] == ["PRESERVED", "TAGGED"] * (n // 2)
+    assert output == " ".join(f"a{i}@b.de" if i % 2 == 0 else f"[PERSON_{i // 2 + 1}]" for i in range(n))
+
+
+def test_overrides_by_place(spark):
+    """Against plain loops: several overrides of a place, several spans of a place, other texts, places without values."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        places = [(rng.choice([None, 0, 1, 2, 3]), rng.choice([None, 4, 5])) for _ in range(rng.randint(0, 9))]
+        over = [(a, b, rng.choice(["x", "y", None]), rng.choice([None, "PRESERVE", "REMOVE", "TYPE_MASK"]), rng.choice([None, "PHONE"])) for a, b in places]
+        spans = [(a, b, rng.choice("xy"), "EMAIL", 1.0, "d", i, dict.fromkeys(types.METADATA)) for i, (a, b) in enumerate((rng.randint(0, 3), rng.randint(4, 5)) for _ in range(rng.randint(0, 5)))]
+        rows.append((k, "0123456789", spans, None if k % 10 == 9 else over))
+    df = spark.createDataFrame(rows, f"k int, text string, spans array<{types.SPAN_DDL}>, overrides array<{types.OVERRIDE_DDL}>")
+    out = policy.apply_policy(df, overrides="overrides").withColumn("last", policy.last_of_each_place(F.col("overrides")))
+    for r, (_, _, spans, over) in zip(out.orderBy("k").collect(), rows):
+        places = list(dict.fromkeys((o[0], o[1]) for o in over or []))
+        last = [None if None in p else [o for o in over if (o[0], o[1]) == p][-1] for p in places]
+        assert [x and tuple(x) for x in r["last"]] == last
+        want = []
+        for s in sorted(spans, key=lambda s: (s[0], s[6])):
+            own = next((o for o in last if o and o[:3] == s[:3]), None)
+            what = own and own[3] or "TYPE_MASK"
+            want.append((s[0], s[6], own and own[4] or "EMAIL", what, "true" if own else None))
+        assert [(s["start"], s["ordinal"], s["entity_type"], s["transformation"], s["metadata"]["overridden"]) for s in r["applied"]] == want
+
+
 def test_manual_and_stale_overrides(spark):
     df = spark.createDataFrame([("Aufnahme bei Max", [(0, 8, "Aufnahme", "REMOVE", None), (1, 3, "zz", "REMOVE", None), (0, 8, "Aufnahme", None, "ORGANIZATION")])], f"text string, overrides array<{types.OVERRIDE_DDL}>")
     r = deidentify.deidentified(df, overrides="overrides").first()
