@@ -871,3 +871,27 @@ def test_pipeline_stages(spark, sf, docs):
     assert {r["doc_id"]: r["decoded_sha256"] for r in got.collect()} == want
     sized = cp.mask_secrets(spark, docs, sf)
     assert sized.columns == docs.columns and sized.where("n_chars <> length(text)").count() == 0 and json.dumps(cp.ORACLE_SQL) == "null"
+
+
+def test_components_read_edges_once(spark, monkeypatch):
+    """Components equal plain ones, and joins read hardly more edges than there are, whatever the groups' sizes."""
+    from schleier.llm import graph
+
+    rnd = random.Random(11)
+    star = [(0, i) for i in range(1, 400)]
+    path = [(1000 + i, 1001 + i) for i in range(12)]
+    hub = [(2900, 2000 + i) for i in range(200)]
+    dense = [(4000 + rnd.randrange(60), 4000 + rnd.randrange(60)) for _ in range(900)]
+    edges = [*star, *path, *hub, *dense, (-5, -5), (-9, -7), (0, 0)]
+    edges += [(b, a) for a, b in edges[::7]]
+    read, spread = [], graph.spread
+    monkeypatch.setattr(graph, "spread", lambda left, *rest: (read.append(left.count()) if {"a", "b"} <= set(left.columns) else None, spread(left, *rest))[1])
+    got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    least = {x: x for e in edges for x in e}
+    while any(least[a] != least[b] for a, b in edges):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+    assert sum(read) <= 3 * len({(min(e), max(e)) for e in edges})
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert graph.components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == [(3, 3)]
