@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SliceHash, binary_column, map_batches, ragged, same_slices, steps, utf8
+from .common import SliceHash, binary_column, keep, map_batches, ragged, same_slices, steps, utf8
 
 K, LETTERS, DIGITS, OTHER, APOSTROPHE, MIDDLE, JOINED, SPACES = range(8)
 LETTER, LETTER_1, LETTER_2, NUMBER, SIGN, QUOTE, SPACE_BEFORE, BLANK_BEFORE, BLANK = range(9)
@@ -367,6 +367,7 @@ class Encoder:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
+    keep(__name__, encoder.cache_clear)
     return Encoder(path)
 
 

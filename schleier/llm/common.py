@@ -7,6 +7,8 @@ depend on the worker that made them.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import hashlib
 import shutil
 import tempfile
@@ -248,6 +250,30 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: By module, how to let go of what its operators keep in a worker from task to task.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(module: str, let_go: Callable[[], None]) -> None:
+    """Says how to let go of what the operators of ``module`` keep in this worker; done once another module's task begins in it."""
+    _kept[module] = let_go
+
+
+def begin(module: str) -> None:
+    """A task of ``module`` begins in a worker that other stages may have used: what those keep goes."""
+    if others := [m for m in _kept if m != module]:
+        for m in others:
+            _kept.pop(m)()
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the machine: a worker outlives its stage, and idle ones count beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, columns: list[str], fields: list[T.StructField], fn: Callable[[], Callable[[list[pa.Array]], list[pa.Array]]]) -> DataFrame:
     """``df`` with ``fields`` computed from ``columns``, a batch at a time, without moving rows.
 
@@ -261,9 +287,12 @@ def map_batches(df: DataFrame, columns: list[str], fields: list[T.StructField],
     inputs = [df.columns.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = fn()
+        begin(fn.__module__)
+        step, b = fn(), None
         for b in batches:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(i) for i in places] + step([b.column(i) for i in inputs]), names)
+        del step, b
+        trim()
 
     return df.mapInArrow(run, schema)

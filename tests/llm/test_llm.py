@@ -12,6 +12,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -895,3 +896,17 @@ def test_components_read_edges_once(spark, monkeypatch):
     assert sum(read) <= 3 * len({(min(e), max(e)) for e in edges})
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
     assert graph.components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == [(3, 3)]
+
+
+def test_workers_let_go_of_what_another_operator_kept(spark, monkeypatch):
+    """A worker outlives its stage: the tokenizer stays for its own next task and goes when another operator's begins."""
+    df = spark.createDataFrame([(1, "a token = 'k3Jx9_Qm2vLp8Rt'")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    batches = lambda: iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a token = 'k3Jx9_Qm2vLp8Rt'"]})])
+    encode = bpe.encode(df, bpe.default_vocabulary())
+    bpe.encoder.cache_clear()
+    first, again = list(encode(batches())), list(encode(batches()))
+    assert bpe.encoder.cache_info()[:2] == (1, 1) and first == again
+    assert len(list(secrets.scan(df)(batches()))) == 1
+    assert bpe.encoder.cache_info().currsize == 0
+    assert list(encode(batches())) == first
